@@ -103,13 +103,14 @@ def exact_quantile_frame(df: DataFrame, value: str, group_col: str | None = None
         F.count(F.lit(1)).alias("_ol_n"))
     order = [*keys, "_ol_v"]
     pre = prefix_sum(counts, order, "_ol_n", name="_ol_before")
+    # the order starts with the group keys, so a group's first row carries its start
     if keys:
-        tot = counts.groupBy(*keys).agg(F.sum("_ol_n").alias("_ol_total"))
-        grp_start = prefix_sum(tot, keys, "_ol_total", name="_ol_gstart")
-        pre = pre.join(grp_start, keys)
-    else:
-        tot = counts.agg(F.sum("_ol_n").alias("_ol_total"))
-        pre = pre.crossJoin(F.broadcast(tot.withColumn("_ol_gstart", F.lit(0).cast("long"))))
+        grp = pre.groupBy(*keys).agg(F.min("_ol_before").alias("_ol_gstart"),
+                                     F.sum("_ol_n").alias("_ol_total"))
+        pre = pre.join(grp, keys)
+    else:  # one group: its start is 0 and its size a scalar subquery
+        pre = pre.withColumns({"_ol_gstart": F.lit(0).cast("long"),
+                               "_ol_total": counts.agg(F.sum("_ol_n")).scalar()})
     # rank inside group of the first and last copy of this value
     lo = F.col("_ol_before") - F.col("_ol_gstart")
     hi = lo + F.col("_ol_n") - 1

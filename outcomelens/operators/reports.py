@@ -44,8 +44,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], label: str = "label",
     """Rows per (feature, value) for each categorical column, plus the row total."""
     long = _long_categoricals(df, columns, label, blank_policy)
     g = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return g.crossJoin(F.broadcast(total))  # one-row side
+    return g.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
 
 
 def rate_by_value(df: DataFrame, columns: Sequence[str], label: str = "label",

@@ -40,7 +40,7 @@ raw AS (
     CASE WHEN l_orderkey % 11 = 0 THEN (CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 'nan' END)
          ELSE CAST(own_amt AS VARCHAR) END AS own_amt,
     CAST(other_amt AS VARCHAR) AS other_amt,
-    CAST(own_amt AS VARCHAR) AS own_key
+    own_amt AS own_key
   FROM fact)"""
 
 BATCH = """brec AS (

@@ -81,7 +81,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.when(F.col("l_linenumber") % 2 == 0, F.lit("")).otherwise(F.lit("nan")))
          .otherwise(s("own_amt")).alias("own_amt"),
         s("other_amt").alias("other_amt"),
-        s("own_amt").alias("own_key"),
+        F.col("own_amt").alias("own_key"),
     )
 
 
