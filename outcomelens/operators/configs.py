@@ -161,8 +161,9 @@ def candidate_budget(sites: DataFrame, space: SearchSpace, variant: str = "A",
                                "posthoc_other": (space.top_posthoc[1],)})
     grid = candidate_grid(s, one_level, variant)
     if per_option is not None:
-        lo = loadouts(sites.sparkSession, space).where(
-            F.row_number().over(Window.partitionBy(space.option_field).orderBy("loadout_ord")) <= per_option)
+        w = Window.partitionBy(space.option_field).orderBy("loadout_ord")
+        lo = loadouts(sites.sparkSession, space).withColumn("_lr", F.row_number().over(w))
+        lo = lo.where(F.col("_lr") <= per_option)
         keys = [space.option_field, space.count_field, *space.slot_flags]
         grid = grid.join(F.broadcast(lo.select(*keys)), keys, "left_semi")  # <= 71-row dimension
     return grid

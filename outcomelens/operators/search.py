@@ -64,14 +64,13 @@ def overlay(baselines: DataFrame, winner: DataFrame, fields: Sequence[str]) -> D
                                   else w.getField(f) for f in present})
 
 
-def improvement(current: DataFrame, best: DataFrame, key: str = "config_id") -> DataFrame:
-    """Best vs current chance; a negative delta returns the current one with delta 0."""
-    j = current.select(key, F.col("chance").alias("current_chance")).join(
-        best.select(key, F.col("chance").alias("_best_chance")), key)
-    delta = F.col("_best_chance") - F.col("current_chance")
-    return j.select(key, "current_chance",
-                    F.when(delta < 0, F.col("current_chance")).otherwise(F.col("_best_chance")).alias("best_chance"),
-                    F.greatest(delta, F.lit(0.0)).alias("improvement"))
+def improvement(df: DataFrame, current: str = "current_chance", best: str = "best_chance") -> DataFrame:
+    """Best vs current chance per row; a negative delta keeps the current one, delta 0."""
+    delta = F.col(best) - F.col(current)
+    return df.withColumns({
+        best: F.when(delta < 0, F.col(current)).otherwise(F.col(best)),
+        "improvement": F.greatest(delta, F.lit(0.0)),
+    })
 
 
 def compare_configs(scored: DataFrame, pairs: DataFrame, key: str = "config_id") -> DataFrame:
@@ -83,8 +82,8 @@ def compare_configs(scored: DataFrame, pairs: DataFrame, key: str = "config_id")
                  .withColumn("delta", F.col("right_chance") - F.col("left_chance")))
 
 
-def optimize_configs(baselines: DataFrame, sites: DataFrame, scorer: Scorer, key: str = "config_id",
-                     threshold: float = 0.95) -> DataFrame:
+def optimize_configs(baselines: DataFrame, sites: DataFrame, scorer: Scorer,
+                     key: str | Sequence[str] = "config_id", threshold: float = 0.95) -> DataFrame:
     """H9: for every baseline configuration, the best grid candidate (or itself).
 
     The grid sets every feature, so candidate scores do not depend on the
@@ -92,31 +91,31 @@ def optimize_configs(baselines: DataFrame, sites: DataFrame, scorer: Scorer, key
     each baseline is compared with that winner (baseline counts as ordinal -1,
     so it wins ties and its own >= threshold stops the search).
     """
+    keys = [key] if isinstance(key, str) else list(key)
     space = scorer.spec.search
     fields = config_fields(space, scorer.variant)
     grid = candidate_grid(sites, space, scorer.variant)
     scored = score_batch(grid, scorer, [*fields, "site_group", "ordinal"], check_cost=False)
     win = first_over_threshold(scored, [*fields, "site_group"], threshold)
-    cur = score_batch(baselines, scorer, [key, *[f for f in fields if f in baselines.columns]])
+    cur = score_batch(baselines, scorer, [*keys, *[f for f in fields if f in baselines.columns]])
     w = win.select(F.struct("*").alias("w")).scalar()   # one row, evaluated once
     wrow = {f"best_{f}": w.getField(f) for f in [*fields, "site_group"]}
     cur = cur.withColumn("_cand_p", w.getField("probability")).withColumn("_early", w.getField("found_early"))
     take = (F.col("probability").isNull() |
             ((F.col("probability") < threshold) &
              (F.col("_early") | (F.col("_cand_p") > F.col("probability")))))
-    out = cur.select(key, "probability", "_cand_p", take.alias("_take"), *[v.alias(k) for k, v in wrow.items()],
+    out = cur.select(*keys, "probability", "_cand_p", take.alias("_take"), *[v.alias(k) for k, v in wrow.items()],
                      *[F.col(f).alias(f"cur_{f}") for f in fields if f in baselines.columns])
     chosen = []
     for f in fields:
         cur_f = F.col(f"cur_{f}") if f"cur_{f}" in out.columns else F.lit(None)
         chosen.append(F.when(F.col("_take"), F.col(f"best_{f}")).otherwise(cur_f).alias(f))
     best_p = F.when(F.col("_take"), F.col("_cand_p")).otherwise(F.col("probability"))
-    res = out.select(key, *chosen,
+    res = out.select(*keys, *chosen,
                      F.when(F.col("_take"), F.col("best_site_group")).alias("site_group"),
                      (best_p * 100.0).alias("best_chance"),
                      (F.col("probability") * 100.0).alias("current_chance"))
-    delta = F.col("best_chance") - F.col("current_chance")
-    return res.withColumn("improvement", F.greatest(F.coalesce(delta, F.lit(0.0)), F.lit(0.0)))
+    return improvement(res).withColumn("improvement", F.coalesce("improvement", F.lit(0.0)))
 
 
 def diverse_top_k(scored: DataFrame, fields: Sequence[str], dedupe_key: Sequence[str],
