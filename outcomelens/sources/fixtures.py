@@ -26,7 +26,11 @@ def fact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     Plain equi-joins; Catalyst prunes the columns each query needs and AQE picks
     sort-merge or (size-checked) broadcast per join.
     """
-    li = table(spark, sf_dir, "lineitem")
+    return fact_from_lineitem(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def fact_from_lineitem(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataFrame:
+    """The record view for any line-item frame (static or streaming) against static dimensions."""
     o = table(spark, sf_dir, "orders")
     p = table(spark, sf_dir, "part")
     c = table(spark, sf_dir, "customer")
@@ -91,7 +95,12 @@ def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     positive = purchase; item = event type; site type = event type, missing on
     errors; count = props.k % 4; flags written in mixed spellings.
     """
-    e = table(spark, sf_dir, "events").where(F.col("event_type") != "signup")
+    return events_as_records(table(spark, sf_dir, "events"))
+
+
+def events_as_records(events: DataFrame) -> DataFrame:
+    """Projection of an events frame (static or streaming) to ordered records."""
+    e = events.where(F.col("event_type") != "signup")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         "ts", "event_id", "user_id",
