@@ -123,12 +123,13 @@ def _mlp_probability(configs: DataFrame, scorer: Scorer, keep: Sequence[str],
     z = F.array(*[e for _, e in terms]).alias("_z")
     pre = configs.select(*keep, z, (err if err is not None else F.lit(None).cast("string")).alias("error"))
     model = scorer.model
+    width = len(terms)   # capture plain values only: Columns are not serialisable
     schema = T.StructType([f for f in pre.schema.fields if f.name != "_z"]
                           + [T.StructField("probability", T.DoubleType(), True)])
 
     def run(batches):
         for pdf in batches:
-            m = np.stack(pdf["_z"].to_numpy()) if len(pdf) else np.zeros((0, len(terms)))
+            m = np.stack(pdf["_z"].to_numpy()) if len(pdf) else np.zeros((0, width))
             pdf = pdf.drop(columns=["_z"])
             pdf["probability"] = model.forward(m) if len(m) else pd.Series(dtype="float64")
             yield pdf
