@@ -143,9 +143,9 @@ def gradients(configs: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFr
     m = scorer.model
     if isinstance(m, LogisticModel):
         p = sigmoid(logit_expr(scorer, dict(configs.dtypes)))
-        pp = p * (F.lit(1.0) - p)
-        return configs.select(*keep, p.alias("probability"),
-                              F.array(*[F.lit(w) * pp for w in m.weights]).alias("grad"))
+        withp = configs.select(*keep, p.alias("probability"))
+        pp = F.col("probability") * (F.lit(1.0) - F.col("probability"))
+        return withp.select(*keep, "probability", F.array(*[F.lit(w) * pp for w in m.weights]).alias("grad"))
     terms = scorer.standardized_terms(dict(configs.dtypes))
     pre = configs.select(*keep, F.array(*[e for _, e in terms]).alias("_z"))
     schema = T.StructType([f for f in pre.schema.fields if f.name != "_z"] + [
@@ -163,27 +163,56 @@ def gradients(configs: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFr
     return pre.mapInPandas(run, schema)
 
 
+def _explain_linear(configs: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
+    """Closed form for a logistic model: g_i = w_i * p (1 - p).
+
+    p (1 - p) is one non-negative factor per row, so whenever it is positive the
+    order by |g| is the order by |w| (ties by feature index); when it is zero all
+    gradients are zero and the order is the feature index.  p (1 - p) and the sum
+    of |g| are computed once per row, then one row per feature is generated.
+    """
+    m = scorer.model
+    names = list(scorer.contract.names)
+    order = sorted(range(len(names)), key=lambda i: (-abs(m.weights[i]), i))
+    static_rank = {i: r + 1 for r, i in enumerate(order)}
+    p = sigmoid(logit_expr(scorer, dict(configs.dtypes)))
+    withp = configs.select(*keep, p.alias("probability"))
+    pp = withp.select(*keep, (F.col("probability") * (F.lit(1.0) - F.col("probability"))).alias("_pp"))
+    tot = F.lit(0.0)
+    for w in m.weights:
+        tot = tot + F.abs(F.lit(w) * F.col("_pp"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("feature"), F.lit(float(m.weights[i])).alias("w"),
+                               F.lit(static_rank[i]).alias("r")) for i, n in enumerate(names)])
+    ex = pp.select(*keep, "_pp", tot.alias("_tot"), F.inline(cells))
+    g = F.col("w") * F.col("_pp")
+    mag = F.when(F.col("_tot") > 0, F.abs(g) / F.col("_tot") * 100.0).otherwise(F.abs(g))
+    direction = F.when(g > 0, F.lit("positive")).when(g < 0, F.lit("negative")).otherwise(F.lit("neutral"))
+    rank = F.when(F.col("_pp") > 0, F.col("r")).otherwise(F.col("i") + 1)
+    return ex.select(*keep, "feature", rank.alias("rank"), mag.alias("magnitude"), direction.alias("direction"),
+                     g.alias("raw_gradient"))
+
+
 def explain_gradient(configs: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
     """H8 + E8 + E9: one row per (configuration, feature) with rank by magnitude.
 
-    magnitude = |g| / sum |g| * 100 (E8, 0-safe), direction by sign, ranks by
-    magnitude desc then feature order (E9) - all inside the row's array.
+    magnitude = |g| / sum |g| * 100 (E8, 0-safe), direction by sign, rank by
+    magnitude desc then feature order (E9).  Logistic models use the closed form;
+    for a network the gradient array (from Arrow batches) is ranked inside the row
+    by sorting (-|g|, index, feature, g) structs with ``sort_array`` - no shuffle.
     """
+    if isinstance(scorer.model, LogisticModel):
+        return _explain_linear(configs, scorer, keep)
     names = list(scorer.contract.names)
     g = gradients(configs, scorer, keep)
-    cells = F.transform(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"),
-                                     F.col("grad").alias("g"),
-                                     F.sequence(F.lit(0), F.lit(len(names) - 1)).alias("i")),
-                        lambda c: c)
-    total = F.aggregate(F.col("grad"), F.lit(0.0), lambda acc, x: acc + F.abs(x))
+    gi = [F.col("grad")[i] for i in range(len(names))]
+    total = F.lit(0.0)
+    for x in gi:
+        total = total + F.abs(x)
+    cells = F.sort_array(F.array(*[
+        F.struct((-F.abs(x)).alias("k"), F.lit(i).alias("i"), F.lit(n).alias("feature"), x.alias("g"))
+        for i, (n, x) in enumerate(zip(names, gi))]))
     g = g.select(*keep, cells.alias("_cells"), total.alias("_tot"))
-    ordered = F.array_sort(
-        F.col("_cells"),
-        lambda a, b: F.when(F.abs(a["g"]) > F.abs(b["g"]), F.lit(-1))
-                      .when(F.abs(a["g"]) < F.abs(b["g"]), F.lit(1))
-                      .when(a["i"] < b["i"], F.lit(-1))
-                      .when(a["i"] > b["i"], F.lit(1)).otherwise(F.lit(0)))
-    ex = g.select(*keep, "_tot", F.posexplode(ordered).alias("_r", "_c"))
+    ex = g.select(*keep, "_tot", F.posexplode("_cells").alias("_r", "_c"))
     mag = F.when(F.col("_tot") > 0, F.abs(F.col("_c.g")) / F.col("_tot") * 100.0).otherwise(F.abs(F.col("_c.g")))
     direction = (F.when(F.col("_c.g") > 0, F.lit("positive"))
                   .when(F.col("_c.g") < 0, F.lit("negative")).otherwise(F.lit("neutral")))
