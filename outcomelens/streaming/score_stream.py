@@ -24,10 +24,13 @@ def start_score_stream(spark: SparkSession, source: DataFrame, to_records: Calla
     scored = score_batch(to_records(source), scorer, keep)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        ok = batch.where(F.col("error").isNull())
-        bad = batch.where(F.col("error").isNotNull())
-        ok.write.mode("append").parquet(out_path)
-        bad.write.mode("append").parquet(quarantine_path)
+        # the micro-batch feeds two sinks: keep it for the second write instead of recomputing
+        batch.persist()
+        try:
+            batch.where(F.col("error").isNull()).write.mode("append").parquet(out_path)
+            batch.where(F.col("error").isNotNull()).write.mode("append").parquet(quarantine_path)
+        finally:
+            batch.unpersist()
 
     w = scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
