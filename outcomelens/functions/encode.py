@@ -65,8 +65,7 @@ _NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 def _number(name: str, default: float, types: dict | None) -> Column:
     """Typed numerics are cast directly; text goes through the lenient parse."""
     if types is not None and types.get(name, "string").startswith(_NUMERIC):
-        x = F.col(name).cast("double")
-        return F.coalesce(F.when(~F.isnan(x), x), F.lit(default))
+        return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")), F.lit(default))
     return F.coalesce(lenient_numeric(name), F.lit(default))
 
 
@@ -174,12 +173,12 @@ class Scaler:
 
 def standardize(wide: DataFrame, names: Sequence[str], keep: Sequence[str] = (),
                 stats: DataFrame | None = None) -> DataFrame:
-    """H2 as a pure DataFrame transform: stats enter as scalar subqueries."""
+    """H2 as a pure DataFrame transform: the stats row enters as one scalar subquery."""
     stats = stats if stats is not None else scaler_stats(wide, names)
-    cols = []
-    for i, n in enumerate(names):
-        mean = stats.select(f"mean_{i}").scalar()
-        std = stats.select(F.when(F.col(f"std_{i}") == 0, F.lit(1.0))
-                           .otherwise(F.col(f"std_{i}"))).scalar()
-        cols.append(((F.col(n) - mean) / std).alias(n))
+    fields = []
+    for i in range(len(names)):
+        fields += [F.col(f"mean_{i}").alias(f"m{i}"),
+                   F.when(F.col(f"std_{i}") == 0, F.lit(1.0)).otherwise(F.col(f"std_{i}")).alias(f"s{i}")]
+    st = stats.select(F.struct(*fields).alias("st")).scalar()
+    cols = [((F.col(n) - st.getField(f"m{i}")) / st.getField(f"s{i}")).alias(n) for i, n in enumerate(names)]
     return wide.select(*keep, *cols)

@@ -28,7 +28,17 @@ def blank_to_sentinel(c: ColumnOrName, sentinel: str = NONE_VALUE) -> Column:
 def lenient_numeric(c: ColumnOrName) -> Column:
     """B2: parse a number; bad text, blank and NaN -> null."""
     v = _c(c).cast("string").try_cast("double")
-    return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
+    return F.nanvl(v, F.lit(None).cast("double"))   # one reference to v: no duplicated parse
+
+
+_NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def as_number(df, c: str) -> Column:
+    """Double value of ``c`` in ``df``: typed numerics directly (NaN -> null), text leniently."""
+    if dict(df.dtypes).get(c, "string").startswith(_NUMERIC_TYPES):
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    return lenient_numeric(c)
 
 
 def code_map(c: ColumnOrName, mapping: dict[str, int]) -> Column:

@@ -21,6 +21,7 @@ from __future__ import annotations
 from typing import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +38,17 @@ def _frozen_sorted(df: DataFrame, order: Sequence[Column | str], partitions: int
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or shuffle_partitions(spark)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    stamped = (ranged.withColumn(_PID, F.spark_partition_id())
-                     .withColumn(_POS, F.monotonically_increasing_id()))
-    return stamped.checkpoint(eager=True)
+    # the range bounds are sampled in one job and the data moved in the next: keep the
+    # input (memory, spilling to disk) between the two instead of computing it twice;
+    # lost blocks are recomputed from lineage
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        stamped = (ranged.withColumn(_PID, F.spark_partition_id())
+                         .withColumn(_POS, F.monotonically_increasing_id()))
+        return stamped.checkpoint(eager=True)
+    finally:
+        src.unpersist()
 
 
 def _offsets(frozen: DataFrame, weight: Column) -> DataFrame:

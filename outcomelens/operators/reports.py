@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import blank_to_sentinel, lenient_int, lenient_numeric, normalize_flag
+from ..functions.scalars import as_number, blank_to_sentinel, lenient_int, lenient_numeric, normalize_flag
 from ..spec import NONE_VALUE
 from .ordering import exact_quantile_frame
 
@@ -59,7 +59,7 @@ def rate_by_value(df: DataFrame, columns: Sequence[str], label: str = "label",
 
 def numeric_distribution(df: DataFrame, column: str, label: str = "label") -> DataFrame:
     """Per exact numeric value: n, positives, rate; bad text ignored."""
-    v = df.select(lenient_numeric(column).alias("value"), F.col(label).alias("_label"))
+    v = df.select(as_number(df, column).alias("value"), F.col(label).alias("_label"))
     g = (v.where(F.col("value").isNotNull()).groupBy("value")
           .agg(F.count(F.lit(1)).alias("n"),
                F.sum(_positive("_label")).cast("long").alias("positives")))
@@ -75,7 +75,7 @@ def overall_rate(df: DataFrame, label: str = "label") -> DataFrame:
 
 def _long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cols = [c for c in columns if c in df.columns]
-    casted = df.select(*[lenient_numeric(c).alias(c) for c in cols])
+    casted = df.select(*[as_number(df, c).alias(c) for c in cols])
     return (casted.unpivot([], cols, "column", "x").where(F.col("x").isNotNull()))
 
 
