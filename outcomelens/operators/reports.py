@@ -177,10 +177,19 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                   .where(F.col("value").isNotNull()).distinct())
 
 
-def vocabulary_list(df: DataFrame, column: str) -> list[str]:
-    """Sorted vocabulary of one column, collected (bounded: a category list)."""
+MAX_VOCABULARY = 10_000
+
+
+def vocabulary_list(df: DataFrame, column: str, max_values: int = MAX_VOCABULARY) -> list[str]:
+    """Sorted vocabulary of a categorical column, brought to the driver.
+
+    Only category lists belong on the driver: more than ``max_values`` distinct
+    values is refused (the column should be numeric or hashed, not one-hot).
+    """
     rows = (df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL")
-              .distinct().orderBy("v").collect())
+              .distinct().orderBy("v").limit(max_values + 1).collect())
+    if len(rows) > max_values:
+        raise ValueError(f"{column}: more than {max_values} distinct values; not a category column")
     return [r.v for r in rows]
 
 

@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 
 def nest(df: DataFrame, group: Sequence[str], key: str, value: str, name: str = "payload") -> DataFrame:
-    """One row per group: JSON object key -> value, keys in ascending order."""
+    """One row per group: JSON object key -> value, keys in ascending order.
+
+    ``df`` is an aggregated report (one row per key), so a group holds one entry
+    per category value, not raw records.
+    """
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))))
     return df.groupBy(*group).agg(F.to_json(F.map_from_entries(entries)).alias(name))
 
