@@ -89,11 +89,19 @@ def option_cost(option: ColumnOrName, space: SearchSpace) -> Column:
              .otherwise(F.lit(1)))
 
 
-def slot_cost(space: SearchSpace) -> Column:
-    """Option cost + count + number of slot flags set to Yes."""
+def slot_cost(space: SearchSpace, types: dict | None = None) -> Column:
+    """Option cost + count + number of slot flags set.
+
+    Flags in form spelling count when exactly 'Yes'; already-typed 0/1 flags
+    (pass ``types`` = dict(df.dtypes)) count when 1.
+    """
+    def flag(f):
+        if types is not None and types.get(f, "string").startswith(_NUMERIC_TYPES):
+            return F.when(F.col(f) == 1, F.lit(1)).otherwise(F.lit(0))
+        return flag_default(F.col(f).cast("string"))
     parts = [option_cost(space.option_field, space),
              F.coalesce(F.col(space.count_field).cast("int"), F.lit(0))]
-    parts += [flag_default(f) for f in space.slot_flags]
+    parts += [flag(f) for f in space.slot_flags]
     return reduce(lambda a, b: a + b, parts).cast("int")
 
 

@@ -22,13 +22,13 @@ from ..spec import NONE_VALUE, SearchSpace
 
 def valid_configs(configs: DataFrame, space: SearchSpace, exact: bool = False) -> DataFrame:
     """Keep configurations within the slot limit (exactly at it when ``exact``)."""
-    cost = slot_cost(space)
+    cost = slot_cost(space, dict(configs.dtypes))
     return configs.where(cost == space.slot_limit if exact else cost <= space.slot_limit)
 
 
 def quarantine_configs(configs: DataFrame, space: SearchSpace) -> DataFrame:
     """B17 reject branch: over-limit configurations with a reason."""
-    cost = slot_cost(space)
+    cost = slot_cost(space, dict(configs.dtypes))
     return (configs.where(cost > space.slot_limit)
                    .withColumn("reason", F.concat(F.lit("slots used: "), cost.cast("string"))))
 

@@ -74,11 +74,11 @@ class Scorer:
         return self.scaler.columns(contract_terms(self.contract, self.spec, types))
 
 
-def _cost_error(spec: TableSpec) -> Column | None:
+def _cost_error(spec: TableSpec, types: dict | None = None) -> Column | None:
     s = spec.search
     if s is None:
         return None
-    cost = slot_cost(s)
+    cost = slot_cost(s, types)
     return F.when(cost > s.slot_limit, F.concat(
         F.lit("invalid configuration: "), cost.cast("string"),
         F.lit(f" slots used, limit {s.slot_limit}")))
@@ -104,7 +104,7 @@ def score_batch(configs: DataFrame, scorer: Scorer, keep: Sequence[str],
 
     Rows that break the slot limit get an error and no probability (B17).
     """
-    err = _cost_error(scorer.spec) if check_cost else None
+    err = _cost_error(scorer.spec, dict(configs.dtypes)) if check_cost else None
     if isinstance(scorer.model, LogisticModel):
         p = sigmoid(logit_expr(scorer, dict(configs.dtypes)))
         out = configs.select(*keep, p.alias("probability"),
