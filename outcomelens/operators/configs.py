@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import option_cost, slot_cost
 from ..session import shuffle_partitions
-from ..spec import NONE_VALUE, SearchSpace
+from ..spec import SearchSpace
 
 
 def valid_configs(configs: DataFrame, space: SearchSpace, exact: bool = False) -> DataFrame:
@@ -176,5 +176,3 @@ def config_fields(space: SearchSpace, variant: str = "A") -> list[str]:
         f += ["own_amt", "other_amt"]
     return f
 
-
-NONE = NONE_VALUE

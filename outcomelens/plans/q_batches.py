@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.scalars import outcome_label, range_bucket
 from ..operators import batches as B
 from ..sources.fixtures import batch_records

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.encode import fit_contract
 from ..sources.fixtures import fact_records
 from ..sources.records import rename_fields

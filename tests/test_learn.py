@@ -9,8 +9,6 @@ from outcomelens.operators.scoring import MlpModel
 from outcomelens.operators.train import _mlp_from_vector
 from outcomelens.sources.fixtures import split_records
 
-from conftest import SF_SMALL
-
 
 def test_stratified_split_exact_counts(spark):
     df = split_records(spark, "/root/testdata/sf0.01")

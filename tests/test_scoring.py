@@ -1,7 +1,6 @@
 """Scoring paths: network explanation ranking (sort path) and logistic closed form vs numpy."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from outcomelens.functions.encode import Scaler, expand_features, fit_contract
 from outcomelens.operators.scoring import LogisticModel, MlpModel, Scorer, explain_gradient, gradients, score_batch
