@@ -44,7 +44,11 @@ def value_counts(df: DataFrame, columns: Sequence[str], label: str = "label",
     """Rows per (feature, value) for each categorical column, plus the row total."""
     long = _long_categoricals(df, columns, label, blank_policy)
     g = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
+    # every row gives exactly one (sentinel-filled) value per feature, so the row
+    # total is the sum of n over any one feature of the small aggregated frame
+    first = [c for c in columns if c in df.columns][0]
+    total = g.where(F.col("feature") == first).agg(F.sum("n")).scalar()
+    return g.withColumn("total", F.coalesce(total, F.lit(0)).cast("long"))
 
 
 def rate_by_value(df: DataFrame, columns: Sequence[str], label: str = "label",
