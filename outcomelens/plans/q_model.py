@@ -277,3 +277,24 @@ SELECT epoch, round(val_loss, 6) AS val_loss, round(best_loss, 6) AS best_loss,
 def q_early_stop(spark, sf):
     e = L.early_stop(metrics_series(spark, sf), patience=5)
     return e.withColumn("val_loss", F.round("val_loss", 6)).withColumn("best_loss", F.round("best_loss", 6))
+
+
+@register("score_requests", _scored_sql("B") + f"""
+SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)
+    || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(own_key AS VARCHAR) AS config_id,
+  round(p, 6) AS probability, error FROM scored""")
+def q_score_requests(spark, sf):
+    """H7 from JSON request documents: each record is sent as a configuration body
+    (form spelling), parsed with ``from_json`` against the spec schema, then scored."""
+    from ..sources.records import parse_configs
+    sc = fixture_scorer(spark, sf, "B")
+    f = _fact(spark, sf)
+    cid = F.concat_ws("-", *[F.col(k).cast("string") for k in
+                             ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                      F.col("own_key").cast("string"))
+    fields = [x.name for x in S.fields if x.name != "label"]
+    bodies = f.select(F.to_json(F.struct(cid.alias("config_id"), F.lit("no_bp").alias("model_type"),
+                                         *fields)).alias("body"))
+    cfg = parse_configs(bodies, S)
+    out = SC.score_batch(cfg, sc, ["config_id"])
+    return out.select("config_id", F.round("probability", 6).alias("probability"), "error")
