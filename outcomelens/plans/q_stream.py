@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import events_as_records, fact_from_lineitem, table
-from ..streaming.rate_stream import start_rate_stream, windowed_rates
+from ..streaming.rate_stream import start_rate_stream, window_date, windowed_rates
 from ..streaming.score_stream import start_score_stream
 from .catalog import register
 from .fixture_model import fixture_scorer, sql_cost, sql_logit, sql_scaler_cte
@@ -56,4 +56,4 @@ def q_rate_stream(spark, sf):
     q = start_rate_stream(rates, f"{base}/out", f"{base}/_checkpoint")
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
-    return out.select(F.to_date("window_start").alias("window_start"), "value", "n", "positives", "rate")
+    return out.select(window_date("window_start").alias("window_start"), "value", "n", "positives", "rate")

@@ -1,8 +1,10 @@
 """I2 rate_stream: outcome rate per (tumbling window, value) on a stream.
 
 Event time needs a TIMESTAMP column for ``withWatermark`` (TIMESTAMP_NTZ is
-refused), so it is cast first.  Append mode emits a window once the watermark
-passes its end; late rows beyond the watermark are dropped by Spark.
+refused).  A wall-clock (NTZ) time is turned into an instant by reading its
+fields as UTC, so day windows are wall-clock days whatever the session time
+zone.  Append mode emits a window once the watermark passes its end; late rows
+beyond the watermark are dropped by Spark.
 """
 
 from __future__ import annotations
@@ -13,10 +15,24 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalize_flag
 
 
+def as_utc_instant(c: str):
+    """TIMESTAMP_NTZ wall clock -> TIMESTAMP instant, reading the fields as UTC."""
+    x = F.col(c)
+    return F.make_timestamp(F.year(x), F.month(x), F.dayofmonth(x), F.hour(x), F.minute(x),
+                            F.date_part(F.lit("SECOND"), x), F.lit("UTC"))
+
+
+def window_date(c: str):
+    """UTC calendar date of an instant (independent of the session time zone)."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(F.col(c)) / 86400).cast("int"))
+
+
 def windowed_rates(records: DataFrame, ts: str, value: str, label: str = "label",
                    window: str = "1 day", delay: str = "0 seconds") -> DataFrame:
     """Streaming-safe aggregate: window start/end, value, n, positives, rate."""
-    r = records.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    ts_type = dict(records.dtypes).get(ts, "timestamp")
+    instant = as_utc_instant(ts) if ts_type == "timestamp_ntz" else F.col(ts).cast("timestamp")
+    r = records.withColumn("_ts", instant).withWatermark("_ts", delay)
     g = r.groupBy(F.window("_ts", window).alias("w"), normalize_flag(value).alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("positives"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "value",

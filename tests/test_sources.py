@@ -24,3 +24,17 @@ def test_fingerprint_detects_change(spark):
     fa = fingerprint(a, ["k", "v"])
     assert not changed_since(fingerprint(b, ["k", "v"]), fa).first().changed   # order-insensitive
     assert changed_since(fingerprint(c, ["k", "v"]), fa).first().changed
+
+
+def test_rate_stream_is_time_zone_independent(spark):
+    import __spark_entry__ as E
+    q = E.queries()["rate_stream"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        a = sorted(tuple(r) for r in q(spark, "/root/testdata/sf0.001").collect())
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        b = sorted(tuple(r) for r in q(spark, "/root/testdata/sf0.001").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert a == b and len(a) > 0
