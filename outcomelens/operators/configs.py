@@ -140,12 +140,11 @@ def candidate_grid(sites: DataFrame, space: SearchSpace, variant: str = "A",
 
 
 def candidate_budget(sites: DataFrame, space: SearchSpace, variant: str = "A",
-                     per_option: int | None = 10, areas_per_type: dict | None = None) -> DataFrame:
-    """the top-configuration grid: level fixed, post-hoc fixed, few areas per type,
-    at most ``per_option`` loadouts per option (in priority order).
-
-    Defaults keep every area and loadout (the caps are options, off by default
-    via ``None``), since scoring the whole grid is cheap on Spark.
+                     per_option: int | None = None, areas_per_type: dict | None = None) -> DataFrame:
+    """the top-configuration grid: level and post-hoc values fixed; optionally only
+    the ``areas_per_type`` largest areas of each site type and the first ``per_option``
+    loadouts of each option (priority order).  Both caps are off by default
+    (``None``): scoring the whole grid is cheap on Spark.
     """
     s = sites
     if areas_per_type:

@@ -94,6 +94,9 @@ def optimize_configs(baselines: DataFrame, sites: DataFrame, scorer: Scorer,
     keys = [key] if isinstance(key, str) else list(key)
     space = scorer.spec.search
     fields = config_fields(space, scorer.variant)
+    uncovered = [f.name for f in scorer.spec.features(scorer.variant) if f.name not in fields]
+    if uncovered:  # a baseline-dependent candidate would need per-baseline scoring
+        raise ValueError(f"search space leaves features unset: {uncovered}")
     grid = candidate_grid(sites, space, scorer.variant)
     scored = score_batch(grid, scorer, [*fields, "site_group", "ordinal"], check_cost=False)
     win = first_over_threshold(scored, [*fields, "site_group"], threshold)
