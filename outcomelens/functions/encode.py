@@ -182,3 +182,21 @@ def standardize(wide: DataFrame, names: Sequence[str], keep: Sequence[str] = (),
     st = stats.select(F.struct(*fields).alias("st")).scalar()
     cols = [((F.col(n) - st.getField(f"m{i}")) / st.getField(f"s{i}")).alias(n) for i, n in enumerate(names)]
     return wide.select(*keep, *cols)
+
+
+def to_form(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """Configuration rows in form spelling: typed 0/1 flags -> Yes/No, typed codes -> texts.
+
+    Text columns are kept as they are, so the function is idempotent.
+    """
+    types = dict(df.dtypes)
+    cols = {}
+    for f in spec.fields:
+        if f.name not in types or not types[f.name].startswith(_NUMERIC):
+            continue
+        if f.role == FLAG:
+            cols[f.name] = F.when(F.col(f.name) == 1, F.lit("Yes")).otherwise(F.lit("No"))
+        elif f.role == CODE:
+            cols[f.name] = (F.when(F.col(f.name) == 1, F.lit(f.positive))
+                             .when(F.col(f.name) == 0, F.lit(f.negative)))
+    return df.withColumns(cols) if cols else df

@@ -110,10 +110,12 @@ def _explode_values(df: DataFrame, name: str, values: Sequence, idx_name: str) -
 
 
 def candidate_grid(sites: DataFrame, space: SearchSpace, variant: str = "A",
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, code_values: dict | None = None) -> DataFrame:
     """Item x site (type, area) x level x free flags/codes x loadout (x post-hoc values).
 
     ``sites`` must carry site_type, area, site_ord, site_group (see ``reduced_sites``).
+    ``code_values`` maps each free code to its (positive, negative) texts; the
+    positive text is enumerated first.
     """
     spark = sites.sparkSession
     n_sites = 1 << 20  # radix for site ordinals (catalogue size bound)
@@ -125,7 +127,8 @@ def candidate_grid(sites: DataFrame, space: SearchSpace, variant: str = "A",
         base = _explode_values(base, f, ["Yes", "No"], f"_{f}_idx")
         ordinal = ordinal * 2 + F.col(f"_{f}_idx")
     for c in space.free_codes:
-        base = _explode_values(base, c, [1, 0], f"_{c}_idx")
+        pos, neg = (code_values or {}).get(c, ("1", "0"))
+        base = _explode_values(base, c, [pos, neg], f"_{c}_idx")
         ordinal = ordinal * 2 + F.col(f"_{c}_idx")
     base = base.withColumn("ordinal", ordinal.cast("long"))
     base = base.repartition(partitions or shuffle_partitions(spark))
@@ -140,7 +143,8 @@ def candidate_grid(sites: DataFrame, space: SearchSpace, variant: str = "A",
 
 
 def candidate_budget(sites: DataFrame, space: SearchSpace, variant: str = "A",
-                     per_option: int | None = None, areas_per_type: dict | None = None) -> DataFrame:
+                     per_option: int | None = None, areas_per_type: dict | None = None,
+                     code_values: dict | None = None) -> DataFrame:
     """the top-configuration grid: level and post-hoc values fixed; optionally only
     the ``areas_per_type`` largest areas of each site type and the first ``per_option``
     loadouts of each option (priority order).  Both caps are off by default
@@ -158,7 +162,7 @@ def candidate_budget(sites: DataFrame, space: SearchSpace, variant: str = "A",
     one_level = SearchSpace(**{**space.__dict__, "levels": (space.top_level,),
                                "posthoc_own": (space.top_posthoc[0],),
                                "posthoc_other": (space.top_posthoc[1],)})
-    grid = candidate_grid(s, one_level, variant)
+    grid = candidate_grid(s, one_level, variant, code_values=code_values)
     if per_option is not None:
         w = Window.partitionBy(space.option_field).orderBy("loadout_ord")
         lo = loadouts(sites.sparkSession, space).withColumn("_lr", F.row_number().over(w))
@@ -175,3 +179,8 @@ def config_fields(space: SearchSpace, variant: str = "A") -> list[str]:
         f += ["own_amt", "other_amt"]
     return f
 
+
+
+def spec_code_values(spec) -> dict:
+    """(positive, negative) texts of the spec's two-valued code fields."""
+    return {f.name: (f.positive, f.negative) for f in spec.fields if f.positive is not None}

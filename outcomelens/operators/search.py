@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .configs import candidate_grid, config_fields
+from ..functions.encode import to_form
+from .configs import candidate_grid, config_fields, spec_code_values
 from .scoring import Scorer, score_batch
 
 
@@ -53,11 +54,14 @@ def first_over_threshold(scored: DataFrame, fields: Sequence[str], threshold: fl
                     F.col("_w.ordinal").alias("ordinal"), "found_early")
 
 
-def overlay(baselines: DataFrame, winner: DataFrame, fields: Sequence[str]) -> DataFrame:
+def overlay(baselines: DataFrame, winner: DataFrame, fields: Sequence[str], spec=None) -> DataFrame:
     """The (one-row) winner's fields override each baseline's; others stay.
 
     The winner enters as one scalar subquery returning a struct, not as a join.
+    With ``spec``, typed baselines are first brought to form spelling.
     """
+    if spec is not None:
+        baselines = to_form(baselines, spec)
     present = [f for f in fields if f in winner.columns]
     w = winner.select(F.struct(*present).alias("w")).scalar()
     return baselines.withColumns({f: F.coalesce(w.getField(f), F.col(f)) if f in baselines.columns
@@ -97,9 +101,10 @@ def optimize_configs(baselines: DataFrame, sites: DataFrame, scorer: Scorer,
     uncovered = [f.name for f in scorer.spec.features(scorer.variant) if f.name not in fields]
     if uncovered:  # a baseline-dependent candidate would need per-baseline scoring
         raise ValueError(f"search space leaves features unset: {uncovered}")
-    grid = candidate_grid(sites, space, scorer.variant)
+    grid = candidate_grid(sites, space, scorer.variant, code_values=spec_code_values(scorer.spec))
     scored = score_batch(grid, scorer, [*fields, "site_group", "ordinal"], check_cost=False)
     win = first_over_threshold(scored, [*fields, "site_group"], threshold)
+    baselines = to_form(baselines, scorer.spec)   # one spelling for baseline and winner fields
     cur = score_batch(baselines, scorer, [*keys, *[f for f in fields if f in baselines.columns]])
     w = win.select(F.struct("*").alias("w")).scalar()   # one row, evaluated once
     wrow = {f"best_{f}": w.getField(f) for f in [*fields, "site_group"]}

@@ -53,3 +53,32 @@ def test_median_fill_and_scoring(spark):
     s = score_batch(typed.withColumn("k", F.monotonically_increasing_id()), sc, ["k"]).collect()
     # the DHBL row uses 2 + 1 + 1 flag = 4 slots: valid; every row here is within the limit
     assert all(r.error is None and 0.0 < r.probability < 1.0 for r in s)
+
+
+def test_search_on_original_layout_matches_brute_force(spark):
+    from outcomelens.operators import configs as C
+    from outcomelens.operators import search as Q
+    typed = _typed(spark)
+    c = fit_contract(typed, GAME_SPEC, "B")
+    sc = Scorer(GAME_SPEC, c, Scaler.fit(expand_features(typed, c, GAME_SPEC), c.names), fixed_logistic(c.names))
+    sites = spark.createDataFrame(
+        [("Shack", "Farm", "Outdoor", 9728.0), ("Barn", "Farm", "Outdoor", 8448.0),
+         ("Lab", "City", "Indoor", 6272.0), ("Hall", "City", "Indoor", 6272.0)],
+        "site string, site_group string, site_type string, area double")
+    red = C.reduced_sites(C.top_sites_per_group(sites, 5))
+    assert red.count() == 3                       # two indoor sites share (type, area)
+    space = GAME_SPEC.search
+    grid = C.candidate_grid(red, space, "B")
+    fields = C.config_fields(space, "B")
+    assert grid.count() == 8 * 3 * 6 * 2 * 8 * 71
+    scored = score_batch(grid, sc, [*fields, "site_group", "ordinal"], check_cost=False).collect()
+    best = max(scored, key=lambda r: (r.probability, -r.ordinal))
+    early = [r for r in scored if r.probability >= 0.95]
+    win = min(early, key=lambda r: r.ordinal) if early else best
+    base = typed.withColumn("config_id", F.monotonically_increasing_id().cast("string")).drop("own_amt", "other_amt")
+    out = Q.optimize_configs(base, red, sc, "config_id").collect()
+    assert len(out) == 6
+    for r in out:
+        assert r.best_chance >= r.current_chance - 1e-9
+        if r.site_group is not None:                # the grid winner was taken
+            assert abs(r.best_chance - win.probability * 100) < 1e-9 and r.item == win.item
