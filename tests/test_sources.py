@@ -38,3 +38,31 @@ def test_rate_stream_is_time_zone_independent(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert a == b and len(a) > 0
+
+
+def test_score_stream_splits_valid_and_quarantined(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from outcomelens.operators.configs import valid_configs
+    from outcomelens.plans.fixture_model import fixture_scorer
+    from outcomelens.session import ensure_checkpoint_dir
+    from outcomelens.sources.fixtures import fact_from_lineitem, fact_records, table
+    from outcomelens.spec import FIXTURE_SPEC
+    from outcomelens.streaming.score_stream import start_score_stream
+
+    sf = "/root/testdata/sf0.001"
+    sc = fixture_scorer(spark, sf, "B")
+    src = (spark.readStream.schema(table(spark, sf, "lineitem").schema)
+                .option("pathGlobFilter", "lineitem.parquet").parquet(sf))
+    base = f"{ensure_checkpoint_dir(spark)}/test-stream-{uuid.uuid4().hex}"
+    keep = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "own_amt"]
+    q = start_score_stream(spark, src, lambda li: fact_from_lineitem(spark, sf, li), sc, keep,
+                           f"{base}/out", f"{base}/bad", f"{base}/ck")
+    q.awaitTermination()
+    out, bad = spark.read.parquet(f"{base}/out"), spark.read.parquet(f"{base}/bad")
+    total = fact_records(spark, sf).count()
+    assert out.count() == valid_configs(fact_records(spark, sf), FIXTURE_SPEC.search).count()
+    assert out.count() + bad.count() == total
+    assert bad.where(F.col("error").isNull()).count() == 0
