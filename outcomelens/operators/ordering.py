@@ -33,19 +33,25 @@ _POS = "_ol_pos"
 _LOCAL = "_ol_local"
 
 
-def _frozen_sorted(df: DataFrame, order: Sequence[Column | str], partitions: int | None) -> DataFrame:
+def _frozen_sorted(df: DataFrame, order: Sequence[Column | str], partitions: int | None,
+                   keep_input: bool = False) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or shuffle_partitions(spark)
-    # the range bounds are sampled in one job and the data moved in the next: keep the
-    # input (memory, spilling to disk) between the two instead of computing it twice;
-    # lost blocks are recomputed from lineage
+    # The range bounds are sampled in one job and the data moved in the next.  For a
+    # pre-aggregated input (``keep_input``) it is cheaper to keep it between the two
+    # (memory, spilling to disk; lost blocks recompute from lineage) than to rebuild it;
+    # raw row-level input is recomputed instead of being cached whole.
+    def stamp(src: DataFrame) -> DataFrame:
+        ranged = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        return (ranged.withColumn(_PID, F.spark_partition_id())
+                      .withColumn(_POS, F.monotonically_increasing_id())).checkpoint(eager=True)
+
+    if not keep_input:
+        return stamp(df)
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ranged = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        stamped = (ranged.withColumn(_PID, F.spark_partition_id())
-                         .withColumn(_POS, F.monotonically_increasing_id()))
-        return stamped.checkpoint(eager=True)
+        return stamp(src)
     finally:
         src.unpersist()
 
@@ -70,13 +76,15 @@ def global_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx"
 
 
 def prefix_sum(df: DataFrame, order: Sequence[Column | str], weight: str,
-               name: str = "before", partitions: int | None = None) -> DataFrame:
+               name: str = "before", partitions: int | None = None,
+               keep_input: bool = True) -> DataFrame:
     """Add ``name`` = sum of ``weight`` over all rows strictly before this one.
 
     The in-partition running sum runs in ``mapInPandas`` (batches of one
-    partition arrive in order), so no extra shuffle is needed.
+    partition arrive in order), so no extra shuffle is needed.  ``keep_input``
+    suits its usual input, a frame already aggregated per distinct value.
     """
-    frozen = _frozen_sorted(df, order, partitions)
+    frozen = _frozen_sorted(df, order, partitions, keep_input)
     schema = T.StructType(frozen.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
 
     def running(batches):
