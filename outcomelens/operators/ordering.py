@@ -105,12 +105,14 @@ def prefix_sum(df: DataFrame, order: Sequence[Column | str], weight: str,
 
 
 def exact_quantile_frame(df: DataFrame, value: str, group_col: str | None = None,
-                         q: float = 0.5) -> DataFrame:
+                         q: float = 0.5, with_stats: bool = False) -> DataFrame:
     """Exact interpolated quantile (pandas/DuckDB ``median`` semantics) of ``value``.
 
     Skew-proof: values are first counted per distinct value (map-side combine
     collapses a hot value to one row per task), then located by a distributed
-    prefix sum over (group, value).  Returns one row per group: (group?, q_value).
+    prefix sum over (group, value).  Returns one row per group: (group?, q_value);
+    ``with_stats`` (grouped form) adds n, min, max and mean from the same per-value
+    counts, so a summary needs no second pass over the rows.
     """
     keys = [group_col] if group_col else []
     v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -120,8 +122,10 @@ def exact_quantile_frame(df: DataFrame, value: str, group_col: str | None = None
     pre = prefix_sum(counts, order, "_ol_n", name="_ol_before")
     # the order starts with the group keys, so a group's first row carries its start
     if keys:
-        grp = pre.groupBy(*keys).agg(F.min("_ol_before").alias("_ol_gstart"),
-                                     F.sum("_ol_n").alias("_ol_total"))
+        grp = pre.groupBy(*keys).agg(
+            F.min("_ol_before").alias("_ol_gstart"), F.sum("_ol_n").alias("_ol_total"),
+            F.min("_ol_v").alias("_ol_min"), F.max("_ol_v").alias("_ol_max"),
+            (F.sum(F.col("_ol_v") * F.col("_ol_n")) / F.sum("_ol_n")).alias("_ol_mean"))
         pre = pre.join(grp, keys)
     else:  # one group: its start is 0 and its size a scalar subquery
         pre = pre.withColumns({"_ol_gstart": F.lit(0).cast("long"),
@@ -133,13 +137,17 @@ def exact_quantile_frame(df: DataFrame, value: str, group_col: str | None = None
     k_lo = F.floor(pos)
     k_hi = F.ceil(pos)
     frac = pos - k_lo
-    marked = pre.select(*keys, "_ol_v",
+    stats = ["_ol_total", "_ol_min", "_ol_max", "_ol_mean"] if (with_stats and keys) else []
+    marked = pre.select(*keys, "_ol_v", *stats,
                         ((k_lo >= lo) & (k_lo <= hi)).alias("_is_lo"),
                         ((k_hi >= lo) & (k_hi <= hi)).alias("_is_hi"),
                         frac.alias("_frac"))
     agg = marked.where("_is_lo OR _is_hi").groupBy(*keys).agg(
         F.max(F.when(F.col("_is_lo"), F.col("_ol_v"))).alias("_v_lo"),
         F.max(F.when(F.col("_is_hi"), F.col("_ol_v"))).alias("_v_hi"),
-        F.first("_frac").alias("_frac"))
-    return agg.select(*keys, (F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac"))
-                      .alias("q_value"))
+        F.first("_frac").alias("_frac"), *[F.first(c).alias(c) for c in stats])
+    out = [*keys, (F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac")).alias("q_value")]
+    if stats:
+        out += [F.col("_ol_total").alias("n"), F.col("_ol_min").alias("min"), F.col("_ol_max").alias("max"),
+                F.col("_ol_mean").alias("mean")]
+    return agg.select(*out)

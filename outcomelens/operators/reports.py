@@ -109,13 +109,14 @@ def histogram(df: DataFrame, columns: Sequence[str], width: float = 5000.0) -> D
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Min, max, mean, exact median, count per numeric column (one pass + median pass)."""
+    """Min, max, mean, exact median, count per numeric column.
+
+    All five come from one aggregation per (column, value): the exact median's
+    per-value counts also give count, min, max and mean (sum of value x count / count).
+    """
     long = _long_numeric(df, columns)
-    basic = long.groupBy("column").agg(
-        F.min("x").alias("min"), F.max("x").alias("max"),
-        F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    med = exact_quantile_frame(long, "x", "column").withColumnRenamed("q_value", "median")
-    return basic.join(med, "column").select("column", "min", "max", "mean", "median", "n")
+    s = exact_quantile_frame(long, "x", "column", with_stats=True)
+    return s.select("column", "min", "max", "mean", F.col("q_value").alias("median"), "n")
 
 
 def rate_curve(df: DataFrame, column: str, label: str = "label") -> DataFrame:
