@@ -6,3 +6,10 @@ Python runs inside tasks only where a fitted network is evaluated (Arrow batches
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel whole, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
