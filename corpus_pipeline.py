@@ -8,9 +8,11 @@ to the next stage.  All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from outcomelens.llm import mixing, quality
+from outcomelens.llm import bpe, minhash, mixing, quality, secret_scan
 from outcomelens.llm.common import read, written
+from outcomelens.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +20,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that with the smallest doc_id."""
+    return minhash.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed stream: a row per copy taken, in training order."""
     return mixing.mix(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row of the mix, and a hash of their decoded text."""
+    path = vocabulary()
+    return (docs.select("doc_id", "lang", "source", bpe.encode(F.col("text"), path).alias("token_ids"))
+            .select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+                    F.sha2(bpe.decode(F.col("token_ids"), path), 256).alias("decoded_sha256")))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
     ("source_mix", source_mix),
+    ("tokens", tokens),
 ]
 #: The near-duplicate and token stages can't be said in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None

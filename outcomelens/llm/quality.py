@@ -68,7 +68,6 @@ def repeat_words(words: list[str]) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
-@F.pandas_udf(MEASURES)
 def _measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     word, letter = re.compile(WORD), re.compile(r"[^\W\d_]")
     symbols = re.compile(r"[#*$%&|<>]")
@@ -97,7 +96,7 @@ def fail_bits(measures: str) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a struct ``__q`` of measurements and the failure bits ``__bits``."""
-    return docs.withColumn("__q", _measure(F.col(text))).withColumn("__bits", fail_bits("__q"))
+    return docs.withColumn("__q", F.pandas_udf(_measure, MEASURES)(F.col(text))).withColumn("__bits", fail_bits("__q"))
 
 
 def passes(policy: str = "v1") -> Column:
