@@ -33,3 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str = "t", by: str = "doc_id", how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join ``rows`` with a table of one row per ``key``, through (key, salt).
+
+    The salt comes from the column ``by``, so the rows of a frequent key are dealt over tasks.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    back = rows.select(key, "salt").distinct().join(table, key)
+    return rows.join(back, [key, "salt"], how).drop("salt")

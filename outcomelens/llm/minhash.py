@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outcomelens.llm.common import WORD, written
+from outcomelens.llm.common import WORD, spread, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -218,16 +218,6 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
-def spread(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Join ``rows`` (doc_id, t, ...) with a table of one row per ``t``.
-
-    Goes through (t, salt), so that a text with very many copies is dealt over tasks.
-    """
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)))
-    back = rows.select("t", "salt").distinct().join(table, "t")
-    return rows.join(back, ["t", "salt"]).drop("salt")
-
-
 def identity(docs: DataFrame) -> DataFrame:
     """``docs`` with ``t`` (hash of the text) and ``own``: the doc_id, or a negative number from t."""
     docs = docs.withColumn("t", F.md5(F.coalesce("text", F.lit(""))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outcomelens.llm import bpe, minhash, mixing, quality, secret_scan
+from outcomelens.llm import bpe, langid, minhash, mixing, pu_quality, quality, secret_scan, warc
 from outcomelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_warc")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(read(spark, sf_dir, "pages"))
+
+
 @query("op3_minhash_dedup")
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.digest(read(spark, sf_dir, "documents"))
@@ -43,6 +48,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 
 
+@query("op6_langid")
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(read(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
@@ -51,3 +61,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op10_pu_quality")
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
