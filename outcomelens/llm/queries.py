@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outcomelens.llm import bpe, langid, minhash, mixing, pu_quality, quality, secret_scan, warc
+from outcomelens.llm import ann, bpe, langid, minhash, mixing, pu_quality, quality, secret_scan, warc
 from outcomelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pu_quality")
 def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op8_ann")
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(read(spark, sf_dir, "embeddings"))
