@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outcomelens.llm import ann, bpe, langid, minhash, mixing, pu_quality, quality, secret_scan, warc
+from outcomelens.llm import ann, bpe, langid, lm, minhash, mixing, pu_quality, quality, secret_scan, warc
 from outcomelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ann")
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.digest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op2_lm_score")
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digest(read(spark, sf_dir, "documents"))
