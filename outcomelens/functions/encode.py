@@ -71,12 +71,13 @@ def _number(name: str, default: float, types: dict | None) -> Column:
 
 def feature_terms(spec: TableSpec, variant: str, vocabularies: dict,
                   present: Sequence[str] | None = None,
-                  types: dict | None = None) -> list[tuple[str, Column]]:
+                  types: dict | None = None, training: bool = False) -> list[tuple[str, Column]]:
     """Ordered (name, expression) pairs.
 
     Works on typed training records (flags/codes as 0/1) and on configuration
-    rows in form spelling (flags Yes/No, codes as text); missing numerics take
-    the field's serving default.
+    rows in form spelling (flags Yes/No, codes as text); missing numerics and
+    missing discovered categories take the field's serving default (in ``training``
+    a missing discovered category stays all zeros).
     """
     out: list[tuple[str, Column]] = []
     for f in spec.features(variant):
@@ -94,6 +95,8 @@ def feature_terms(spec: TableSpec, variant: str, vocabularies: dict,
                     for x in f.vocab]
         elif f.role == FOUND_CAT:
             v = F.col(f.name).cast("string")
+            if f.default is not None and not training:
+                v = F.coalesce(v, F.lit(str(f.default)))
             out += [(f"{f.name}__{safe_name(x)}", F.when(v == F.lit(x), F.lit(1.0)).otherwise(F.lit(0.0)))
                     for x in sorted(vocabularies.get(f.name, []))]
     return out
@@ -102,23 +105,23 @@ def feature_terms(spec: TableSpec, variant: str, vocabularies: dict,
 def fit_contract(typed: DataFrame, spec: TableSpec, variant: str = "A") -> FeatureContract:
     """Discover FOUND_CAT vocabularies (bounded category lists) and fix the order."""
     from ..operators.reports import vocabulary_list
-    vocabs = {f.name: vocabulary_list(typed, f.name)
+    vocabs = {f.name: vocabulary_list(typed, f.name, spec.max_vocabulary)
               for f in spec.features(variant) if f.role == FOUND_CAT and f.name in typed.columns}
     names = tuple(n for n, _ in feature_terms(spec, variant, vocabs, typed.columns))
     return FeatureContract(variant, names, vocabs)
 
 
 def contract_terms(contract: FeatureContract, spec: TableSpec,
-                   types: dict | None = None) -> list[tuple[str, Column]]:
-    terms = dict(feature_terms(spec, contract.variant, contract.vocabularies, types=types))
+                   types: dict | None = None, training: bool = False) -> list[tuple[str, Column]]:
+    terms = dict(feature_terms(spec, contract.variant, contract.vocabularies, types=types, training=training))
     return [(n, terms[n]) for n in contract.names]
 
 
 def expand_features(typed: DataFrame, contract: FeatureContract, spec: TableSpec,
                     keep: Sequence[str] = ()) -> DataFrame:
-    """One column per feature (wide form), in contract order."""
+    """One column per feature (wide form), in contract order, of training records."""
     types = dict(typed.dtypes)
-    return typed.select(*keep, *[e.alias(n) for n, e in contract_terms(contract, spec, types)])
+    return typed.select(*keep, *[e.alias(n) for n, e in contract_terms(contract, spec, types, training=True)])
 
 
 def assemble_features(typed: DataFrame, contract: FeatureContract, spec: TableSpec,

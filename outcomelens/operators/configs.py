@@ -118,7 +118,7 @@ def candidate_grid(sites: DataFrame, space: SearchSpace, variant: str = "A",
     positive text is enumerated first.
     """
     spark = sites.sparkSession
-    n_sites = 1 << 20  # radix for site ordinals (catalogue size bound)
+    n_sites = sites.agg(F.max("site_ord") + 1).scalar()  # radix of the site place
     base = sites.select("site_type", "area", "site_ord", "site_group", "site")
     base = _explode_values(base, space.item_field, space.items, "_item_idx")
     base = _explode_values(base, space.level_field, [float(v) for v in space.levels], "_level_idx")

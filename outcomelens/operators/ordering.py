@@ -18,6 +18,7 @@ Range partitioning of unique keys is balanced, so no task gets a hot key.
 
 from __future__ import annotations
 
+import uuid
 from typing import Sequence
 
 from pyspark import StorageLevel
@@ -56,6 +57,14 @@ def _frozen_sorted(df: DataFrame, order: Sequence[Column | str], partitions: int
         src.unpersist()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: it is computed once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _offsets(frozen: DataFrame, weight: Column) -> DataFrame:
     per_part = frozen.groupBy(_PID).agg(F.sum(weight).alias("_ol_part_total"),
                                         F.min(_POS).alias("_ol_first_pos"))
@@ -126,7 +135,9 @@ def exact_quantile_frame(df: DataFrame, value: str, group_col: str | None = None
             F.min("_ol_before").alias("_ol_gstart"), F.sum("_ol_n").alias("_ol_total"),
             F.min("_ol_v").alias("_ol_min"), F.max("_ol_v").alias("_ol_max"),
             (F.sum(F.col("_ol_v") * F.col("_ol_n")) / F.sum("_ol_n")).alias("_ol_mean"))
-        pre = pre.join(grp, keys)
+        # one row per group (the column names): never join by hashing on them, which
+        # would bring all distinct values of a column to one task
+        pre = pre.join(F.broadcast(grp), keys)
     else:  # one group: its start is 0 and its size a scalar subquery
         pre = pre.withColumns({"_ol_gstart": F.lit(0).cast("long"),
                                "_ol_total": counts.agg(F.sum("_ol_n")).scalar()})

@@ -12,10 +12,11 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import as_number, blank_to_sentinel, lenient_int, lenient_numeric, normalize_flag
 from ..spec import NONE_VALUE
-from .ordering import exact_quantile_frame
+from .ordering import exact_quantile_frame, written
 
 
 def _rate(pos: str = "positives", n: str = "n"):
@@ -44,11 +45,18 @@ def value_counts(df: DataFrame, columns: Sequence[str], label: str = "label",
     """Rows per (feature, value) for each categorical column, plus the row total."""
     long = _long_categoricals(df, columns, label, blank_policy)
     g = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    # every row gives exactly one (sentinel-filled) value per feature, so the row
-    # total is the sum of n over any one feature of the small aggregated frame
-    first = [c for c in columns if c in df.columns][0]
-    total = g.where(F.col("feature") == first).agg(F.sum("n")).scalar()
-    return g.withColumn("total", F.coalesce(total, F.lit(0)).cast("long"))
+    return _with_total(g)
+
+
+def _with_total(g: DataFrame) -> DataFrame:
+    """Row total beside counts per (feature, value): every row gives exactly one (sentinel-filled)
+    value per feature, so a feature's counts sum to it.  Two steps over the counted frame, the
+    first by (feature, hash of the value), so a feature of very many values is dealt over tasks."""
+    g = g.withColumn("_s", F.pmod(F.xxhash64("value"), F.lit(64)))
+    part = Window.partitionBy("feature", "_s")
+    g = g.withColumn("_p", F.sum("n").over(part)).withColumn("_f", F.row_number().over(part.orderBy("value")) == 1)
+    firsts = g.where("_f").groupBy("feature").agg(F.sum("_p").alias("total"))
+    return g.join(F.broadcast(firsts), "feature").select("feature", "value", "n", F.col("total").cast("long").alias("total"))
 
 
 def rate_by_value(df: DataFrame, columns: Sequence[str], label: str = "label",
@@ -83,29 +91,44 @@ def _long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return (casted.unpivot([], cols, "column", "x").where(F.col("x").isNotNull()))
 
 
+def _bin_counts(long: DataFrame, width: float) -> DataFrame:
+    """(column, bin, n, largest value) per floor(x / width): one pass over the values."""
+    w = F.lit(float(width))
+    return long.groupBy("column", F.floor(F.col("x") / w).cast("long").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("x").alias("mx"))
+
+
+def _close_bins(bins: DataFrame, width: float) -> DataFrame:
+    """Counted bins -> (column, bin_start, n): the last bin is closed, empty bins between stay.
+
+    Each filled bin also gives the empty ones up to the next filled one, so the spine
+    is built in pieces and an outlier makes no array over all bins of a column.
+    """
+    w = int(width)
+    by = Window.partitionBy("column").orderBy("bin")
+    b = bins.withColumn("next", F.lead("bin").over(by)).withColumn("prev", F.lag("bin").over(by)).withColumn(
+        "prev_n", F.lag("n").over(by))
+    edge = (F.col("mx") == F.col("bin") * F.lit(float(width)))  # every value of the bin equals its lower edge
+    # the top bin holds only its lower edge: its values belong to the closed bin before it
+    folds = F.col("next").isNull() & edge & F.col("prev").isNotNull()
+    b = b.withColumn("folds", folds)
+    b = b.withColumn("next_folds", F.coalesce(F.lead("folds").over(by), F.lit(False))).withColumn("next_n", F.lead("n").over(by))
+    joined = F.when(F.col("next_folds") & (F.col("next") == F.col("bin") + 1), F.col("next_n")).otherwise(F.lit(0))
+    own = b.where("NOT folds OR prev <> bin - 1").select(
+        "column", F.when(F.col("folds"), F.col("bin") - 1).otherwise(F.col("bin")).alias("bin"), (F.col("n") + joined).alias("n"))
+    last = F.when(F.col("next_folds"), F.col("next") - 2).otherwise(F.col("next") - 1)
+    gaps = b.where(F.col("next").isNotNull() & (last > F.col("bin"))).select(
+        "column", F.explode(F.sequence(F.col("bin") + 1, last)).alias("bin"), F.lit(0).cast("long").alias("n"))
+    return own.unionByName(gaps).select("column", (F.col("bin") * w).alias("bin_start"), F.col("n").cast("long").alias("n"))
+
+
 def histogram(df: DataFrame, columns: Sequence[str], width: float = 5000.0) -> DataFrame:
     """Fixed-width bins from floor(min) to ceil(max); empty bins kept, last bin closed.
 
-    Rows are binned against a one-row-per-column stats frame (broadcast, bounded
-    by the column count), counted with partial aggregation, then left-joined to
-    a generated bin spine so empty bins appear with n = 0.
+    Rows are counted per bin in one pass; bounds, the closed last bin and the empty
+    bins follow from the counted frame.
     """
-    long = _long_numeric(df, columns)
-    w = F.lit(float(width))
-    stats = long.groupBy("column").agg(F.min("x").alias("_mn"), F.max("x").alias("_mx"))
-    stats = stats.select(
-        "column",
-        (F.floor(F.col("_mn") / w) * w).cast("long").alias("bin_min"),
-        (F.ceil(F.col("_mx") / w) * w).cast("long").alias("bin_max"))
-    stats = stats.withColumn("last_start", F.greatest(F.col("bin_max") - w.cast("long"), F.col("bin_min")))
-    binned = long.join(F.broadcast(stats), "column").select(
-        "column",
-        F.least((F.floor(F.col("x") / w) * w).cast("long"), F.col("last_start")).alias("bin_start"))
-    counts = binned.groupBy("column", "bin_start").agg(F.count(F.lit(1)).alias("n"))
-    spine = stats.select("column", F.explode(F.sequence("bin_min", "last_start", w.cast("long")))
-                         .alias("bin_start"))
-    return (spine.join(counts, ["column", "bin_start"], "left")
-                 .select("column", "bin_start", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return _close_bins(_bin_counts(_long_numeric(df, columns), width), width)
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -182,18 +205,15 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                   .where(F.col("value").isNotNull()).distinct())
 
 
-MAX_VOCABULARY = 10_000
-
-
-def vocabulary_list(df: DataFrame, column: str, max_values: int = MAX_VOCABULARY) -> list[str]:
+def vocabulary_list(df: DataFrame, column: str, max_values: int | None = None) -> list[str]:
     """Sorted vocabulary of a categorical column, brought to the driver.
 
-    Only category lists belong on the driver: more than ``max_values`` distinct
-    values is refused (the column should be numeric or hashed, not one-hot).
+    It becomes one feature per value, so it is as wide as the model.  ``max_values``
+    (off by default; ``TableSpec.max_vocabulary`` in a fit) refuses a wider column.
     """
-    rows = (df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL")
-              .distinct().orderBy("v").limit(max_values + 1).collect())
-    if len(rows) > max_values:
+    values = df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct().orderBy("v")
+    rows = (values if max_values is None else values.limit(max_values + 1)).collect()
+    if max_values is not None and len(rows) > max_values:
         raise ValueError(f"{column}: more than {max_values} distinct values; not a category column")
     return [r.v for r in rows]
 
@@ -201,13 +221,27 @@ def vocabulary_list(df: DataFrame, column: str, max_values: int = MAX_VOCABULARY
 def stats_union(df: DataFrame, categoricals: Sequence[str], numeric: str,
                 histogram_columns: Sequence[str], label: str = "label",
                 width: float = 5000.0) -> DataFrame:
-    """G1: C1, C3 and C5 as one tidy frame (kind, feature, value, n)."""
-    c1 = value_counts(df, categoricals, label).select(
-        F.lit("distribution").alias("kind"), "feature", "value", "n")
-    c3 = numeric_distribution(df, numeric, label).select(
-        F.lit("numeric").alias("kind"), F.lit(numeric).alias("feature"),
-        F.col("value").cast("string").alias("value"), "n")
-    c5 = histogram(df, histogram_columns, width).select(
-        F.lit("histogram").alias("kind"), F.col("column").alias("feature"),
-        F.col("bin_start").cast("string").alias("value"), "n")
-    return c1.unionByName(c3).unionByName(c5)
+    """G1: C1, C3 and C5 as one tidy frame (kind, feature, value, n), from one pass over the rows.
+
+    Each row gives its cells as (kind, feature, value or bin); one aggregate counts
+    them, and the bins are closed on the counted frame, which is written once so that
+    the two readers of it don't repeat the pass.
+    """
+    cats = [c for c in categoricals if c in df.columns]
+    hist = [c for c in histogram_columns if c in df.columns]
+    w = F.lit(float(width))
+
+    def cell(kind, feature, value, x):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(feature).alias("feature"), value.cast("string").alias("value"),
+                        x.cast("double").alias("x"))
+
+    none = F.lit(None).cast("double")
+    cells = [cell("distribution", c, blank_to_sentinel(F.col(c).cast("string"), NONE_VALUE), none) for c in cats]
+    cells.append(cell("numeric", numeric, as_number(df, numeric), as_number(df, numeric)))
+    cells += [cell("histogram", c, F.floor(as_number(df, c) / w).cast("long"), as_number(df, c)) for c in hist]
+    long = df.select(F.inline(F.array(*cells))).where("kind = 'distribution' OR x IS NOT NULL")
+    counted = written(long.groupBy("kind", "feature", "value").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("mx")), "stats")
+    bins = counted.where("kind = 'histogram'").select(F.col("feature").alias("column"), F.col("value").cast("long").alias("bin"), "n", "mx")
+    closed = _close_bins(bins, width).select(
+        F.lit("histogram").alias("kind"), F.col("column").alias("feature"), F.col("bin_start").cast("string").alias("value"), "n")
+    return counted.where("kind <> 'histogram'").select("kind", "feature", "value", "n").unionByName(closed)

@@ -69,21 +69,27 @@ def overlay(baselines: DataFrame, winner: DataFrame, fields: Sequence[str], spec
 
 
 def improvement(df: DataFrame, current: str = "current_chance", best: str = "best_chance") -> DataFrame:
-    """Best vs current chance per row; a negative delta keeps the current one, delta 0."""
+    """Best vs current chance per row; a negative delta keeps the current one, delta 0;
+    without one of the chances there is no improvement to state (null)."""
     delta = F.col(best) - F.col(current)
     return df.withColumns({
         best: F.when(delta < 0, F.col(current)).otherwise(F.col(best)),
-        "improvement": F.greatest(delta, F.lit(0.0)),
+        "improvement": F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0))),
     })
 
 
+def compare_columns(df: DataFrame, left: str, right: str) -> DataFrame:
+    """D6 where both chances stand in one row: left_chance, right_chance, delta."""
+    return df.withColumns({"left_chance": F.col(left), "right_chance": F.col(right)}).withColumn(
+        "delta", F.col("right_chance") - F.col("left_chance"))
+
+
 def compare_configs(scored: DataFrame, pairs: DataFrame, key: str = "config_id") -> DataFrame:
     """Chance of two configurations side by side (pairs: left_id, right_id)."""
     s = scored.select(key, "chance")
     a = s.select(F.col(key).alias("left_id"), F.col("chance").alias("left_chance"))
     b = s.select(F.col(key).alias("right_id"), F.col("chance").alias("right_chance"))
-    return (pairs.join(a, "left_id").join(b, "right_id")
-                 .withColumn("delta", F.col("right_chance") - F.col("left_chance")))
+    return compare_columns(pairs.join(a, "left_id").join(b, "right_id"), "left_chance", "right_chance")
 
 
 def optimize_configs(baselines: DataFrame, sites: DataFrame, scorer: Scorer,
@@ -93,7 +99,8 @@ def optimize_configs(baselines: DataFrame, sites: DataFrame, scorer: Scorer,
     The grid sets every feature, so candidate scores do not depend on the
     baseline: the grid is scored once and reduced by one aggregate (E6), then
     each baseline is compared with that winner (baseline counts as ordinal -1,
-    so it wins ties and its own >= threshold stops the search).
+    so it wins ties and its own >= threshold stops the search).  ``valid`` tells
+    whether the baseline itself keeps the slot limit.
     """
     keys = [key] if isinstance(key, str) else list(key)
     space = scorer.spec.search
@@ -122,7 +129,8 @@ def optimize_configs(baselines: DataFrame, sites: DataFrame, scorer: Scorer,
     res = out.select(*keys, *chosen,
                      F.when(F.col("_take"), F.col("best_site_group")).alias("site_group"),
                      (best_p * 100.0).alias("best_chance"),
-                     (F.col("probability") * 100.0).alias("current_chance"))
+                     (F.col("probability") * 100.0).alias("current_chance"),
+                     F.col("probability").isNotNull().alias("valid"))
     return improvement(res).withColumn("improvement", F.coalesce("improvement", F.lit(0.0)))
 
 

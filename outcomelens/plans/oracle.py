@@ -53,7 +53,7 @@ BATCH = """brec AS (
     CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 = 0 THEN 'true' ELSE 'No' END AS flag_b,
     CASE WHEN value > 100 THEN '1' ELSE '0' END AS flag_c,
     CASE WHEN user_id % 9 = 0 THEN 'YES' ELSE 'no' END AS flag_d
-  FROM events WHERE event_type <> 'signup')"""
+  FROM events)"""
 
 SPLIT = """srec AS (
   SELECT l.doc_id, l.quality AS label, d.lang, d.source, CAST(d.n_chars AS DOUBLE) AS n_chars

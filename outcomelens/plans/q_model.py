@@ -163,14 +163,13 @@ def q_round_display(spark, sf):
                     round_display(F.col("other_amt") / 7.0, 4).alias("other_4"))
 
 
-def _explain_sql(variant, max_rank=None):
+def _explain_sql(variant):
     terms = sql_terms(variant)
     w, _ = sql_weights(variant)
     cells = " UNION ALL ".join(
         f"SELECT {KEY_COLS}, '{n}' AS feature, {i} AS i, {w[i]!r}::DOUBLE * pp AS g FROM pp"
         for i, (n, _) in enumerate(terms))
     tot = " + ".join(f"abs({w[i]!r}::DOUBLE * pp)" for i in range(len(terms)))
-    filt = f"WHERE rank <= {max_rank}" if max_rank else ""
     return f"""WITH {FACT}, {sql_scaler_cte(variant)},
 g0 AS (SELECT {KEY_SQL}, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({sql_logit(variant)}))) AS p FROM fact, st),
 pp AS (SELECT {KEY_COLS}, p * (1.0::DOUBLE - p) AS pp FROM g0),
@@ -183,7 +182,7 @@ SELECT {KEY_COLS}, feature, rank,
   floor((CASE WHEN tot > 0 THEN abs(g) / tot * 100.0::DOUBLE ELSE abs(g) END) * 1e6::DOUBLE + 0.5::DOUBLE)
     / 1e6::DOUBLE AS magnitude,
   CASE WHEN g > 0 THEN 'positive' WHEN g < 0 THEN 'negative' ELSE 'neutral' END AS direction,
-  floor(g * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS raw_gradient FROM ranked {filt}"""
+  floor(g * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS raw_gradient FROM ranked"""
 
 
 def _round6(c):
@@ -204,9 +203,9 @@ def q_explain_gradient(spark, sf):
     return _explained(spark, sf, "B")
 
 
-@register("rank_contributions", _explain_sql("A", 3))
+@register("rank_contributions", _explain_sql("A"))
 def q_rank_contributions(spark, sf):
-    return _explained(spark, sf, "A").where(F.col("rank") <= 3)
+    return _explained(spark, sf, "A")
 
 
 @register("share_of_total", f"""WITH {FACT}, long AS ({union_long('fact', S.report_categoricals)}),
@@ -222,8 +221,9 @@ def q_share_of_total(spark, sf):
 
 
 # ---------------------------------------------------------------- evaluation
-_CONF_SQL = _scored_sql("A") + """,
-ok AS (SELECT label, p, p >= 0.5 AS pos FROM scored WHERE p IS NOT NULL),
+_CONF_SQL = f"""WITH {FACT}, {sql_scaler_cte('A')},
+pr AS (SELECT label, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({sql_logit('A')}))) AS p FROM fact, st)""" + """,
+ok AS (SELECT label, p, p >= 0.5 AS pos FROM pr),
 c AS (SELECT count(*) FILTER (WHERE label = 1 AND pos) AS tp, count(*) FILTER (WHERE label <> 1 AND pos) AS fp,
         count(*) FILTER (WHERE label <> 1 AND NOT pos) AS tn, count(*) FILTER (WHERE label = 1 AND NOT pos) AS fn,
         avg(-(label * ln(least(greatest(p, 1e-7), 1 - 1e-7))
@@ -235,8 +235,7 @@ m AS (SELECT *, coalesce(100.0::DOUBLE * (tp + tn) / nullif(tp + fp + tn + fn, 0
 
 def _confusion(spark, sf):
     sc = fixture_scorer(spark, sf, "A")
-    s = SC.score_batch(_fact(spark, sf).withColumnRenamed("label", "label"), sc, [*KEY, "label"])
-    return L.confusion(s.where(F.col("probability").isNotNull()))
+    return L.confusion(SC.score_batch(_fact(spark, sf), sc, ["label"], check_cost=False))
 
 
 @register("confusion", _CONF_SQL + """
@@ -253,8 +252,7 @@ def q_confusion(spark, sf):
 SELECT round(log_loss, 6) AS log_loss FROM m""")
 def q_log_loss(spark, sf):
     sc = fixture_scorer(spark, sf, "A")
-    s = SC.score_batch(_fact(spark, sf), sc, [*KEY, "label"]).where(F.col("probability").isNotNull())
-    return L.log_loss(s).select(F.round("log_loss", 6).alias("log_loss"))
+    return L.log_loss(SC.score_batch(_fact(spark, sf), sc, ["label"], check_cost=False)).select(F.round("log_loss", 6).alias("log_loss"))
 
 
 @register("quality_gate", _CONF_SQL + """

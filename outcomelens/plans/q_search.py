@@ -4,6 +4,7 @@ F4-F6, H9, H10) with the fixed-weight scorer."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import slot_cost
 from ..operators import configs as C
@@ -80,7 +81,7 @@ lo AS (SELECT opt, extra, {flags},
               + ({(1 << len(FLAGS)) - 1} - ({_msb()})) AS BIGINT) AS loadout_key
        FROM opts, ex, mk WHERE {opt_cost} + extra + bit_count(mask) = {SP.slot_limit}{lo_filter}),
 grid AS (SELECT item, red.site_type, red.area, level, opt, extra, {', '.join(FLAGS)}, site_group, site,
-           ((CAST(item_idx AS BIGINT) * 1048576 + site_ord) * {len(levels)} + level_idx) * {C.loadout_radix(SP)}
+           ((CAST(item_idx AS BIGINT) * (SELECT max(site_ord) + 1 FROM red) + site_ord) * {len(levels)} + level_idx) * {C.loadout_radix(SP)}
              + loadout_key AS ordinal
          FROM red, items, levels, lo)"""
 
@@ -223,55 +224,54 @@ j AS (SELECT cur.*, win.p AS cand_p, win.found_early,
         {', '.join(f'win.{f} AS best_{f}' for f in [*FIELDS_B, 'site_group'])} FROM cur, win),
 res AS (SELECT {KEY_COLS}, {', '.join(f'CASE WHEN take THEN best_{f} ELSE {f} END AS {f}' for f in FIELDS_B)},
           CASE WHEN take THEN best_site_group END AS site_group,
-          (CASE WHEN take THEN cand_p ELSE p END) * 100.0::DOUBLE AS best_chance, p * 100.0::DOUBLE AS current_chance
+          (CASE WHEN take THEN cand_p ELSE p END) * 100.0::DOUBLE AS best_chance, p * 100.0::DOUBLE AS current_chance,
+          p IS NOT NULL AS valid
         FROM j)"""
 
 
 @register("optimize_configs", _OPT + f"""
 SELECT {KEY_COLS}, {FIELDS_B_SQL}, site_group, round(best_chance, 4) AS best_chance,
   round(current_chance, 4) AS current_chance,
-  round(greatest(coalesce(best_chance - current_chance, 0.0), 0.0), 4) AS improvement FROM res""")
+  round(greatest(coalesce(best_chance - current_chance, 0.0), 0.0), 4) AS improvement, valid FROM res""")
 def q_optimize_configs(spark, sf):
     sc = fixture_scorer(spark, sf, "B")
     base = _fact(spark, sf).select(*KEY, *FIELDS_B)
     o = Q.optimize_configs(base, _sites(spark, sf), sc, KEY)
     return o.select(*KEY, *FIELDS_B, "site_group", *[F.round(c, 4).alias(c) for c in
-                                                     ("best_chance", "current_chance", "improvement")])
+                                                     ("best_chance", "current_chance", "improvement")], "valid")
 
 
-@register("improvement", _OPT + f"""
-SELECT {KEY_COLS}, round(current_chance, 4) AS current_chance,
-  round(CASE WHEN best_chance - current_chance < 0 THEN current_chance ELSE best_chance END, 4) AS best_chance,
-  round(greatest(best_chance - current_chance, 0.0), 4) AS improvement FROM res WHERE current_chance IS NOT NULL""")
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "own_key"]
+_PAIRED = f"""WITH {FACT}, {sql_scaler_cte('B')}, {_cur_sql()},
+l AS (SELECT {KEY_COLS}, p * 100.0::DOUBLE AS chance, lag(p * 100.0::DOUBLE) OVER (PARTITION BY l_orderkey
+        ORDER BY {", ".join(_LINE_ORDER)}) AS before FROM cur)"""
+
+
+def _paired(spark, sf):
+    """Every record's chance beside that of the record before it in its order (an order is a few lines)."""
+    s = score_batch(_fact(spark, sf), fixture_scorer(spark, sf, "B"), KEY)
+    return s.withColumn("before", F.lag("chance").over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)))
+
+
+@register("improvement", _PAIRED + f"""
+SELECT {KEY_COLS}, round(before, 4) AS current_chance,
+  round(CASE WHEN chance - before < 0 THEN before ELSE chance END, 4) AS best_chance,
+  round(CASE WHEN before IS NULL OR chance IS NULL THEN NULL ELSE greatest(chance - before, 0.0) END, 4) AS improvement FROM l""")
 def q_improvement(spark, sf):
-    sc = fixture_scorer(spark, sf, "B")
-    base = _fact(spark, sf).select(*KEY, *FIELDS_B)
-    o = Q.optimize_configs(base, _sites(spark, sf), sc, KEY).where(F.col("current_chance").isNotNull())
-    d = Q.improvement(o.select(*KEY, "current_chance", "best_chance"))
+    """Each record as a proposal against the record before it: gains, losses and missing chances."""
+    d = Q.improvement(_paired(spark, sf).select(*KEY, F.col("before").alias("current_chance"), F.col("chance").alias("best_chance")))
     return d.select(*KEY, *[F.round(c, 4).alias(c) for c in ("current_chance", "best_chance", "improvement")])
 
 
-@register("compare_configs", f"""WITH {FACT}, {sql_scaler_cte('B')}, {_cur_sql()},
-l AS (SELECT l_orderkey, l_linenumber, own_key, p * 100.0::DOUBLE AS chance FROM cur)
-SELECT a.l_orderkey, round(a.chance, 4) AS left_chance, round(b.chance, 4) AS right_chance,
-  round(b.chance - a.chance, 4) AS delta
-FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2""")
+@register("compare_configs", _PAIRED + f"""
+SELECT {KEY_COLS}, round(before, 4) AS left_chance, round(chance, 4) AS right_chance, round(chance - before, 4) AS delta FROM l""")
 def q_compare_configs(spark, sf):
-    """First vs second line of every order (pairs derived from the table)."""
-    sc = fixture_scorer(spark, sf, "B")
-    f = _fact(spark, sf)
-    s = score_batch(f, sc, [*KEY]).select(F.struct("l_orderkey", "l_linenumber", "own_key").alias("config_id"),
-                                          "chance")
-    ids = f.select("l_orderkey", "l_linenumber", "own_key")
-    left = ids.where("l_linenumber = 1").select("l_orderkey", F.struct("l_orderkey", "l_linenumber", "own_key").alias("left_id"))
-    right = ids.where("l_linenumber = 2").select("l_orderkey", F.struct("l_orderkey", "l_linenumber", "own_key").alias("right_id"))
-    pairs = left.join(right, "l_orderkey")
-    c = Q.compare_configs(s, pairs, "config_id")
-    return c.select("l_orderkey", F.round("left_chance", 4).alias("left_chance"),
-                    F.round("right_chance", 4).alias("right_chance"), F.round("delta", 4).alias("delta"))
-
-
-_TOPK = _scored_grid_sql(_grid_ctes(**_BUDGET)) + f""",
+    """Every record against the one before it in its order."""
+    c = Q.compare_columns(_paired(spark, sf), "before", "chance")
+    return c.select(*KEY, *[F.round(x, 4).alias(x) for x in ("left_chance", "right_chance", "delta")])
+
+
+_TOPK = _scored_grid_sql(_grid_ctes(levels=[SP.top_level])) + f""",
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(_DKEY)} ORDER BY p DESC, ordinal) AS dn
       FROM sg) WHERE dn = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY opt ORDER BY p DESC, ordinal) AS gr FROM d),
@@ -283,7 +283,7 @@ SELECT {FIELDS_B_SQL}, round(p * 100.0::DOUBLE, 4) AS chance, p >= 0.5 AS positi
 
 @register("diverse_top_k", _TOPK)
 def q_diverse_top_k(spark, sf):
-    _, s = _scored_grid(spark, sf, _budget_grid(spark, sf))
+    _, s = _scored_grid(spark, sf, C.candidate_budget(_sites(spark, sf), SP, "B"))
     t = Q.diverse_top_k(s, FIELDS_B, _DKEY, "opt", 5)
     return t.select(*FIELDS_B, F.round("chance", 4).alias("chance"), (F.col("probability") >= 0.5).alias("positive"),
                     "pick_rank")
@@ -292,5 +292,5 @@ def q_diverse_top_k(spark, sf):
 @register("top_configs", _TOPK)
 def q_top_configs(spark, sf):
     sc = fixture_scorer(spark, sf, "B")
-    t = Q.top_configs(_budget_grid(spark, sf), sc, 5)
+    t = Q.top_configs(C.candidate_budget(_sites(spark, sf), SP, "B"), sc, 5)
     return t.select(*FIELDS_B, F.round("chance", 4).alias("chance"), "positive", "pick_rank")

@@ -23,8 +23,9 @@ def _scratch(spark, name):
 
 @register("score_stream", f"""WITH {FACT}, {sql_scaler_cte('A')}
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, own_amt AS own_key,
-  round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({sql_logit('A')}))), 6) AS probability
-FROM fact, st WHERE {sql_cost()} <= 4""")
+  CASE WHEN {sql_cost()} <= 4 THEN round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({sql_logit('A')}))), 6) END AS probability,
+  CASE WHEN {sql_cost()} > 4 THEN 'invalid configuration: ' || CAST({sql_cost()} AS VARCHAR) || ' slots used, limit 4' END AS error
+FROM fact, st""")
 def q_score_stream(spark, sf):
     """Line items arrive as a stream, join static dimensions, are scored; valid rows
     land in the output sink and over-limit rows in the quarantine sink."""
@@ -37,23 +38,21 @@ def q_score_stream(spark, sf):
         spark, src, lambda li: fact_from_lineitem(spark, sf, li).withColumn("own_key", F.col("own_amt")),
         sc, KEY, f"{base}/out", f"{base}/quarantine", f"{base}/_checkpoint")
     q.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    return out.select(*KEY, F.round("probability", 6).alias("probability"))
+    both = spark.read.parquet(f"{base}/out").unionByName(spark.read.parquet(f"{base}/quarantine"))
+    return both.select(*KEY, F.round("probability", 6).alias("probability"), "error")
 
 
 @register("rate_stream", f"""WITH {BATCH},
 g AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS window_start, {norm_flag('flag_d')} AS value, count(*) AS n,
         count(*) FILTER (WHERE label = 1) AS positives FROM brec GROUP BY 1, 2)
-SELECT window_start, value, n, positives, 100.0::DOUBLE * positives / n AS rate FROM g
-WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM brec)""")
+SELECT window_start, value, n, positives, 100.0::DOUBLE * positives / n AS rate FROM g""")
 def q_rate_stream(spark, sf):
-    """Purchase rate per (day window, flag value) with a watermark; append mode emits
-    closed windows only, so the last (open) day is withheld."""
+    """Purchase rate per (day window, flag value), in complete mode: the last, open day too."""
     schema = table(spark, sf, "events").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rates = windowed_rates(events_as_records(src), "ts", "flag_d")
+    rates = windowed_rates(events_as_records(src), "ts", "flag_d", delay="1 day")
     base = _scratch(spark, "rates")
-    q = start_rate_stream(rates, f"{base}/out", f"{base}/_checkpoint")
+    q = start_rate_stream(rates, f"{base}/out", f"{base}/_checkpoint", complete=True)
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     return out.select(window_date("window_start").alias("window_start"), "value", "n", "positives", "rate")

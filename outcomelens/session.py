@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "outcomelens",
-                  shuffle_partitions: int | None = None) -> SparkSession:
-    """Session tuned for the engine: AQE on, UI off, UTC, Arrow on."""
-    master = master or os.environ.get("OUTCOMELENS_MASTER", "local[8]")
-    b = (SparkSession.builder.master(master).appName(app)
+                  shuffle_partitions: int | None = None, checkpoint_dir: str | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
+    """Session tuned for the engine: AQE on, UI off, UTC, Arrow on.
+
+    The master and the memory settings are the submit command's; ``master`` and
+    ``driver_memory`` are set only when given (tests, the bench).
+    """
+    master = master or os.environ.get("OUTCOMELENS_MASTER")
+    b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -20,7 +24,14 @@ def build_session(master: str | None = None, app: str = "outcomelens",
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.driver.memory", os.environ.get("OUTCOMELENS_DRIVER_MEM", "8g")))
+         # checkpoint files go when the frames that need them do
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
+    if master:
+        b = b.master(master)
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
@@ -31,9 +42,9 @@ def build_session(master: str | None = None, app: str = "outcomelens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
-    On a cluster the folder must be the shared one named by
-    ``spark.checkpoint.dir``; it is only read here.  A local-mode session
-    without one (tests, the bench) gets a fresh scratch folder.
+    The folder is the shared one named by ``spark.checkpoint.dir``.  Where that
+    is unset, a folder inside the SQL warehouse is taken, which executors share
+    too; no machine-local temporary folder is ever used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,11 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/ABFS) "
-            "so lineage cuts survive executor loss")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="outcomelens-ckpt-"))
+    sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 
 

@@ -90,7 +90,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as ordered records: order key (ts, event_id); signups left out.
+    """All events as ordered records: order key (ts, event_id).
 
     positive = purchase; item = event type; site type = event type, missing on
     errors; count = props.k % 4; flags written in mixed spellings.
@@ -100,9 +100,8 @@ def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_as_records(events: DataFrame) -> DataFrame:
     """Projection of an events frame (static or streaming) to ordered records."""
-    e = events.where(F.col("event_type") != "signup")
     k = F.get_json_object("props", "$.k").cast("int")
-    return e.select(
+    return events.select(
         "ts", "event_id", "user_id",
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"),
         F.col("event_type").alias("item"),

@@ -70,6 +70,7 @@ class TableSpec:
     report_categoricals: tuple[str, ...] = dc_field(default_factory=tuple)
     report_numeric: str | None = None
     histogram_columns: tuple[str, ...] = ()
+    max_vocabulary: int | None = None      # refuse wider discovered vocabularies (off: no limit)
 
     def get(self, name: str) -> Field:
         for f in self.fields:
@@ -145,7 +146,6 @@ FIXTURE_SPEC = TableSpec(
 # Fixed values that must equal the original application's: column names,
 # vocabularies, code texts, defaults and search grids, in their original order.
 GAME_ITEMS_TRAIN = ("Firecracker", "Flashlight", "Key", "Map", "Medkit", "Toolbox", "None")
-GAME_ITEMS_SERVE = ("Firecracker", "Flashlight", "Fog Vial", "Key", "Map", "Medkit", "Toolbox", "None")
 GAME_EXHAUSTION = ("None", "Sprint Burst", "Dead Hard", "Lithe", "Overcome", "DHBL",
                    "Balanced Landing", "Background Player", "Head On")
 GAME_SEARCH_ITEMS = ("Medkit", "Toolbox", "Flashlight", "Key", "Map", "Firecracker", "Fog Vial", "None")

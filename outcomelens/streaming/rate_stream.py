@@ -3,8 +3,10 @@
 Event time needs a TIMESTAMP column for ``withWatermark`` (TIMESTAMP_NTZ is
 refused).  A wall-clock (NTZ) time is turned into an instant by reading its
 fields as UTC, so day windows are wall-clock days whatever the session time
-zone.  Append mode emits a window once the watermark passes its end; late rows
-beyond the watermark are dropped by Spark.
+zone.  ``delay`` says how late a row may come; the caller must choose it, since
+Spark drops rows that come later.  In append mode a window is emitted once the
+watermark passes its end, so the last, still open window is withheld; complete
+mode gives all windows so far with every micro-batch.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ def window_date(c: str):
     return F.date_from_unix_date(F.floor(F.unix_seconds(F.col(c)) / 86400).cast("int"))
 
 
-def windowed_rates(records: DataFrame, ts: str, value: str, label: str = "label",
-                   window: str = "1 day", delay: str = "0 seconds") -> DataFrame:
+def windowed_rates(records: DataFrame, ts: str, value: str, label: str = "label", *,
+                   delay: str, window: str = "1 day") -> DataFrame:
     """Streaming-safe aggregate: window start/end, value, n, positives, rate."""
     ts_type = dict(records.dtypes).get(ts, "timestamp")
     instant = as_utc_instant(ts) if ts_type == "timestamp_ntz" else F.col(ts).cast("timestamp")
@@ -39,8 +41,15 @@ def windowed_rates(records: DataFrame, ts: str, value: str, label: str = "label"
                     "n", "positives", (F.lit(100.0) * F.col("positives") / F.col("n")).alias("rate"))
 
 
-def start_rate_stream(rates: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
-    w = (rates.writeStream.outputMode("append").format("parquet")
-              .option("path", out_path).option("checkpointLocation", checkpoint))
+def start_rate_stream(rates: DataFrame, out_path: str, checkpoint: str, available_now: bool = True,
+                      complete: bool = False):
+    """Start writing rates: closed windows appended to files, or (``complete``) all windows so far,
+    each micro-batch replacing the files under ``out_path``."""
+    if complete:
+        w = rates.writeStream.outputMode("complete").foreachBatch(
+            lambda batch, epoch: batch.write.mode("overwrite").parquet(out_path))
+    else:
+        w = rates.writeStream.outputMode("append").format("parquet").option("path", out_path)
+    w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

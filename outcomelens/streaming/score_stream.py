@@ -1,10 +1,10 @@
 """I1 score_stream: score arriving records continuously.
 
 readStream (schema fixed up front) -> the same typed projection and scorer as
-batch scoring -> valid rows appended to a parquet sink, rows over the slot
-limit to a quarantine sink.  Both sinks and the checkpoints live under the
-session's shared checkpoint folder unless paths are given, so a restarted or
-moved driver resumes exactly once per file.
+batch scoring -> valid rows to a parquet sink, rows over the slot limit to a
+quarantine sink.  Each micro-batch writes its own folder (``epoch=N``) with
+overwrite, so a batch that is replayed after a crash between the two writes
+replaces its rows instead of adding them again.
 """
 
 from __future__ import annotations
@@ -23,15 +23,20 @@ def start_score_stream(spark: SparkSession, source: DataFrame, to_records: Calla
     """Start the streaming query; returns the StreamingQuery (foreachBatch, two sinks)."""
     scored = score_batch(to_records(source), scorer, keep)
 
+    sink = epoch_sink(out_path, quarantine_path)
+    w = scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
+def epoch_sink(out_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
+    """Write a scored micro-batch to the two sinks, under its epoch."""
     def sink(batch: DataFrame, epoch: int) -> None:
         # the micro-batch feeds two sinks: keep it for the second write instead of recomputing
         batch.persist()
         try:
-            batch.where(F.col("error").isNull()).write.mode("append").parquet(out_path)
-            batch.where(F.col("error").isNotNull()).write.mode("append").parquet(quarantine_path)
+            batch.where(F.col("error").isNull()).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+            batch.where(F.col("error").isNotNull()).write.mode("overwrite").parquet(f"{quarantine_path}/epoch={epoch}")
         finally:
             batch.unpersist()
-
-    w = scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    return sink

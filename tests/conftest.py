@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,6 +12,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from outcomelens.session import build_session
-    s = build_session("local[4]", app="outcomelens-tests", shuffle_partitions=4)
+    s = build_session("local[4]", app="outcomelens-tests", shuffle_partitions=4, driver_memory="6g",
+                      checkpoint_dir=tempfile.mkdtemp(prefix="outcomelens-tests-"))
     yield s
     s.stop()
