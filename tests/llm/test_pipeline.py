@@ -2,8 +2,8 @@ import hashlib
 
 import corpus_pipeline as P
 from outcomelens.llm import secret_scan
-from tests.llm.test_minhash import brute as near
-from tests.llm.test_quality import brute as rules
+from .test_minhash import brute as near
+from .test_quality import brute as rules
 
 from outcomelens.llm.common import read
 
