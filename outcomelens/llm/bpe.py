@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 _SLICE = 1 << 16  # characters normalised at a time, cut at white space
-_CACHE = 1 << 17  # pieces remembered by a task
+_CACHE = 1 << 18  # pieces remembered by a task
 
 
 def byte_symbols() -> list[str]:
@@ -85,21 +85,19 @@ class Transducer:
 
     def merge(self, parts: list[str]) -> list[str]:
         """Apply the merges to a bounded run of symbols, lowest rank first, leftmost first."""
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(zip(map(lambda p: rank.get(p, 1 << 60), zip(parts, parts[1:])), range(len(parts))))
-            if best[0] == 1 << 60:
+        rank, never = self.rank.get, 1 << 60
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == never:
                 break
-            u, v = parts[best[1]], parts[best[1] + 1]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == u and parts[i + 1] == v:
-                    out.append(u + v)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(low)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
         return parts
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
@@ -110,7 +108,7 @@ class Transducer:
             held.append(s)
             if len(held) >= room:
                 at = 0
-                for token in self.merge(held):
+                for token in self.merge(held[:]):
                     if at + self.lookahead + 1 >= len(held):  # the last symbol may still take the suffix
                         break
                     yield token
@@ -121,8 +119,11 @@ class Transducer:
             yield from self.merge(held)
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
-        symbols = self.symbols
-        return tuple(self.vocab[t] for t in self.stream(symbols[b] for b in piece.encode()))
+        symbols = [self.symbols[b] for b in piece.encode()]
+        if len(symbols) < 4 * self.lookahead:  # ends before anything could leave early
+            symbols[-1] += self.suffix
+            return tuple(map(self.vocab.__getitem__, self.merge(symbols)))
+        return tuple(map(self.vocab.__getitem__, self.stream(symbols)))
 
     def normal(self, text: str) -> str:
         for form in self.forms:
@@ -173,7 +174,7 @@ class Decoder:
         self.plain = transducer.decoder is None  # no decoder in the file: tokens joined by one space
         self.begun = False
         self.tokens = transducer.tokens
-        self.byte = {s: bytes([b]) for b, s in enumerate(transducer.symbols)}
+        self.byte = {} if self.plain else {s: bytes([b]) for b, s in enumerate(transducer.symbols)}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
