@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outcomelens.llm import ann, bpe, langid, lm, minhash, mixing, pu_quality, quality, secret_scan, warc
+from outcomelens.llm import ann, bpe, langid, lm, minhash, mixing, oracle, pu_quality, quality, secret_scan, warc
 from outcomelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_warc")
+@query("op1_warc", oracle.WARC)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(read(spark, sf_dir, "pages"))
 
@@ -53,12 +53,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(read(spark, sf_dir, "documents"))
 
 
-@query("op7_mixing")
+@query("op7_mixing", oracle.MIXING)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
-@query("op9_quality_rules")
+@query("op9_quality_rules", oracle.QUALITY)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(read(spark, sf_dir, "documents"))
 

@@ -214,4 +214,4 @@ def digest(pages: DataFrame) -> DataFrame:
     else:
         found = read(spark, folder)
     return found.select(F.when(number != "", number.cast("long")).alias("page_id"), "payload_bytes", "payload_digest",
-                        "record_type", kept.alias("refers_to"), "target_uri")
+                        "record_type", kept.alias("refers_to"))
