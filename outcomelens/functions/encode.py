@@ -14,6 +14,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..spec import CODE, COUNT, FIXED_CAT, FLAG, FOUND_CAT, LEVEL, MEDIAN, TableSpec
 from .scalars import blank_to_sentinel, lenient_numeric
@@ -111,6 +112,33 @@ def fit_contract(typed: DataFrame, spec: TableSpec, variant: str = "A") -> Featu
     return FeatureContract(variant, names, vocabs)
 
 
+def variant_columns(typed: DataFrame, spec: TableSpec) -> DataFrame:
+    """(variant, position, feature) of both variants, from the vocabulary frame.
+
+    Fixed names are few rows from the spec; a discovered category adds a row per value.
+    """
+    from ..operators.reports import vocabulary
+    spark = typed.sparkSession
+    found = [f.name for f in spec.fields if f.role == FOUND_CAT and f.name in typed.columns]
+    fixed, slots = [], []
+    for v in ("A", "B"):
+        for i, f in enumerate(spec.features(v)):
+            if f.role == FIXED_CAT:
+                fixed += [(v, i, k, f"{f.name}__{safe_name(x)}") for k, x in enumerate(f.vocab)]
+            elif f.role == FOUND_CAT:
+                slots.append((v, i, f.name))
+            elif not f.optional or f.name in typed.columns:
+                fixed.append((v, i, 0, f.name))
+    names = spark.createDataFrame(fixed, "variant string, field int, k int, feature string")
+    clean = F.lower(F.trim(F.regexp_replace("value", "[^0-9a-zA-Z]+", "_"), F.lit("_")))
+    order = Window.partitionBy("variant", "column").orderBy("value")
+    words = (vocabulary(typed, found).join(F.broadcast(spark.createDataFrame(slots, "variant string, field int, column string")), "column")
+             .select("variant", "field", F.row_number().over(order).alias("k"),
+                     F.concat("column", F.lit("__"), F.when(clean == "", "blank").otherwise(clean)).alias("feature")))
+    place = Window.partitionBy("variant").orderBy("field", "k")
+    return names.unionByName(words).select("variant", (F.row_number().over(place) - 1).cast("int").alias("position"), "feature")
+
+
 def contract_terms(contract: FeatureContract, spec: TableSpec,
                    types: dict | None = None, training: bool = False) -> list[tuple[str, Column]]:
     terms = dict(feature_terms(spec, contract.variant, contract.vocabularies, types=types, training=training))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.encode import FeatureContract, Scaler, contract_terms
 from ..functions.scalars import sigmoid, slot_cost
+from ..sources.records import parse_configs
 from ..spec import TableSpec
 
 
@@ -163,6 +164,47 @@ def gradients(configs: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFr
     return pre.mapInPandas(run, schema)
 
 
+def _ranked(names: Sequence[str], grad: Column) -> Column:
+    """E8 + E9 inside the row: (feature, magnitude in % of the sum, direction, raw) by falling magnitude."""
+    total = F.aggregate(grad, F.lit(0.0), lambda acc, x: acc + F.abs(x))
+    cells = F.sort_array(F.array(*[
+        F.struct((-F.abs(grad[i])).alias("k"), F.lit(i).alias("i"), F.lit(n).alias("feature"), grad[i].alias("g"))
+        for i, n in enumerate(names)]))
+    return F.transform(cells, lambda c: F.struct(
+        c["feature"].alias("feature"),
+        F.when(total > 0, F.abs(c["g"]) / total * 100.0).otherwise(F.abs(c["g"])).alias("magnitude"),
+        F.when(c["g"] > 0, F.lit("positive")).when(c["g"] < 0, F.lit("negative")).otherwise(F.lit("neutral")).alias("direction"),
+        c["g"].alias("raw_gradient")))
+
+
+def score_requests(requests: DataFrame, with_posthoc: Scorer, without: Scorer, column: str = "body",
+                   keep: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    """H7 for request documents: parse, route by ``model_type``, score, explain where asked.
+
+    ``model_type`` is 'with_bp' by default; any other text takes the model without
+    the post-hoc group.  Both models score every row in one pass, the row's
+    ``model_type`` chooses.  A body that doesn't parse, or a configuration over the
+    slot limit, gets an error and no probability.  ``importance`` is filled where
+    ``include_importance`` is true.
+    """
+    cfg = parse_configs(requests, with_posthoc.spec, column, keep)
+    cost = _cost_error(with_posthoc.spec, dict(cfg.dtypes))
+    error = F.when(F.col("parse_error"), F.lit("unreadable request"))
+    if cost is not None:
+        error = F.coalesce(error, cost)
+    cfg = cfg.withColumn("_error", error)
+    both = gradients(cfg, with_posthoc, cfg.columns).withColumnsRenamed({"probability": "_pa", "grad": "_ga"})
+    both = gradients(both, without, both.columns).withColumnsRenamed({"probability": "_pb", "grad": "_gb"})
+    use_a = F.coalesce("model_type", F.lit("with_bp")) == "with_bp"
+    fine = F.col("_error").isNull()
+    p = F.when(fine, F.when(use_a, F.col("_pa")).otherwise(F.col("_pb")))
+    asked = fine & F.coalesce("include_importance", F.lit(False))
+    why = F.when(asked & use_a, _ranked(with_posthoc.contract.names, F.col("_ga"))).when(asked, _ranked(without.contract.names, F.col("_gb")))
+    out = both.select(*keep, "config_id", F.when(use_a, F.lit("with_bp")).otherwise(F.lit("no_bp")).alias("model_type"),
+                      p.alias("probability"), why.alias("importance"), F.col("_error").alias("error"))
+    return out.withColumns({"chance": F.col("probability") * 100.0, "positive": F.col("probability") >= F.lit(threshold)})
+
+
 def _explain_linear(configs: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
     """Closed form for a logistic model: g_i = w_i * p (1 - p).
 

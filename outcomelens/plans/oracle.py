@@ -72,6 +72,19 @@ metrics AS (
   FROM daily)"""
 
 
+def split_alloc() -> str:
+    """CTEs from ``counts`` (label, n_c) to ``alloc`` (label, n_test, n_val)."""
+    return """a1 AS (SELECT label, n_c, sum(n_c) OVER () AS tot, CAST(ceil(sum(n_c) OVER () * 0.2) AS BIGINT) AS draws FROM counts),
+b1 AS (SELECT *, CAST(floor(n_c * draws / tot) AS BIGINT) AS base, (n_c * draws) % tot AS rem FROM a1),
+c1 AS (SELECT *, draws - sum(base) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, label) AS rk FROM b1),
+t AS (SELECT label, n_c, base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS n_test FROM c1),
+a2 AS (SELECT label, n_c, n_test, n_c - n_test AS n_rest, sum(n_c - n_test) OVER () AS tot,
+        CAST(ceil(sum(n_c - n_test) OVER () * 0.2) AS BIGINT) AS draws FROM t),
+b2 AS (SELECT *, CAST(floor(n_rest * draws / tot) AS BIGINT) AS base, (n_rest * draws) % tot AS rem FROM a2),
+c2 AS (SELECT *, draws - sum(base) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, label) AS rk FROM b2),
+alloc AS (SELECT label, n_test, base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS n_val FROM c2)"""
+
+
 def truthy(col: str) -> str:
     return f"coalesce(lower(trim(CAST({col} AS VARCHAR))) IN ('yes','1','true','1.0'), false)"
 

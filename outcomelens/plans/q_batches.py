@@ -15,7 +15,8 @@ ALLOWED, DEFAULT = ("click", "view"), "view"
 
 
 def _comp(spark, sf):
-    b = B.assign_batches(batch_records(spark, sf), ORDER)
+    needed = [*ORDER, "label", "item", "site_type", "extra", *FLAGS]
+    b = B.assign_batches(batch_records(spark, sf).select(*needed), ORDER)
     return B.batch_composition(b, ITEM_A, ITEM_B, FLAGS, ALLOWED, DEFAULT)
 
 
@@ -39,7 +40,7 @@ counts5 AS (SELECT unnest(['0', '1', '2', '3', '4']) AS bucket)"""
 @register("assign_batches", f"""{_B}
 SELECT event_id, batch FROM b""")
 def q_assign_batches(spark, sf):
-    return B.assign_batches(batch_records(spark, sf), ORDER).select("event_id", "batch")
+    return B.assign_batches(batch_records(spark, sf).select(*ORDER), ORDER).select("event_id", "batch")
 
 
 @register("complete_batches", f"""{_B}

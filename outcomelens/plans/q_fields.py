@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from ..functions.encode import fit_contract
+from ..functions.encode import safe_name, variant_columns
 from ..sources.fixtures import fact_records
 from ..sources.records import rename_fields
-from ..spec import GAME_SPEC, FIXTURE_SPEC as S
+from ..spec import FIXED_CAT, FOUND_CAT, GAME_SPEC, FIXTURE_SPEC as S
 from .catalog import register
-from .fixture_model import sql_terms
 from .oracle import FACT
 
 
 def _variant_sql():
-    rows = [f"('{v}', {i}, '{n}')" for v in ("A", "B") for i, (n, _) in enumerate(sql_terms(v))]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(variant, position, feature)"
+    """Fixed names come from the spec; those of discovered categories from the records."""
+    parts = []
+    for v in ("A", "B"):
+        for i, f in enumerate(S.features(v)):
+            if f.role == FIXED_CAT:
+                parts += [f"SELECT '{v}' AS variant, {i} AS field, {k} AS k, '{f.name}__{safe_name(x)}' AS feature" for k, x in enumerate(f.vocab)]
+            elif f.role == FOUND_CAT:
+                parts.append(f"SELECT '{v}', {i}, row_number() OVER (ORDER BY x), '{f.name}__' || lower(x) FROM (SELECT DISTINCT {f.name} AS x FROM fact)")
+            else:
+                parts.append(f"SELECT '{v}', {i}, 0, '{f.name}'")
+    return f"""WITH {FACT}, n(variant, field, k, feature) AS ({" UNION ALL ".join(parts)})
+SELECT variant, CAST(row_number() OVER (PARTITION BY variant ORDER BY field, k) - 1 AS INTEGER) AS position, feature FROM n"""
 
 
 @register("variant_columns", _variant_sql())
 def q_variant_columns(spark, sf):
-    """Ordered feature names of each variant (B drops the post-hoc group); the
-    discovered vocabulary comes from the records."""
-    f = fact_records(spark, sf)
-    rows = [(v, i, n) for v in ("A", "B") for i, n in enumerate(fit_contract(f, S, v).names)]
-    return spark.createDataFrame(rows, "variant string, position int, feature string")
+    """Ordered feature names of each variant (B drops the post-hoc group)."""
+    return variant_columns(fact_records(spark, sf), S)
 
 
 _RAW_NAMES = {f.name: f.source for f in GAME_SPEC.fields if f.source}

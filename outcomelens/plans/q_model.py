@@ -15,7 +15,7 @@ from ..sources.fixtures import fact_records, metrics_series, split_records
 from ..spec import FIXTURE_SPEC as S
 from .catalog import register
 from .fixture_model import fixture_scorer, sql_cost, sql_logit, sql_scaler_cte, sql_terms, sql_weights
-from .oracle import FACT, METRICS, SPLIT, union_long
+from .oracle import FACT, METRICS, SPLIT, split_alloc, union_long
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "own_key"]
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey, own_amt AS own_key"
@@ -97,17 +97,8 @@ def q_standardize(spark, sf):
 
 # ---------------------------------------------------------------- split
 def _split_sql():
-    alloc = """
-a1 AS (SELECT label, n_c, sum(n_c) OVER () AS tot, CAST(ceil(sum(n_c) OVER () * 0.2) AS BIGINT) AS draws FROM counts),
-b1 AS (SELECT *, CAST(floor(n_c * draws / tot) AS BIGINT) AS base, (n_c * draws) % tot AS rem FROM a1),
-c1 AS (SELECT *, draws - sum(base) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, label) AS rk FROM b1),
-t AS (SELECT label, n_c, base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS n_test FROM c1),
-a2 AS (SELECT label, n_c, n_test, n_c - n_test AS n_rest, sum(n_c - n_test) OVER () AS tot,
-        CAST(ceil(sum(n_c - n_test) OVER () * 0.2) AS BIGINT) AS draws FROM t),
-b2 AS (SELECT *, CAST(floor(n_rest * draws / tot) AS BIGINT) AS base, (n_rest * draws) % tot AS rem FROM a2),
-c2 AS (SELECT *, draws - sum(base) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, label) AS rk FROM b2),
-alloc AS (SELECT label, n_test, base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS n_val FROM c2)"""
-    return f"""WITH {SPLIT}, counts AS (SELECT label, count(*) AS n_c FROM srec GROUP BY 1),{alloc},
+    return f"""WITH {SPLIT}, counts AS (SELECT label, count(*) AS n_c FROM srec GROUP BY 1),
+{split_alloc()},
 r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label
         ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id) - 1 AS rn FROM srec)
 SELECT doc_id, r.label, CASE WHEN rn < n_test THEN 'test' WHEN rn < n_test + n_val THEN 'val' ELSE 'train' END AS part
@@ -119,6 +110,21 @@ def q_stratified_split(spark, sf):
     return L.stratified_split(split_records(spark, sf), "doc_id")
 
 
+def _record_split_sql():
+    key = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(own_amt * 100) AS BIGINT))"
+    return (_split_sql().replace(f"WITH {SPLIT}", f"WITH {FACT}, srec AS (SELECT {key} AS doc_id, label FROM fact)")
+            .replace("SELECT doc_id, r.label,", "SELECT doc_id AS record, r.label,"))
+
+
+@register("split_records", _record_split_sql())
+def q_split_records(spark, sf):
+    """H1 on the record view."""
+    f = fact_records(spark, sf).withColumn("cents", F.round(F.col("own_amt") * 100).cast("long"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
+    parts = L.stratified_parts(f.select(*keys, "label"), keys)
+    return parts.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("record"), "label", "part")
+
+
 # ---------------------------------------------------------------- scoring
 def _scored_sql(variant):
     cost = sql_cost()
@@ -277,22 +283,56 @@ def q_early_stop(spark, sf):
     return e.withColumn("val_loss", F.round("val_loss", 6)).withColumn("best_loss", F.round("best_loss", 6))
 
 
-@register("score_requests", _scored_sql("B") + f"""
-SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)
-    || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(own_key AS VARCHAR) AS config_id,
-  round(p, 6) AS probability, error FROM scored""")
+_REQ_ID = ("CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)"
+           " || '-' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(own_amt AS VARCHAR)")
+
+
+def _request_sql():
+    """Record n of each order: 1 sends no JSON, 2 a text as level, 3 leaves out site type and level;
+    5 asks for the second model, 6 for importance."""
+    names, w = [n for n, _ in sql_terms("A")], sql_weights("A")[0]
+    top = names[max(range(len(w)), key=lambda i: (abs(w[i]), -i))]
+    logit_b = sql_logit("B").replace("st.m", "sb.m").replace("st.s", "sb.s")
+    return f"""WITH {FACT}, {sql_scaler_cte('A')}, {sql_scaler_cte('B').replace('st AS', 'sb AS', 1)},
+req AS (SELECT * REPLACE (CASE WHEN l_linenumber = 3 THEN 'O' ELSE site_type END AS site_type,
+          CASE WHEN l_linenumber = 3 THEN NULL ELSE level END AS level) FROM fact),
+pr AS (SELECT {_REQ_ID} AS request_id, l_linenumber, {sql_cost()} AS cost,
+  1.0::DOUBLE / (1.0::DOUBLE + exp(-({sql_logit('A')}))) AS pa,
+  1.0::DOUBLE / (1.0::DOUBLE + exp(-({logit_b}))) AS pb FROM req, st, sb),
+e AS (SELECT *, CASE WHEN l_linenumber <= 2 THEN 'unreadable request'
+    WHEN cost > 4 THEN 'invalid configuration: ' || CAST(cost AS VARCHAR) || ' slots used, limit 4' END AS error FROM pr)
+SELECT request_id, CASE WHEN l_linenumber = 5 THEN 'no_bp' ELSE 'with_bp' END AS model_type,
+  CASE WHEN error IS NULL THEN round(CASE WHEN l_linenumber = 5 THEN pb ELSE pa END, 6) END AS probability, error,
+  CASE WHEN error IS NULL AND l_linenumber = 6 THEN {len(names)} ELSE 0 END AS n_importance,
+  CASE WHEN error IS NULL AND l_linenumber = 6 THEN CASE WHEN pa * (1 - pa) > 0 THEN '{top}' ELSE '{names[0]}' END END AS top_feature
+FROM e"""
+
+
+def _bodies(f):
+    """Request documents: record 1 of an order sends no JSON, record 2 a text as its level, record 3
+    leaves out site type and level, record 4 the model type; 5 asks for the second model, 6 for importance."""
+    line = F.col("l_linenumber")
+    fields = [x.name for x in S.fields if x.name not in ("label", "site_type", "level")]
+    whole = line != 3  # to_json leaves null fields out
+    body = F.to_json(F.struct(
+        F.col("request_id").alias("config_id"),
+        F.when(line == 5, "no_bp").when(line != 4, "with_bp").alias("model_type"),
+        F.when(line == 6, True).alias("include_importance"),
+        F.when(whole, F.col("site_type")).alias("site_type"),
+        F.when(line == 2, F.lit("high")).when(whole, F.col("level").cast("string")).alias("level"), *fields))
+    # levels are numbers in a request: unquote the digits
+    body = F.regexp_replace(body, r'"level":"(\d+)"', r'"level":$1')
+    return F.when(line == 1, F.lit("not json")).otherwise(body)
+
+
+@register("score_requests", _request_sql())
 def q_score_requests(spark, sf):
-    """H7 from JSON request documents: each record is sent as a configuration body
-    (form spelling), parsed with ``from_json`` against the spec schema, then scored."""
-    from ..sources.records import parse_configs
-    sc = fixture_scorer(spark, sf, "B")
+    """H7 from JSON request documents, damaged ones and both models mixed; with the top feature where asked."""
     f = _fact(spark, sf)
-    cid = F.concat_ws("-", *[F.col(k).cast("string") for k in
-                             ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+    cid = F.concat_ws("-", *[F.col(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                       F.col("own_key").cast("string"))
-    fields = [x.name for x in S.fields if x.name != "label"]
-    bodies = f.select(F.to_json(F.struct(cid.alias("config_id"), F.lit("no_bp").alias("model_type"),
-                                         *fields)).alias("body"))
-    cfg = parse_configs(bodies, S)
-    out = SC.score_batch(cfg, sc, ["config_id"])
-    return out.select("config_id", F.round("probability", 6).alias("probability"), "error")
+    sent = f.withColumn("request_id", cid).select("request_id", "l_linenumber", *[x.name for x in S.fields if x.name != "label"])
+    out = SC.score_requests(sent.select("request_id", _bodies(sent).alias("body")), fixture_scorer(spark, sf, "A"),
+                            fixture_scorer(spark, sf, "B"), keep=["request_id"])
+    return out.select("request_id", "model_type", F.round("probability", 6).alias("probability"), "error",
+                      F.size(F.coalesce("importance", F.array())).alias("n_importance"), F.get("importance", 0)["feature"].alias("top_feature"))

@@ -55,6 +55,21 @@ def fact_from_lineitem(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataF
     )
 
 
+def signal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record view with an outcome that its columns can tell: positive where level / 10 plus 2 for
+    each of the first two flags plus a noise of 0 to 2 (from the record's hash) reaches 5."""
+    f = fact_records(spark, sf_dir).withColumn("cents", F.round(F.col("own_amt") * 100).cast("long"))
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in RECORD_KEY])
+    noise = F.conv(F.substring(F.md5(F.concat(F.lit("noise-"), text)), 1, 4), 16, 10).cast("double") / 32768.0
+    told = (F.col("level") / 10.0 + F.when(F.col("flag_a") == "Yes", 2.0).otherwise(0.0)
+            + F.when(F.col("flag_b") == "Yes", 2.0).otherwise(0.0) + noise)
+    return f.withColumn("label", F.when(told >= 5.0, 1).otherwise(0))
+
+
+#: Unique key of the record view (amounts in cents).
+RECORD_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record view as untyped text with deterministic damage (blank, junk, variants).
 

@@ -1,4 +1,4 @@
-"""Selection operators against the original greedy loops."""
+"""Selection operators: cases worked by hand and properties."""
 
 import random
 
@@ -9,46 +9,75 @@ from outcomelens.operators import search as Q
 from outcomelens.spec import FIXTURE_SPEC
 
 
-def _greedy(builds, k, floor=35.0):
-    """Three passes over score-sorted builds, the way the interactive tool picks."""
-    builds = sorted(builds, key=lambda b: (-b["probability"], b["ordinal"]))
-    key = lambda b: (b["item"], b["opt"], b["extra"])
-    best = {}
-    for b in builds:
-        best.setdefault(b["opt"], b)
-    top, counts, cap = [], {}, max(2, k // 3)
-    for b in sorted(best.values(), key=lambda b: (-b["probability"], b["ordinal"])):
-        if len(top) >= k:
-            break
-        if key(b) not in {key(t) for t in top}:
-            top.append(b)
-            counts[b["opt"]] = counts.get(b["opt"], 0) + 1
-    for b in builds:
-        if len(top) >= k:
-            break
-        if key(b) in {key(t) for t in top}:
-            continue
-        if counts.get(b["opt"], 0) < cap and b["probability"] * 100 >= floor:
-            top.append(b)
-            counts[b["opt"]] = counts.get(b["opt"], 0) + 1
-    for b in builds:
-        if len(top) >= k:
-            break
-        if key(b) not in {key(t) for t in top}:
-            top.append(b)
-    return sorted(top, key=lambda b: (-b["probability"], b["ordinal"]))
-
-
-def test_diverse_top_k_equals_greedy(spark):
+def _pick(spark, builds, k):
+    df = spark.createDataFrame(builds)
+    got = Q.diverse_top_k(df, ["item", "opt", "extra"], ["item", "opt", "extra"], "opt", k)
+    return [r.ordinal for r in got.orderBy("pick_rank").collect()]
+
+
+def _build(ordinal, opt, p, item="a", extra=0):
+    return {"item": item, "opt": opt, "extra": extra, "probability": p, "ordinal": ordinal}
+
+
+def test_diverse_top_k_by_hand(spark):
+    # x leads by far: its best, its second (two a group at most), the best of y and z, then x's third to fill up
+    builds = [_build(0, "x", 0.9), _build(1, "x", 0.8, extra=1), _build(2, "x", 0.7, extra=2), _build(3, "y", 0.2),
+              _build(4, "z", 0.1), _build(5, "y", 0.15, extra=1)]
+    assert _pick(spark, builds, 3) == [0, 3, 4]
+    assert _pick(spark, builds, 4) == [0, 1, 3, 4]
+    assert _pick(spark, builds, 5) == [0, 1, 2, 3, 4]  # y's second is under the floor, so x's third comes first
+    assert _pick(spark, builds, 9) == [0, 1, 2, 3, 5, 4]
+    # the same configuration twice counts once, with its better score; ties go to the earlier
+    assert _pick(spark, [_build(0, "x", 0.4), _build(1, "x", 0.6), _build(2, "y", 0.6), _build(3, "y", 0.6)], 3) == [1, 2]
+
+
+def test_diverse_top_k_properties(spark):
     rnd = random.Random(7)
-    for trial in range(6):
-        builds = [{"item": rnd.choice("ab"), "opt": rnd.choice("xyz"), "extra": rnd.randint(0, 2),
-                   "probability": round(rnd.random(), 3), "ordinal": i} for i in range(rnd.randint(5, 40))]
-        df = spark.createDataFrame(builds)
+    for _ in range(4):
+        builds = [_build(i, rnd.choice("xyz"), round(rnd.random(), 3), rnd.choice("ab"), rnd.randint(0, 2)) for i in range(rnd.randint(5, 40))]
         k = rnd.choice([3, 5, 7])
-        got = Q.diverse_top_k(df, ["item", "opt", "extra"], ["item", "opt", "extra"], "opt", k)
-        got = [r.ordinal for r in got.orderBy("pick_rank").collect()]
-        assert got == [b["ordinal"] for b in _greedy(builds, k)], trial
+        picked = [builds[i] for i in _pick(spark, builds, k)]
+        name = lambda b: (b["item"], b["opt"], b["extra"])
+        value = lambda b: (b["probability"], -b["ordinal"])
+        distinct = {}
+        for b in builds:
+            distinct[name(b)] = max(distinct.get(name(b), b), b, key=value)
+        assert len({name(b) for b in picked}) == len(picked) == min(k, len(distinct))
+        assert picked == sorted(picked, key=value, reverse=True)
+        assert all(distinct[name(b)] is b for b in picked)
+        groups = {o: sorted((b for b in distinct.values() if b["opt"] == o), key=value, reverse=True) for o in "xyz"}
+        heads = sorted((g[0] for g in groups.values() if g), key=value, reverse=True)
+        assert all(h in picked for h in heads[:k])  # the best of each group, as far as there is room
+        # a group takes its members from the top, and one beyond its share only when no admissible one is left out
+        share = max(2, k // 3)
+        for g in groups.values():
+            taken = [b in picked for b in g]
+            assert taken == sorted(taken, reverse=True)
+            if sum(taken) > share:
+                assert all(b in picked for h in groups.values() for b in h[:share] if b["probability"] >= 0.35)
+
+
+def test_improvement_of_both_signs(spark):
+    df = spark.createDataFrame([(1, 40.0, 60.0), (2, 60.0, 40.0), (3, 5.0, 5.0), (4, None, 7.0)], "i int, current_chance double, best_chance double")
+    got = {r.i: (r.best_chance, r.improvement) for r in Q.improvement(df).collect()}
+    assert got == {1: (60.0, 20.0), 2: (60.0, 0.0), 3: (5.0, 0.0), 4: (7.0, None)}
+
+
+def test_over_limit_configs_are_quarantined_with_a_reason(spark):
+    space = FIXTURE_SPEC.search
+    rows = [("1-URGENT", 3, "Yes", "No", "No", "No"), ("None", 0, "No", "No", "No", "No")]
+    df = spark.createDataFrame(rows, "opt string, extra int, flag_a string, flag_b string, flag_c string, flag_d string")
+    assert [r.reason for r in C.quarantine_configs(df, space).collect()] == ["slots used: 5"]
+    assert C.valid_configs(df, space).count() == 1
+
+
+def test_ordinals_follow_the_number_of_sites(spark):
+    sites = spark.createDataFrame([("F", i, i, "g", f"s{i}") for i in range(5)], "site_type string, area int, site_ord long, site_group string, site string")
+    grid = C.candidate_grid(sites, FIXTURE_SPEC.search, "A")
+    n, distinct, top = grid.agg(F.count("*"), F.countDistinct("ordinal"), F.max("ordinal")).first()
+    s = FIXTURE_SPEC.search
+    assert n == distinct == 7 * 5 * 6 * 71 * 9
+    assert top < len(s.items) * 5 * len(s.levels) * C.loadout_radix(s) * 9
 
 
 def test_first_over_threshold_matches_loop(spark):

@@ -66,3 +66,41 @@ def test_score_stream_splits_valid_and_quarantined(spark):
     assert out.count() == valid_configs(fact_records(spark, sf), FIXTURE_SPEC.search).count()
     assert out.count() + bad.count() == total
     assert bad.where(F.col("error").isNull()).count() == 0
+
+
+def test_fingerprint_sees_doubled_rows_and_moved_nulls(spark):
+    schema = "k string, v string, w string"
+    base = spark.createDataFrame([("a", None, "b"), ("c", "d", "e")], schema)
+    mark = fingerprint(base, ["k", "v", "w"])
+    twice = base.unionAll(base.limit(1)).unionAll(base.limit(1))
+    moved = spark.createDataFrame([("a", "b", None), ("c", "d", "e")], schema)
+    shifted = spark.createDataFrame([("a", None, "b"), ("c|1:d", None, "e")], schema)
+    for other in (twice, moved, shifted):
+        assert changed_since(fingerprint(other, ["k", "v", "w"]), mark).first().changed
+    assert not changed_since(fingerprint(base.repartition(3), ["k", "v", "w"]), mark).first().changed
+    assert changed_since(fingerprint(base.limit(0), ["k", "v", "w"]), mark).first().changed
+
+
+def test_replayed_epoch_replaces_its_rows(spark):
+    import uuid
+
+    from outcomelens.session import ensure_checkpoint_dir
+    from outcomelens.streaming.score_stream import epoch_sink
+    base = f"{ensure_checkpoint_dir(spark)}/test-epochs-{uuid.uuid4().hex}"
+    sink = epoch_sink(f"{base}/out", f"{base}/bad")
+    batch = spark.createDataFrame([(1, None), (2, "x")], "i int, error string")
+    sink(batch, 0)
+    sink(batch, 0)
+    sink(batch, 1)
+    assert spark.read.parquet(f"{base}/out").count() == 2 and spark.read.parquet(f"{base}/bad").count() == 2
+
+
+def test_report_is_written_as_json(spark):
+    import uuid
+
+    from outcomelens.session import ensure_checkpoint_dir
+    from outcomelens.sources.publish import nest, write_report
+    df = spark.createDataFrame([("f", "x", 2), ("f", "y", 1)], "feature string, value string, n long")
+    path = f"{ensure_checkpoint_dir(spark)}/test-report-{uuid.uuid4().hex}"
+    write_report(nest(df, ["feature"], "value", "n"), path)
+    assert spark.read.json(path).first().payload == '{"x":2,"y":1}'
