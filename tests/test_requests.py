@@ -14,7 +14,7 @@ def scorer(variant):
     names = tuple(n for n, _ in feature_terms(S, variant, vocab))
     flat = Scaler((0.0,) * len(names), (1.0,) * len(names))
     weights = fixed_logistic(names)
-    return Scorer(S, FeatureContract(variant, names, vocab), Scaler(flat.means, tuple(100000.0 if n.endswith("amt") else 50.0 for n in names)), weights)
+    return Scorer(S, FeatureContract(variant, names, vocab), Scaler(flat.means, tuple(100000.0 if n.endswith("amt") else 10000.0 if n == "area" else 50.0 for n in names)), weights)
 
 
 @pytest.fixture(scope="module")
