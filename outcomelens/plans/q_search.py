@@ -173,6 +173,26 @@ def q_best_per_group(spark, sf):
     return b.select(*FIELDS_B, F.round("probability", 6).alias("probability"), "ordinal")
 
 
+FIELDS_A = C.config_fields(SP, "A")
+_SG_A = f"""WITH {FACT}, {sql_scaler_cte('A')}, {_grid_ctes()},
+own AS {_values([(float(v), i) for i, v in enumerate(SP.posthoc_own)], ['own_amt', 'own_idx'])},
+other AS {_values([(float(v), i) for i, v in enumerate(SP.posthoc_other)], ['other_amt', 'other_idx'])},
+grid_a AS (SELECT * REPLACE ((ordinal * {len(SP.posthoc_own)} + own_idx) * {len(SP.posthoc_other)} + other_idx AS ordinal)
+           FROM grid, own, other),
+sg AS (SELECT grid_a.*, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({sql_logit('A')}))) AS p FROM grid_a, st)"""
+
+
+@register("best_with_posthoc", _SG_A + f""",
+r AS (SELECT *, row_number() OVER (PARTITION BY item, opt ORDER BY p DESC, ordinal) AS rn FROM sg)
+SELECT {', '.join(FIELDS_A)}, round(p, 6) AS probability, ordinal FROM r WHERE rn = 1""")
+def q_best_with_posthoc(spark, sf):
+    """D2 + E4 for variant A: the whole grid with every pair of post-hoc values, best per item and option."""
+    sc = fixture_scorer(spark, sf, "A")
+    s = score_batch(C.candidate_grid(_sites(spark, sf), SP, "A"), sc, [*FIELDS_A, "ordinal"], check_cost=False)
+    b = Q.best_per_group(s, ["item", "opt"], FIELDS_A)
+    return b.select(*FIELDS_A, F.round("probability", 6).alias("probability"), "ordinal")
+
+
 _DKEY = ["item", "opt", "extra", *FLAGS]
 
 
