@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outcomelens.operators.ordering import written  # noqa: F401  (shared with the operators)
 from outcomelens.session import ensure_checkpoint_dir
 
 #: What the contracts call a word.
@@ -27,14 +28,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write the rows as Parquet in the shared folder and read them back."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spread(rows: DataFrame, table: DataFrame, key: str = "t", by: str = "doc_id", how: str = "inner", salts: int = 64) -> DataFrame:
     """Join ``rows`` with a table of one row per ``key``, through (key, salt).
 
