@@ -32,6 +32,7 @@ SAMPLE = 3000  # labelled rows that a model is fitted on, about
 BUCKETS = 1 << 15
 DIM = 16
 EPOCHS = 8
+STEPS = 8000  # and more epochs on a small sample, for so many steps at least
 RATE = 0.5
 PRECISION = 0.99  # among accepted answers, on the calibration part
 _PIECE = 1 << 20  # bytes counted at a time
@@ -97,8 +98,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model
     learn = order[len(rows) // 5:]
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     out, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    steps, done = EPOCHS * len(learn), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // max(len(learn), 1)))
+    steps, done = epochs * len(learn), 0
+    for _ in range(epochs):
         for i in rng.permutation(learn):
             at, n, lang = rows[i]
             rate = RATE * (1 - done / steps)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from outcomelens.llm.common import WORD
 from outcomelens.llm.mixing import MAX_EPOCHS, SCHEDULES
 from outcomelens.llm.quality import BASE_POLICY, RULES
+from outcomelens.llm.secret_scan import RULES as SECRETS
 
 WARC = """SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN largest END AS refers_to
@@ -68,3 +69,29 @@ m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_s
 b AS (SELECT *, CAST({_BITS} AS INTEGER) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {BASE_POLICY}) <> 0 AS base_failed,
   fail_bits = 0 AS kept, fail_bits FROM b"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _secrets() -> str:
+    """Pieces between matches and the matches, left to right, give each match's place."""
+    lists = []
+    for k, r in enumerate(SECRETS):
+        p = _quoted(("(?i)" if r.fold else "") + r.pattern)
+        hits, checked = f"regexp_extract_all(t, {p}, 0)", f"regexp_extract_all(t, {p}, {r.group})"
+        at = (f"CAST(list_sum(list_transform(string_split_regex(t, {p})[1:i], lambda x: length(x)))"
+              f" + coalesce(list_sum(list_transform({hits}[1:i - 1], lambda x: length(x))), 0) AS BIGINT)")
+        lists.append(f"""list_transform(list_filter(range(1, len({hits}) + 1), lambda i: length({checked}[i]) >= {r.least}),
+          lambda i: {{'s': {at}, 'k': {k}, 'e': {at} + length({hits}[i])}})""")
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in SECRETS) + "]"
+    text = f"lambda x: {kinds}[x.k + 1] || ':' || x.s || ':' || x.e"
+    counts = ", ".join(f"CAST(len(list_filter(spans, lambda x: x.k = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(SECRETS[:3]))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, list_sort(flatten([{", ".join(lists)}])) AS spans FROM d)
+SELECT doc_id, {counts}, sha256(coalesce(array_to_string(list_transform(list_filter(spans, lambda x: x.k < 3), {text}), ','), '')) AS base_sha256,
+  coalesce(array_to_string(list_transform(spans, {text}), ','), '') AS spans FROM f"""
+
+
+SECRET_SCAN = _secrets()

@@ -43,7 +43,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), vocabulary())
 
 
-@query("op5_secret_scan")
+@query("op5_secret_scan", oracle.SECRET_SCAN)
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(read(spark, sf_dir, "documents"))
 

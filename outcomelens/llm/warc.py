@@ -163,7 +163,7 @@ def records(f, size: int, start: int, end: int) -> Iterator[tuple[int, dict]]:
             _, at, held = got
             sure = True
             continue
-        at, held, sure = _next_magic(f, at + (sure or bool(held) or got is not None), end), b"", False
+        at, held, sure = _next_magic(f, at + 1, end), b"", False
 
 
 def _next_magic(f, at: int, end: int) -> int:
