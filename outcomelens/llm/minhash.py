@@ -36,7 +36,7 @@ from outcomelens.llm.common import WORD, spread, written
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with probability 5e-8
-_CHARS = 4_000_000  # characters hashed at a time
+_CHARS = 1_000_000  # characters hashed at a time
 _SALTS = 64
 _BASE = 0x9E3779B97F4A7C15
 
