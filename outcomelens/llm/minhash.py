@@ -35,7 +35,7 @@ from outcomelens.llm.common import WORD, spread, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with probability 5e-8
+BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5, at 0.85 with 3e-7; one at 0.3 shares one in 2 cases of 100
 _CHARS = 1_000_000  # characters hashed at a time
 _SALTS = 64
 _BASE = 0x9E3779B97F4A7C15

@@ -96,7 +96,7 @@ def test_signature_does_not_depend_on_the_batch():
     texts = [t or "" for _, t in documents()][:40]
     def sign(part):
         o, e, _ = M.shingle_hashes(part)
-        return M.darts(o, e, np.ones(len(o)), len(part), 128)
+        return M.darts(o, e, np.ones(len(o)), len(part), M.BANDS * M.ROWS)
     whole = sign(texts)
     for i in (0, 5, 17, 33):
         assert (sign([texts[i]])[0] == whole[i]).all()
