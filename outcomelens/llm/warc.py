@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outcomelens.llm.common import shared_path, spread
+from outcomelens.session import shuffle_partitions
 
 REVISIT_FROM = 1000  # payload bytes from which equal payloads become revisits
 SPLIT = 8 << 20
@@ -200,7 +201,8 @@ def read(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
              .filter("length > 0"))
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"))
-    return ranges.repartition("path", "start").mapInPandas(run, RECORD)
+    # by number, so that the few small rows of ranges aren't brought together in one task
+    return ranges.repartition(shuffle_partitions(spark), "path", "start").mapInPandas(run, RECORD)
 
 
 def digest(pages: DataFrame) -> DataFrame:
