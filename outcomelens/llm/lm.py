@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -48,7 +49,9 @@ LONG = 1 << 16  # characters from which a document is dealt over the parts of it
 
 
 def tokens(text: str | None) -> list[str]:
-    words = re.findall(WORD, (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    text = text or ""  # bytes lower A-Z only, and so does str where all is ASCII
+    low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    words = re.findall(WORD, low)
     words.append(END)
     return words
 
@@ -63,24 +66,26 @@ def with_block(docs: DataFrame) -> DataFrame:
 def _block_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(block, word, n): the tokens of each block, with their number in training texts."""
     def rows() -> pd.DataFrame:
-        out = [(b, w, n) for b, c in counts.items() for w, n in c.items()]
-        return pd.DataFrame(out, columns=["block", "word", "n"])
+        parts = []
+        for block, c in counts.items():
+            new = [w for w in others.get(block, ()) if w not in c]
+            n = np.concatenate((np.fromiter(c.values(), np.int64, len(c)), np.zeros(len(new), np.int64)))
+            parts.append(pd.DataFrame({"block": block, "word": [*c, *new], "n": n}))
+        return pd.concat(parts)
 
     counts: dict[int, Counter] = {}
+    others: dict[int, set] = {}  # tokens of texts that aren't learned from
     held = 0
     for batch in batches:
         for text, train, block in zip(batch["text"], batch["train"], batch["block"]):
             c = counts.setdefault(block, Counter())
-            before = len(c)
-            if train:
-                c.update(tokens(text))
-            else:
-                for w in set(tokens(text)):
-                    c[w] += 0
-            held += len(c) - before
+            o = others.setdefault(block, set())
+            before = len(c) + len(o)
+            (c if train else o).update(tokens(text))
+            held += len(c) + len(o) - before
             if held > 500_000:
                 yield rows()
-                counts, held = {}, 0
+                counts, others, held = {}, {}, 0
     if counts:
         yield rows()
 
@@ -104,13 +109,15 @@ class Frame(NamedTuple):
 
 def _ids(texts, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of texts one after the other (len(number): not frequent) and where each text starts."""
-    rare, parts, sizes = len(number), [], []
-    for text in texts:
-        t = tokens(text)
-        parts.append(np.fromiter((number.get(w, rare) for w in t), np.int64, len(t)))
-        sizes.append(len(t))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), starts
+    return _numbered([tokens(t) for t in texts], number, len(number))
+
+
+def _numbered(texts: list[list[str]], number: dict[str, int], missing: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens, text after text, and where each text starts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = chain.from_iterable(texts)
+    ids = np.fromiter(map(number.get, flat, repeat(missing)), np.int64, int(sizes.sum()))
+    return ids, np.cumsum(sizes) - sizes
 
 
 def _pieces(texts, most: int = 2_000_000):
@@ -213,8 +220,9 @@ def context(ids: np.ndarray, starts: np.ndarray, rare: int) -> np.ndarray:
     def back(place: np.ndarray) -> np.ndarray:
         return np.where(place >= begin, ids[np.maximum(place, 0)], outside)
 
-    known = np.flatnonzero(ids != rare)
-    before = np.searchsorted(known, at)  # how many frequent tokens stand before
+    frequent = ids != rare
+    known = np.flatnonzero(frequent)
+    before = np.cumsum(frequent) - frequent  # how many frequent tokens stand before
     padded = np.concatenate(([-1, -1], known))
     p1, p2, k1, k2 = back(at - 1), back(at - 2), back(padded[before + 1]), back(padded[before])
     code = np.stack((p1 * 4 + 1, (p1 * 65_536 + p2) * 4 + 2, k1 * 4 + 3, (k1 * 65_536 + k2) * 4), 1).astype(np.uint64)
@@ -226,9 +234,9 @@ def context(ids: np.ndarray, starts: np.ndarray, rare: int) -> np.ndarray:
 
 def class_log(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural log of P(class | context); the last row of the weights is the bias."""
-    z = weights[rows[:, 0]]
+    z = np.take(weights, rows[:, 0], axis=0)
     for i in range(1, rows.shape[1]):
-        z += weights[rows[:, i]]
+        z += np.take(weights, rows[:, i], axis=0)
     z += weights[-1]
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
@@ -266,11 +274,11 @@ def _step(w: np.ndarray, used: np.ndarray, square: np.ndarray, rows: np.ndarray,
     n = len(rows)
     g = np.exp(class_log(w, rows))
     g[np.arange(n), truth] -= 1
-    flat = rows.T.reshape(-1)
+    flat = rows.T.reshape(-1).astype(np.int16)
     order = np.argsort(flat, kind="stable")
     at = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
-    hit = flat[order][at]
-    sums = np.add.reduceat(g[order % n], at, axis=0)
+    hit = flat[order[at]].astype(np.int64)
+    sums = np.add.reduceat(np.take(g, order % n, axis=0), at, axis=0)
     times = np.diff(np.append(at, len(order))).astype(np.float32)
     hit, sums, times = np.append(hit, ROWS), np.vstack((sums, g.sum(0))), np.append(times, n)
     square[hit] += (sums * sums).sum(1)
@@ -286,26 +294,28 @@ def score(docs: DataFrame, table: DataFrame, f: Frame, weights: np.ndarray) -> D
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        count = {w: c for w, c in zip(counts["word"], counts["c"]) if c}
-        out, at = [], 0
+        # one lookup per token: its place in the block's table, from which follow count and id
+        place = {w: i for i, w in enumerate(counts["word"])}
+        table_c = np.append(counts["c"].to_numpy(np.int64), 0)
+        table_id = np.append(np.fromiter(map(number.get, place, repeat(rare)), np.int64, len(place)), rare)
+        table_c = table_c[np.append(np.fromiter(place.values(), np.int64, len(place)), len(table_c) - 1)]
+        place = {w: i for i, w in enumerate(place)}
+        base, total, known, sizes = [], [], [], []
         for part in _pieces(texts["text"]):
-            own = [tokens(t) for t in part]
-            ids, starts = _ids(part, number)
-            c = np.fromiter((count.get(w, 0) for t in own for w in t), np.int64, len(ids))
+            at, starts = _numbered([tokens(t) for t in part], place, len(place))
+            c, ids = table_c[at], table_id[at]
             gain = np.empty(len(ids))
             rows, truth = context(ids, starts, rare), classes[ids]
             for k in range(0, len(ids), BATCH):
                 p = class_log(weights, rows[k:k + BATCH])
                 gain[k:k + BATCH] = p[np.arange(len(p)), truth[k:k + BATCH]] / np.log(10) - share[truth[k:k + BATCH]]
-            base = np.add.reduceat(np.log10(c + 0.5) - z, starts)
-            total = base + np.add.reduceat(gain, starts)
-            known = np.add.reduceat((c > 0).astype(np.int64), starts)
-            for i, t in enumerate(own):
-                out.append((texts["doc_id"].iat[at], not texts["train"].iat[at], len(t), int(known[i]), base[i], total[i]))
-                at += 1
-        got = pd.DataFrame(out, columns=names)
-        got["doc_id"] = got["doc_id"].astype("Int64")
-        return got
+            base.append(np.add.reduceat(np.log10(c + 0.5) - z, starts))
+            total.append(base[-1] + np.add.reduceat(gain, starts))
+            known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
+            sizes.append(np.diff(np.append(starts, len(ids))))
+        whole = [np.concatenate(x) if x else np.zeros(0) for x in (sizes, known, base, total)]
+        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64").to_numpy(), "held_out": ~texts["train"].to_numpy(bool),
+                             "n_tokens": whole[0], "n_known": whole[1], "base_score": whole[2], "score": whole[3]}, columns=names)
 
     found = (docs.groupBy("block").cogroup(table.select("block", "word", "c").filter("c > 0").groupBy("block"))
              .applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
