@@ -1,17 +1,23 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-P(token | context) = P(class | context) * P(token | class).  The class part is a
-softmax over hashed features of the context: the last token, the last two, the
-last frequent one and the last two frequent ones (which skip what lies
-between).  The token part is the token's smoothed share of its class.  Classes
-are made of the ``TOP`` most frequent tokens, by the words they follow and by
-frequency; one class holds all other tokens, known or not.
+P(token | context) = P(class | context) * P(token | class, context).  The class
+part is a softmax over hashed features of the context: the last token, the last
+two, the last frequent one and the last two frequent ones (which skip what lies
+between).  Classes are made of the ``TOP`` most frequent tokens, by the words
+they follow and by frequency; one class holds all other tokens, known or not.
+Below a class stands a tree of up to ``LEVELS`` choices among ``FAN`` branches,
+as many as V asks for; each choice is a softmax over the same features hashed
+with the place in the tree, starting from the branches' shares.  A frequent
+token's path is its rank in its class and ends at itself; any other token's
+comes from its hash and ends at a leaf, within which it has its smoothed share.
+In the features every token stands for itself (the last ones by hash).
 
 Training passes over all training texts in ``ROUNDS`` rounds.  In a round every
 task updates a copy of the weights by gradient steps on its share, and the
-copies are averaged row by row, weighted by how often a row was used.  Weights,
-class tables and the list of frequent tokens have a fixed size; the counts of
-all other tokens stay in Spark and meet the texts by blocks of documents.
+copies are averaged row by row, weighted by how often a row was used.  Weights
+have as many rows as V asks for, from ``ROWS`` to ``MOST_ROWS``; they, the tree's
+shares and the list of frequent tokens go to every task.  The counts of all
+other tokens stay in Spark and meet the texts by blocks of documents.
 
 Defined cases: a null text has the end token only; repeated rows are counted
 and scored each; rows without doc_id are scored like others (bucket of the
@@ -22,6 +28,7 @@ every token has the same share and no class is told apart.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -40,7 +47,9 @@ TOP = 8192  # frequent tokens
 NEAR = 32  # most frequent tokens that tell what a token follows
 GROUPS, TIERS = 8, 4
 CLASSES = GROUPS * TIERS + 2  # and the end token, and all others
-ROWS = 1 << 13  # hashed feature rows
+FAN, LEVELS = 32, 3  # of the tree below a class
+ROWS, MOST_ROWS = 1 << 13, 1 << 15  # hashed feature rows
+NAMES = 1 << 16  # from here on names of tokens that aren't frequent; the one before is the unknown token's
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.3
@@ -105,6 +114,46 @@ class Frame(NamedTuple):
     share: np.ndarray  # log10, per class
     total: int  # N
     distinct: int  # V
+    leaf: np.ndarray  # per frequent token its leaf in the tree of its class
+    shares: list[np.ndarray]  # per level (places, FAN): natural log of each branch's share of its place
+    rows: int  # hashed feature rows
+
+
+class Names(dict):
+    """Numbers of frequent tokens, and hashes as the names of all others."""
+    def __missing__(self, word: str) -> int:
+        name = NAMES + zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        if len(self) < 1_000_000:
+            self[word] = name
+        return name
+
+
+def _targets(names: np.ndarray, f: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each name the token id (len(f.words): not frequent), the class and the leaf."""
+    ids = np.minimum(names, len(f.words))
+    other = np.where(names >= NAMES, (names - NAMES) % FAN ** len(f.shares), 0)
+    return ids, f.classes[ids], np.where(ids < len(f.words), np.append(f.leaf, 0)[ids], other)
+
+
+def _tree(mass: np.ndarray) -> list[np.ndarray]:
+    """Log shares of all branches, level by level, from the mass (classes, leaves); a leaf's lowest digit is its first branch."""
+    out, leaves, places = [], mass.shape[1], 1
+    while places < leaves:
+        m = mass.reshape(len(mass), -1, FAN, places).sum(1).transpose(0, 2, 1).reshape(-1, FAN)
+        out.append(np.log(np.maximum(m, 1e-30) / np.maximum(m.sum(1, keepdims=True), 1e-30)).astype(np.float32))
+        places *= FAN
+    return out
+
+
+def choices(classes: np.ndarray, leaf: np.ndarray, code: np.ndarray, f: Frame) -> Iterator[tuple]:
+    """Per level: which tokens have a choice there, their feature rows, the log shares of the branches and the branch taken."""
+    for level, shares in enumerate(f.shares):
+        places = FAN ** level
+        place = classes * places + leaf % places
+        at = np.flatnonzero((shares[place] > -60).sum(1) > 1)
+        if len(at):
+            mark = (place[at] * LEVELS + level + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            yield at, feature_rows(code[at] ^ mark[:, None], f.rows), shares[place[at]], leaf[at] // places % FAN
 
 
 def _ids(texts, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +235,22 @@ def frame(table: DataFrame, docs: DataFrame) -> Frame:
     z = n + 0.5 * (v + 1)
     mass = np.bincount(classes[:-1], c + 0.5, CLASSES) if words else np.zeros(CLASSES)
     mass[CLASSES - 1] = z - mass.sum()
-    return Frame(words, classes, np.log10(np.maximum(mass, 1e-300) / z), n, v)
+    levels = next((k for k in range(1, LEVELS) if v <= FAN ** k), LEVELS)
+    leaves = FAN ** levels
+    rank, tree = np.zeros(len(words), np.int64), np.zeros((CLASSES, leaves))
+    for k in range(CLASSES - 1):
+        own = np.flatnonzero(classes[:-1] == k)
+        rank[own] = np.arange(len(own))
+        tree[k, :len(own)] = c[own] + 0.5
+    # all other tokens by hash: what all tokens have, less the frequent ones
+    name = F.crc32(F.col("word").cast("binary")) % leaves
+    for r in table.filter("place = 1 AND c > 0").groupBy(name.alias("leaf")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
+        tree[-1, r.leaf] = r.m
+    np.subtract.at(tree[-1], np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % leaves for w in words], np.int64), c + 0.5)
+    tree[-1] = np.maximum(np.round(tree[-1], 1), 0)
+    tree[-1, 0] += 0.5  # the unknown token
+    rows = min(max(ROWS, 1 << v.bit_length()), MOST_ROWS)
+    return Frame(words, classes, np.log10(np.maximum(mass, 1e-300) / z), n, v, rank, _tree(tree), rows)
 
 
 def _cluster(x: np.ndarray, weight: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -207,9 +271,10 @@ def _cluster(x: np.ndarray, weight: np.ndarray, seed: int = 1) -> np.ndarray:
     return group
 
 
-def context(ids: np.ndarray, starts: np.ndarray, rare: int) -> np.ndarray:
-    """Feature rows (tokens, 4) of each token's context."""
+def context(ids: np.ndarray, starts: np.ndarray, rare: int, names: np.ndarray | None = None) -> np.ndarray:
+    """Feature hashes (tokens, 4) of each token's context; ``names`` tell apart tokens that aren't frequent."""
     n = len(ids)
+    names = ids if names is None else names
     first = np.zeros(n, np.int64)
     first[starts[starts < n]] = 1
     text = np.cumsum(first) - 1
@@ -218,61 +283,86 @@ def context(ids: np.ndarray, starts: np.ndarray, rare: int) -> np.ndarray:
     outside = rare + 1
 
     def back(place: np.ndarray) -> np.ndarray:
-        return np.where(place >= begin, ids[np.maximum(place, 0)], outside)
+        return np.where(place >= begin, names[np.maximum(place, 0)], outside)
 
     frequent = ids != rare
     known = np.flatnonzero(frequent)
     before = np.cumsum(frequent) - frequent  # how many frequent tokens stand before
     padded = np.concatenate(([-1, -1], known))
     p1, p2, k1, k2 = back(at - 1), back(at - 2), back(padded[before + 1]), back(padded[before])
-    code = np.stack((p1 * 4 + 1, (p1 * 65_536 + p2) * 4 + 2, k1 * 4 + 3, (k1 * 65_536 + k2) * 4), 1).astype(np.uint64)
+    p1, p2, k1, k2 = (x.astype(np.uint64) for x in (p1, p2, k1, k2))
+    wide, four = np.uint64(0x9FB21C651E98DF25), np.uint64(4)
+    code = np.stack((p1 * four + np.uint64(1), (p1 * wide + p2) * four + np.uint64(2), k1 * four + np.uint64(3), (k1 * wide + k2) * four), 1)
     code *= np.uint64(0x9E3779B97F4A7C15)
     code ^= code >> np.uint64(29)
     code *= np.uint64(0xBF58476D1CE4E5B9)
-    return (code >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int64)
+    return code ^ (code >> np.uint64(32))
+
 
+def feature_rows(code: np.ndarray, rows: int) -> np.ndarray:
+    """Rows of the weights for feature hashes."""
+    return (code * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64)
 
-def class_log(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | context); the last row of the weights is the bias."""
+
+def class_log(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of P(class | context); without ``bias`` the last row of the weights is it."""
     z = np.take(weights, rows[:, 0], axis=0)
     for i in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, i], axis=0)
-    z += weights[-1]
+    z += weights[-1] if bias is None else bias
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
-def train(docs: DataFrame, f: Frame) -> np.ndarray:
-    """Weights (ROWS + 1, CLASSES) after all rounds."""
+def train(docs: DataFrame, f: Frame) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes (rows + 1, CLASSES) and of the trees (rows + 1, FAN) after all rounds."""
     number = {w: i for i, w in enumerate(f.words)}
-    rare, classes = len(f.words), f.classes
-    weights = np.zeros((ROWS + 1, CLASSES), np.float32)
-    weights[-1] = f.share * np.log(10)
+    shapes = [(f.rows + 1, CLASSES), (f.rows + 1, FAN)]
+    weights = [np.zeros(x, np.float32) for x in shapes]
+    weights[0][-1] = f.share * np.log(10)
     for r in range(ROUNDS):
         start = weights
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            w, used, square = start.copy(), np.zeros(ROWS + 1, np.float32), np.full(ROWS + 1, 1e-6, np.float32)
+            (w, w2), name = (x.copy() for x in start), Names(number)
+            used, used2 = np.zeros(f.rows + 1, np.float32), np.zeros(f.rows + 1, np.float32)
+            square, square2 = np.full(f.rows + 1, 1e-6, np.float32), np.full(f.rows + 1, 1e-6, np.float32)
             for batch in batches:
                 for part in _pieces(batch["text"]):
-                    ids, starts = _ids(part, number)
-                    rows, truth = context(ids, starts, rare), classes[ids]
+                    names, starts = _names(part, name)
+                    ids, truth, leaf = _targets(names, f)
+                    code = context(ids, starts, len(f.words), names)
                     for k in range(0, len(ids), BATCH):
-                        _step(w, used, square, rows[k:k + BATCH], truth[k:k + BATCH])
-            yield pd.DataFrame([[(w * used[:, None]).tobytes(), used.tobytes()]], columns=["x0", "x1"])
+                        now = slice(k, k + BATCH)
+                        _step(w, used, square, feature_rows(code[now], f.rows), truth[now])
+                        for _, rows, bias, branch in choices(truth[now], leaf[now], code[now], f):
+                            _step(w2, used2, square2, rows, branch, bias)
+            yield pd.DataFrame([[(w * used[:, None]).tobytes(), used.tobytes(), (w2 * used2[:, None]).tobytes(), used2.tobytes()]],
+                               columns=["x0", "x1", "x2", "x3"])
 
         share = docs.filter("train").filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r).select("text")
-        total, used = summed(share.mapInPandas(run, "x0 binary, x1 binary"), [(ROWS + 1) * CLASSES, ROWS + 1])
-        mean = total.reshape(ROWS + 1, CLASSES) / np.maximum(used, 1e-9)[:, None]
-        weights = np.where(used[:, None] > 0, mean, start).astype(np.float32)
-    return weights
+        sums = summed(share.mapInPandas(run, "x0 binary, x1 binary, x2 binary, x3 binary"),
+                      [n for x in shapes for n in (x[0] * x[1], x[0])])
+        weights = []
+        for total, used, old in zip(sums[::2], sums[1::2], start):
+            mean = total.reshape(old.shape) / np.maximum(used, 1e-9)[:, None]
+            weights.append(np.where(used[:, None] > 0, mean, old).astype(np.float32))
+    return weights[0], weights[1]
+
+
+def _names(texts, name: Names) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the tokens of texts one after the other, and where each text starts."""
+    texts = [tokens(t) for t in texts]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.fromiter(map(name.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
 
 
-def _step(w: np.ndarray, used: np.ndarray, square: np.ndarray, rows: np.ndarray, truth: np.ndarray) -> None:
+def _step(w: np.ndarray, used: np.ndarray, square: np.ndarray, rows: np.ndarray, truth: np.ndarray,
+          bias: np.ndarray | None = None) -> None:
     """One gradient step on a batch of tokens, scaled per feature row."""
     n = len(rows)
-    g = np.exp(class_log(w, rows))
+    g = np.exp(class_log(w, rows, bias))
     g[np.arange(n), truth] -= 1
     flat = rows.T.reshape(-1).astype(np.int16)
     order = np.argsort(flat, kind="stable")
@@ -280,42 +370,53 @@ def _step(w: np.ndarray, used: np.ndarray, square: np.ndarray, rows: np.ndarray,
     hit = flat[order[at]].astype(np.int64)
     sums = np.add.reduceat(np.take(g, order % n, axis=0), at, axis=0)
     times = np.diff(np.append(at, len(order))).astype(np.float32)
-    hit, sums, times = np.append(hit, ROWS), np.vstack((sums, g.sum(0))), np.append(times, n)
+    if bias is None:
+        hit, sums, times = np.append(hit, len(w) - 1), np.vstack((sums, g.sum(0))), np.append(times, n)
     square[hit] += (sums * sums).sum(1)
     w[hit] -= (RATE / np.sqrt(square[hit]))[:, None] * sums
     used[hit] += times
 
 
-def score(docs: DataFrame, table: DataFrame, f: Frame, weights: np.ndarray) -> DataFrame:
+def token_gain(classes: np.ndarray, leaf: np.ndarray, code: np.ndarray, f: Frame, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 of P(token | context) over the token's share of all tokens."""
+    p = class_log(weights[0], feature_rows(code, f.rows))
+    gain = p[np.arange(len(p)), classes] / np.log(10) - f.share[classes]
+    for at, rows, bias, branch in choices(classes, leaf, code, f):
+        one = np.arange(len(at))
+        gain[at] += (class_log(weights[1], rows, bias)[one, branch] - bias[one, branch]) / np.log(10)
+    return gain
+
+
+def score(docs: DataFrame, table: DataFrame, f: Frame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Contract columns: texts meet the counts of their block's tokens."""
     number = {w: i for i, w in enumerate(f.words)}
-    rare, classes, share = len(f.words), f.classes, f.share
     z = np.log10(f.total + 0.5 * (f.distinct + 1))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         # one lookup per token: its place in the block's table, from which follow count and id
         place = {w: i for i, w in enumerate(counts["word"])}
         table_c = np.append(counts["c"].to_numpy(np.int64), 0)
-        table_id = np.append(np.fromiter(map(number.get, place, repeat(rare)), np.int64, len(place)), rare)
+        table_name = np.append(np.fromiter(map(Names(number).__getitem__, place), np.int64, len(place)), NAMES - 1)
         table_c = table_c[np.append(np.fromiter(place.values(), np.int64, len(place)), len(table_c) - 1)]
         place = {w: i for i, w in enumerate(place)}
         base, total, known, sizes = [], [], [], []
         for part in _pieces(texts["text"]):
             at, starts = _numbered([tokens(t) for t in part], place, len(place))
-            c, ids = table_c[at], table_id[at]
+            c, names = table_c[at], table_name[at]
+            ids, truth, leaf = _targets(names, f)
             gain = np.empty(len(ids))
-            rows, truth = context(ids, starts, rare), classes[ids]
+            code = context(ids, starts, len(f.words), names)
             for k in range(0, len(ids), BATCH):
-                p = class_log(weights, rows[k:k + BATCH])
-                gain[k:k + BATCH] = p[np.arange(len(p)), truth[k:k + BATCH]] / np.log(10) - share[truth[k:k + BATCH]]
+                now = slice(k, k + BATCH)
+                gain[now] = token_gain(truth[now], leaf[now], code[now], f, weights)
             base.append(np.add.reduceat(np.log10(c + 0.5) - z, starts))
             total.append(base[-1] + np.add.reduceat(gain, starts))
             known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
             sizes.append(np.diff(np.append(starts, len(ids))))
         whole = [np.concatenate(x) if x else np.zeros(0) for x in (sizes, known, base, total)]
         return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64").to_numpy(), "held_out": ~texts["train"].to_numpy(bool),
-                             "n_tokens": whole[0], "n_known": whole[1], "base_score": whole[2], "score": whole[3]}, columns=names)
+                             "n_tokens": whole[0], "n_known": whole[1], "base_score": whole[2], "score": whole[3]}, columns=columns)
 
     found = (docs.groupBy("block").cogroup(table.select("block", "word", "c").filter("c > 0").groupBy("block"))
              .applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))

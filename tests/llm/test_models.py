@@ -108,3 +108,32 @@ def test_lm_is_a_distribution():
     a = lm.context(ids, starts, 9)
     alone = lm.context(ids[4:], np.array([0]), 9)
     assert (a[4:] == alone).all()  # a text's contexts don't reach into the text before
+
+
+def test_lm_rare_tokens_depend_on_their_context(make):
+    """Beyond the frequent tokens too a token's context tells which it is, and all tokens' shares sum to one."""
+    frequent, lm.TOP = lm.TOP, 2
+    try:
+        rows = [(i, " ".join(("left%d right%d" % (k, k)) for k in (i % 7, (i + 3) % 7, (i + 5) % 7))) for i in range(400)]
+        docs = lm.with_block(make(rows).select("doc_id", "text"))
+        table = lm.count_table(docs)
+        f = lm.frame(table, docs)
+        weights = lm.train(docs, f)
+        c = {r.word: r.c for r in table.filter("place = 1").collect()}
+    finally:
+        lm.TOP = frequent
+    words = [*c, None]
+    number = {w: i for i, w in enumerate(f.words)}
+    names = np.array([lm.NAMES - 1 if w is None else lm.Names(number)[w] for w in words])
+    at = {w: n for w, n in zip(words, names)}
+    _, classes, leaf = lm._targets(names, f)
+    share = np.array([c.get(w, 0) + 0.5 for w in words]) / (f.total + 0.5 * (f.distinct + 1))
+    assert abs(share.sum() - 1) < 1e-9
+    for k in range(7):
+        text = np.array([at["left%d" % k], 0])
+        code = lm.context(lm._targets(text, f)[0], np.array([0]), len(f.words), text)[1:]
+        gain = lm.token_gain(classes, leaf, np.repeat(code, len(words), 0), f, weights)
+        p = share * 10 ** gain
+        assert abs(p.sum() - 1) < 1e-4
+        if "right%d" % k not in number:
+            assert p[words.index("right%d" % k)] > 2 * share[words.index("right%d" % k)]
