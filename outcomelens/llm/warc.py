@@ -4,8 +4,9 @@
 file per task, put in place by a rename so that a repeated task replaces its own
 file.  ``read`` deals byte ranges of all files to tasks.  A task looks in its
 range for the gzip magic number, accepts a place only if a whole member decodes
-there to a WARC record of the stated length and the next member (or the end)
-follows, and from there owns every record that starts inside its range.
+there to a WARC record of the stated length whose payload has the stated digest
+(without one to check, if the next member or the end follows), and from there
+owns every record that starts inside its range.
 
 Defined cases: a null payload is empty; null page ids are kept (their record
 id has no number) and are never the target of a revisit while a copy has an id;
@@ -119,11 +120,13 @@ def parse(data: bytes) -> dict | None:
         digest = base64.b32decode(digest.removeprefix("sha1:")).hex() if digest.startswith("sha1:") else None
     except ValueError:
         digest = None
+    stated_digest = digest
     if payload is not None:
         digest = hashlib.sha1(payload).hexdigest()
     return {"record_type": kind, "record_id": head.get("warc-record-id", "").strip("<>"), "target_uri": head.get("warc-target-uri"),
             "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None,
-            "payload_digest": digest, "payload_bytes": size, "payload": payload}
+            "payload_digest": digest, "payload_bytes": size, "payload": payload,
+            "checked": payload is not None and digest == stated_digest}
 
 
 def _member(f, at: int, held: bytes, head_only: bool = False) -> tuple[bytes, int, bytes] | None:
@@ -156,7 +159,8 @@ def records(f, size: int, start: int, end: int) -> Iterator[tuple[int, dict]]:
     while at < end:
         got = _member(f, at, held)
         record = parse(got[0]) if got else None
-        if record and not sure:  # the first place in a range: the chain must go on behind it
+        checked = record.pop("checked") if record else False
+        if record and not sure and not checked:  # the first place in a range: the chain must go on behind it
             follows = _member(f, got[1], got[2], head_only=True) if got[1] < size else (b"WARC/1.", 0, b"")
             record = record if follows and follows[0].startswith(b"WARC/1.") else None
         if record:

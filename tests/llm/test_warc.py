@@ -55,3 +55,12 @@ def test_members_are_plain_gzip_and_damage_is_skipped():
 
 def test_empty(spark):
     assert warc.digest(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_every_split_gives_the_same_records_on_a_damaged_file():
+    parts = [warc.member(i, "u", "page %d " % i * 50) for i in range(6)]
+    damaged = parts[0] + b"\x1f\x8b\x08" + b"\x07" * 40 + parts[1] + parts[2][:30] + parts[3] + parts[4] + parts[5]
+    for split in (len(damaged), 40, 64, 150, 200, 333):
+        found = [r["record_id"] for s in range(0, len(damaged), split)
+                 for _, r in warc.records(io.BytesIO(damaged), len(damaged), s, min(s + split, len(damaged)))]
+        assert found == ["urn:page:%d" % i for i in (0, 1, 3, 4, 5)]
