@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outcomelens.llm import ann, bpe, langid, lm, minhash, mixing, oracle, pu_quality, quality, secret_scan, warc
+from outcomelens.llm import ann, bpe, langid, lm, minhash, mixing, oracle, pu_quality, quality, secret_scan, warc, whitening
 from outcomelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_lm_score")
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(read(spark, sf_dir, "embeddings"))
