@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def open_store(uri: str):
+    """The file system of a shared folder, and the folder's path there, for use in a task."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
 def spread(rows: DataFrame, table: DataFrame, key: str = "t", by: str = "doc_id", how: str = "inner", salts: int = 64) -> DataFrame:
     """Join ``rows`` with a table of one row per ``key``, through (key, salt).
 

@@ -95,3 +95,16 @@ SELECT doc_id, {counts}, sha256(coalesce(array_to_string(list_transform(list_fil
 
 
 SECRET_SCAN = _secrets()
+
+#: Every query against every row, by all pairs; the five best, ties to the smaller id.
+EXACT_TOPK = """
+WITH rows AS (
+  SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+    max(CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, r.v)]) AS BIGINT)) AS score
+  FROM rows q JOIN rows r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
+"""

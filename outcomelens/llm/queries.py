@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outcomelens.llm import ann, bpe, langid, lm, minhash, mixing, oracle, pu_quality, quality, secret_scan, warc, whitening
+from outcomelens.llm import alignment, ann, bpe, impact, langid, lm, minhash, mixing, oracle, pu_quality, quality, secret_scan, warc, whitening
 from outcomelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op11_exact_topk", oracle.EXACT_TOPK)
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.digest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
