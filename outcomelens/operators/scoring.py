@@ -33,13 +33,17 @@ class LogisticModel:
 
 @dataclass(frozen=True)
 class MlpModel:
-    """Dense network: sigmoid hidden layers, 2-way softmax output (MLlib layout)."""
+    """Dense network: hidden layers, sigmoid (MLlib) or relu, and a 2-way softmax output (MLlib layout)."""
     layers: tuple[tuple[np.ndarray, np.ndarray], ...]   # (W [out x in], b [out])
+    activation: str = "sigmoid"
+
+    def _hidden(self, a: np.ndarray) -> np.ndarray:
+        return np.maximum(a, 0.0) if self.activation == "relu" else 1.0 / (1.0 + np.exp(-a))
 
     def forward(self, z: np.ndarray) -> np.ndarray:
         a = z
         for W, b in self.layers[:-1]:
-            a = 1.0 / (1.0 + np.exp(-(a @ W.T + b)))
+            a = self._hidden(a @ W.T + b)
         W, b = self.layers[-1]
         out = a @ W.T + b
         return 1.0 / (1.0 + np.exp(-(out[:, 1] - out[:, 0])))
@@ -49,14 +53,14 @@ class MlpModel:
         acts = [z]
         a = z
         for W, b in self.layers[:-1]:
-            a = 1.0 / (1.0 + np.exp(-(a @ W.T + b)))
+            a = self._hidden(a @ W.T + b)
             acts.append(a)
         W, b = self.layers[-1]
         out = a @ W.T + b
         p = 1.0 / (1.0 + np.exp(-(out[:, 1] - out[:, 0])))
         d = (p * (1 - p))[:, None] * (W[1] - W[0])[None, :]          # d p / d last hidden
         for (Wl, _), act in zip(reversed(self.layers[:-1]), reversed(acts[1:])):
-            d = (d * act * (1 - act)) @ Wl
+            d = (d * ((act > 0) if self.activation == "relu" else act * (1 - act))) @ Wl
         return d
 
 
