@@ -11,13 +11,19 @@ k ln k + 2k darts fill k coordinates, however many shingles there are.
 Documents are linked if the Jaccard similarity of their sets of five-word
 shingles is at least 0.8; classes are the connected components of all links.
 Copies are represented by one document.  In each band bucket all members are
-compared with the smallest one; members that are then still in different
-classes are compared across classes, so no link is left out for a hub's sake.
+compared with its hub, the one that shares most buckets with others; members of buckets that are then still in several
+classes are compared across classes, so no link is left out for a hub's sake: a
+prefix join on their rare shingles finds all pairs of them that can be similar.
+The darts take weights; here every shingle weighs 1, as the similarity is that of sets.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts
 without a word link to nothing but their exact copies; rows with the same
-doc_id are one document; rows without doc_id take part under a number derived
-from their text, which is negative.  An empty table gives an empty result.
+doc_id and text are one document, those with the same doc_id and other texts
+documents of their own (under numbers from 2^62 on); rows without doc_id take part
+under a number derived from their text, which is negative.  An empty table gives an
+empty result.  Ties don't arise: similarity is compared exactly.  Texts are hashed
+whole, a million characters at a time.  Other columns are ignored, and kept by
+``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +41,11 @@ from outcomelens.llm.common import WORD, spread, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5, at 0.85 with 3e-7; one at 0.3 shares one in 2 cases of 100
+BANDS, ROWS = 38, 5  # a pair at 0.8 shares no band with probability 3e-7, at 0.85 with 2e-10; one at 0.3 shares one in 9 cases of 100
 _CHARS = 1_000_000  # characters hashed at a time
 _SALTS = 64
+CELLS = 1 << 20  # of the table that tells rare shingles from frequent ones
+SIZE_STEP = 0.9  # ratio of neighbouring size classes
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -225,25 +233,128 @@ def identity(docs: DataFrame) -> DataFrame:
     return docs.withColumn("own", F.coalesce(F.col("doc_id").cast("long"), stand_in))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """t, own, node: each distinct text's smallest document, and a number for the text.
+
+    That is the document's, but where an id has several texts only for the first of them (by hash);
+    the others get numbers from their hashes, from 2^62 on.
+    """
+    part = rows.groupBy("t", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).alias("salt")).agg(F.min("own").alias("m"))
+    texts = part.groupBy("t").agg(F.min("m").alias("own"))
+    several = texts.groupBy("own").agg(F.min("t").alias("first"), F.count("*").alias("k")).filter("k > 1").select("own", "first")
+    other = F.shiftrightunsigned(F.xxhash64("t"), 2) + (1 << 62)
+    return (spread(texts, several, key="own", by="t", how="left")
+            .select("t", "own", F.when(F.col("first") != F.col("t"), other).otherwise(F.col("own")).alias("node")))
+
+
 def first_bucket_pairs(members: DataFrame, similar_size: Column) -> DataFrame:
-    """Each member of a bucket with the bucket's smallest node, once."""
+    """Each member of a bucket with the bucket's hub, once."""
     return (members.filter("node <> hub.node")
-            .select(F.col("node").alias("a"), F.col("hub.node").alias("b"), "n", F.col("hub.n").alias("n2"))
+            .select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b"), "n", F.col("hub.n").alias("n2"))
             .filter(similar_size).select("a", "b").distinct())
 
 
-def cross_class_pairs(members: DataFrame, found: DataFrame, similar_size: Column) -> DataFrame:
-    """Pairs of a bucket that are still in different classes: all members outside the bucket's
-    largest class, each with the members of other classes."""
-    placed = members.join(found.select("node", F.col("class").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+def _cells(texts: DataFrame) -> np.ndarray:
+    """How many of the texts' shingles fall into each cell; of a bounded size, so it can go to every task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in _parts(list(batch["text"])):
+                out += np.bincount((shingle_hashes(part)[1] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        yield pd.DataFrame({"c": [out.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"c": [sum((np.frombuffer(c, np.int64) for batch in batches for c in batch["c"]), np.zeros(CELLS, np.int64)).tobytes()]})
+
+    few = texts.select("text").mapInPandas(run, "c binary").repartition(4).mapInPandas(add, "c binary").collect()
+    return np.minimum(sum(np.frombuffer(r.c, np.int64) for r in few), (1 << 32) - 1).astype(np.uint32)
+
+
+def _parts(texts: list) -> Iterator[list[str]]:
+    """Runs of texts of bounded length."""
+    part, size = [], 0
+    for i, t in enumerate(texts):
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= _CHARS or len(part) >= 1 << 15 or i == len(texts) - 1:
+            yield part
+            part, size = [], 0
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / math.log(1 / SIZE_STEP) + 1e-9).astype(np.int64)
+
+
+def prefix_rows(element: np.ndarray, n: int, cells: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Of one set its first shingles in an order from rare to frequent: (size class, shingles, their places, is the larger set).
+
+    Similar sets share s / (1 + s) of both sizes' sum, so one of what they share lies among the first
+    n - that + 1 of either; the more the smaller the other set, hence a number for each size class.
+    """
+    order = element[np.lexsort((element, cells[(element % np.uint64(CELLS)).astype(np.int64)]))].astype(np.int64)
+    share = SIMILARITY / (1 + SIMILARITY)
+
+    def first(other: float) -> int:
+        return min(n, n - math.ceil(share * (n + other) - 1e-9) + 1)
+
+    mine, low = int(size_class(np.array([n]))[0]), SIMILARITY * n
+    least = int(size_class(np.array([max(low * (1 - 1e-9), 1)]))[0])
+    out = [(mine, order[:first(n)], np.arange(first(n)), False)]
+    for k in range(least, mine + 1):
+        m = first(max(low, SIZE_STEP ** -k))
+        out.append((k, order[:m], np.arange(m), True))
+    return out
+
+
+def cross_class_pairs(members: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs still in different classes that can be similar, of all members of buckets with several classes.
+
+    A prefix join: pairs meet in a shingle that is among the rare ones of both, so a passage that many
+    documents share brings none together.  In a shingle of several classes the members of the largest
+    class meet those of the others only.
+    """
+    placed = members.select("bucket", "node", "n").join(found.select("node", F.col("class").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     several = placed.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("bucket")
-    placed = written(placed.join(several, "bucket").select("bucket", "node", "n", "c"), "placed")
-    largest = (placed.groupBy("bucket", "c").count().groupBy("bucket")
-               .agg(F.max_by("c", F.struct("count", "c")).alias("big")))
-    few = placed.join(largest, "bucket").filter("c <> big").select(
-        "bucket", F.col("node").alias("a"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    return (placed.join(few, "bucket").filter((F.col("c") != F.col("c2")) & similar_size)
-            .select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b")).distinct())
+    nodes = placed.join(several, "bucket", "left_semi").select("node", "c").distinct()
+    asked = written(texts.join(nodes, "node"), "prefix-texts")
+    cells = _cells(asked)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            start, node, c = 0, batch["node"].to_numpy(), batch["c"].to_numpy()
+            for part in _parts(list(batch["text"])):
+                owner, element, _ = shingle_hashes(part)
+                sizes = np.bincount(owner, minlength=len(part))
+                sets = np.split(element, np.cumsum(sizes)[:-1])
+                found = [(start + i, *row) for i, x in enumerate(sets) if len(x) for row in prefix_rows(x, len(x), cells)]
+                if found:
+                    at, k, x, place, larger = zip(*found)
+                    doc = np.repeat(at, [len(p) for p in x])
+                    yield pd.DataFrame({"k": np.repeat(k, [len(p) for p in x]), "x": np.concatenate(x), "at": np.concatenate(place),
+                                        "larger": np.repeat(larger, [len(p) for p in x]), "node": node[doc], "n": sizes[doc - start], "c": c[doc]})
+                start += len(part)
+
+    rows = asked.select("node", "c", "text").mapInPandas(run, "k long, x long, at long, larger boolean, node long, n long, c long")
+    rows = written(rows, "prefixes")
+    shared = (rows.groupBy("k", "x", "c").agg(F.count("*").alias("m")).groupBy("k", "x")
+              .agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count("*").alias("classes")).filter("classes > 1").select("k", "x", "big"))
+    rows = written(rows.join(shared, ["k", "x"]), "shared-prefixes")
+
+    def side(larger: bool, few: bool | None, letter: str) -> DataFrame:
+        keep = F.col("larger") == larger
+        if few is not None:
+            keep = keep & ((F.col("c") != F.col("big")) == few)
+        return rows.filter(keep).select("k", "x", *[F.col(c).alias(c + letter) for c in ("node", "n", "c", "at")])
+
+    def meet(small: DataFrame, large: DataFrame) -> DataFrame:
+        rest = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))  # shared at most, from the first shared shingle on
+        can = (rest >= SIMILARITY / (1 + SIMILARITY) * (F.col("n1") + F.col("n2")) - 1e-6) & (F.col("n1") >= SIMILARITY * F.col("n2") - 1e-6)
+        in_order = F.struct("n1", "node1") < F.struct("n2", "node2")
+        same = (F.col("l.k") == F.col("s.k")) & (F.col("l.x") == F.col("s.x")) & (F.col("c1") != F.col("c2"))
+        return (small.alias("s").join(large.alias("l"), same & in_order & can)
+                .select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")))
+
+    return meet(side(False, True, "1"), side(True, None, "2")).unionAll(meet(side(False, False, "1"), side(True, True, "2"))).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -251,34 +362,36 @@ def classes(docs: DataFrame) -> DataFrame:
     smallest node of the class) and n_links (checked links of the node to other texts)."""
     rows = identity(docs.select("doc_id", "text")).select("doc_id", "own", "t", F.pandas_udf(_sign, "n long, bands array<long>")("text").alias("s"))
     rows = written(rows.select("doc_id", "own", "t", "s.*"), "signatures")
-    part = rows.groupBy("t", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).alias("salt")).agg(F.min("own").alias("m"))
-    nodes = written(part.groupBy("t").agg(F.min("m").alias("node")), "nodes")
-    one = (rows.filter("n > 0").join(nodes.withColumnRenamed("node", "own"), ["t", "own"])
-           .groupBy("own").agg(F.min(F.struct("t", "n", "bands")).alias("s")).select(F.col("own").alias("node"), "s.*"))
+    nodes = written(numbered(rows), "nodes")
+    one = (rows.filter("n > 0").select("t", "own", "n", "bands").join(nodes, ["t", "own"])
+           .groupBy("node").agg(F.min(F.struct("t", "own", "n", "bands")).alias("s")).select("node", "s.*"))
     one = written(one, "represented")
     members = one.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = (members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("size"))
-            .filter("size > 1").select("bucket", "hub"))
-    members = written(members.join(hubs, "bucket").select("bucket", "node", "n", "hub"), "members")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(members.join(sizes, "bucket"), "members")
+    # a bucket's hub is the member that meets most others in all its buckets: the original of a group rather than one of its copies
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    hubs = (members.join(company, "node").groupBy("bucket")
+            .agg(F.max_by(F.struct("node", "n"), F.struct("company", -F.col("node"))).alias("hub")))
+    members = written(members.join(hubs, "bucket").select("bucket", "node", "n", "hub"), "with-hubs")
     similar_size = F.least("n", "n2") >= SIMILARITY * F.greatest("n", "n2") - 1e-9
     pairs = written(first_bucket_pairs(members, similar_size), "pairs")
-    asked = members.select("node").distinct().join(one.select("node", "t"), "node")
-    texts = (identity(docs.select("doc_id", "text")).withColumnRenamed("own", "node").join(asked, ["node", "t"])
-             .dropDuplicates(["node", "t"]).select("node", "text"))
+    asked = members.select("node").distinct().join(one.select("node", "t", "own"), "node")
+    texts = identity(docs.select("doc_id", "text")).join(asked, ["own", "t"]).dropDuplicates(["node"]).select("node", "text")
     texts = written(texts, "asked-texts")
     links = written(verified(pairs, texts), "links")
-    across = cross_class_pairs(members, components(links), similar_size)
+    across = cross_class_pairs(members, components(links), texts)
     across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
     links = written(links.unionAll(verified(across, texts)), "links")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    table = nodes.join(components(links), "node", "left").join(degree, "node", "left").select(
+    table = nodes.select("t", "node").join(components(links), "node", "left").join(degree, "node", "left").select(
         "t", "node", F.coalesce("class", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return spread(rows.select("doc_id", "own", "t"), table)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each class one document stays, that with the smallest doc_id; columns unchanged."""
-    stay = classes(docs).filter("own = class_id").select(F.col("own").alias("__own"), F.col("t").alias("__t")).distinct()
+    stay = classes(docs).filter("node = class_id").groupBy("t").agg(F.min("own").alias("own")).select(F.col("own").alias("__own"), F.col("t").alias("__t"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = identity(docs.select(row, "doc_id", "text")).select("row", F.col("own").alias("__own"), F.col("t").alias("__t"))
     return rows.join(stay, ["__own", "__t"]).dropDuplicates(["__own", "__t"]).select("row.*")

@@ -100,3 +100,40 @@ def test_signature_does_not_depend_on_the_batch():
     whole = sign(texts)
     for i in (0, 5, 17, 33):
         assert (sign([texts[i]])[0] == whole[i]).all()
+
+
+def test_a_common_passage_brings_no_pairs_together(spark, make):
+    rng = random.Random(3)
+    passage = " ".join("p%d" % i for i in range(300))
+    rows = [(i, passage + " " + " ".join("w%d" % rng.randrange(10 ** 6) for _ in range(75))) for i in range(120)]
+    docs = make(rows)
+    nodes = [(i, t, 371, b) for i, t in rows for b in (1, 2)]
+    members = spark.createDataFrame([(b, i, n) for i, _, n, b in nodes], "bucket long, node long, n long")
+    none = spark.createDataFrame([], "node long, class long")
+    texts = docs.select(docs.doc_id.alias("node"), "text")
+    assert M.cross_class_pairs(members, none, texts).count() == 0
+    assert len({r.class_id for r in M.digest(docs).collect()}) == 120
+
+
+def test_prefix_join_finds_every_similar_pair(spark, make):
+    rows = [(i, t) for i, t in documents() if len((t or "").split()) >= 1]
+    rows = [(i, t) for k, (i, t) in enumerate(rows) if t not in {x for _, x in rows[:k]}]
+    sets = {i: M.shingles(t) for i, t in rows}
+    members = spark.createDataFrame([(1, i, len(sets[i])) for i, _ in rows], "bucket long, node long, n long")
+    none = spark.createDataFrame([], "node long, class long")
+    texts = make(rows).selectExpr("doc_id AS node", "text")
+    got = {(r.a, r.b) for r in M.cross_class_pairs(members, none, texts).collect()}
+    want = {(a, b) for a in sets for b in sets if a > b
+            and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert want <= got and len(got) < 3 * len(want) + 50
+
+
+def test_an_id_with_several_texts(make):
+    one, two = ("a%d " % k * 1 for k in (1, 2))
+    one, two = (" ".join(x.strip() + str(i) for i in range(60)) for x in (one, two))
+    rows = [(7, one), (7, two), (8, two + " more"), (9, one + " more"), (3, "alone stands this text among others")]
+    got = {}
+    for r in M.classes(make(rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.class_id)
+    assert got[9] <= got[7] and got[8] <= got[7] and len(got[7]) == 2 and got[3] == {3}
+    assert sorted(M.keep_one(make(rows)).select("text").toPandas()["text"].str[:2]) == ["a1", "a2", "al"]
