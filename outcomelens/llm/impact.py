@@ -104,18 +104,27 @@ class Shard:
         lists = rows.iloc[1:]
         m = len(self.ids)
         self.x = np.stack([np.frombuffer(v, k).astype(np.int64) for v, k in zip(lists["vals"], lists["kind"])], 1)
-        self.rows = np.stack([np.frombuffer(p, np.uint32 if m > 1 << 16 else np.uint16).astype(np.int64) for p in lists["postings"]])
-        falling = np.take_along_axis(self.x.T, self.rows, 1)
+        falling_rows = np.stack([np.frombuffer(p, np.uint32 if m > 1 << 16 else np.uint16).astype(np.int64) for p in lists["postings"]])
+        falling = np.take_along_axis(self.x.T, falling_rows, 1)
         self.best, self.worst = falling[:, 0], falling[:, -1]
         step = np.maximum(-(-(self.best - self.worst + 1) // LEVELS), 1)
-        # where the segments of each dimension start, and the best and the worst value of each
         level = (falling - self.worst[:, None]) // step[:, None]
-        self.starts = [np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1, [m])) for row in level]
-        self.high = [f[s[:-1]] for f, s in zip(falling, self.starts)]
-        self.low = [f[s[1:] - 1] for f, s in zip(falling, self.starts)]
+        # both ways to read a list: by falling value for positive weights, by rising value for negative ones
+        self.ways = [self._way(falling_rows, level, falling - self.worst[:, None]),
+                     self._way(falling_rows[:, ::-1], level[:, ::-1], (self.best[:, None] - falling)[:, ::-1])]
         self.alone = {ids[0]: k for k, ids in enumerate(self.ids) if len(ids) == 1}
         self.read = self.held = 0  # postings read, and those there were
 
+    @staticmethod
+    def _way(rows: np.ndarray, level: np.ndarray, worth: np.ndarray) -> tuple:
+        """Postings in reading order with their segment's best worth; per dimension the segments' worths and ends."""
+        m = rows.shape[1]
+        starts = [np.concatenate(([0], np.flatnonzero(np.diff(v)) + 1)) for v in level]
+        worths = [w[s].astype(float) for w, s in zip(worth, starts)]
+        ends = [np.append(s[1:], m) for s in starts]
+        spread = np.stack([np.repeat(w, np.diff(e, prepend=0)) for w, e in zip(worths, ends)])
+        return np.ascontiguousarray(rows), spread, worths, ends
+
     def scores(self, some: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Exact inner products of some rows."""
         x = self.x[some]
@@ -128,53 +137,66 @@ class Shard:
         """Rows that can be among the first ``TOP`` (and more), with their exact scores."""
         m = len(self.ids)
         use = np.flatnonzero(q)
-        weight = np.abs(q[use]).astype(float)
-        up = q[use] > 0
-        # per dimension the impacts of its segments in reading order, and how many postings they end at
-        impacts = [w * (self.high[d] - self.worst[d] if u else (self.best[d] - self.low[d])[::-1]) for d, w, u in zip(use, weight, up)]
-        ends = [self.starts[d][1:] if u else m - self.starts[d][-2::-1] for d, u in zip(use, up)]
-        first = np.array([i[0] for i in impacts])
-        flat = np.concatenate(impacts) if len(use) else np.zeros(0)
+        if not len(use):
+            return np.arange(m), self.scores(np.arange(m), q)
+        way = (q[use] < 0).astype(int).tolist()
+        dims, weight = use.tolist(), np.abs(q[use]).astype(float)
+        # all segments' impacts, one dimension after the other, and the order they are read in
+        sizes = np.fromiter((len(self.ways[w][2][d]) for d, w in zip(dims, way)), np.int64, len(dims))
+        flat = np.concatenate([self.ways[w][2][d] for d, w in zip(dims, way)]) * np.repeat(weight, sizes)
+        ends = np.concatenate([self.ways[w][3][d] for d, w in zip(dims, way)])
+        of = np.repeat(np.arange(len(dims)), sizes)
+        offset = np.cumsum(sizes) - sizes
+        first = flat[offset]
         order = np.argsort(-flat, kind="stable")
-        filled = np.cumsum(np.concatenate([np.diff(e, prepend=0) for e in ends])[order]) if len(use) else np.zeros(0)
-        base = float(sum(q[d] * float(self.worst[d] if u else self.best[d]) for d, u in zip(use, up)))
-        slack = 1e-9 * (abs(base) + first.sum()) if max(abs(base), first.sum()) * 4 > _LARGE else 0.0
-        total, met, at = np.zeros(m), np.zeros(m), np.zeros(len(use), np.int64)
-        bound = None
-        self.held += m * len(use)
+        lengths = np.diff(ends, prepend=0)
+        lengths[offset] = ends[offset]
+        filled = np.cumsum(lengths[order])
+        base = float(sum(float(q[d]) * float(self.worst[d] if q[d] > 0 else self.best[d]) for d in dims))
+        most = first.sum()
+        slack = 1e-9 * (abs(base) + most) if max(abs(base), most) * 4 > _LARGE else 0.0
+        # how often a row was met is counted in the same sum as its impacts, above them, where there is room
+        unit = 2.0 ** np.ceil(np.log2(most + 2)) if most < 2.0 ** 30 and len(dims) < 1 << 20 else 0.0
+        total, met = np.zeros(m), np.zeros(m)
+        segments, at = np.zeros(len(dims), np.int64), np.zeros(len(dims), np.int64)
+        bound, done = None, 0
+        self.held += m * len(dims)
         for share in ROUNDS:
-            if not len(use):
-                break
             last = min(int(np.searchsorted(filled, share * filled[-1])), len(flat) - 1)
-            stand = flat[order[last + 1]] if last + 1 < len(flat) else 0.0  # all segments above this impact are read
-            some, gains = [], []
-            for k, d in enumerate(use):
-                segments = int(np.searchsorted(-impacts[k], -stand, "left"))
-                until = int(ends[k][segments - 1]) if segments else 0
-                if until > at[k]:
-                    now = slice(at[k], until) if up[k] else slice(m - until, m - at[k])
-                    sizes = np.diff(ends[k][:segments], prepend=0)
-                    gain = np.repeat(impacts[k][:segments], sizes)[at[k]:until]
-                    some.append(self.rows[d, now])
-                    gains.append(gain if up[k] else gain[::-1])
-                    at[k] = until
-            if some:
-                some = np.concatenate(some)
-                self.read += len(some)
-                total += np.bincount(some, np.concatenate(gains), m)
+            if last < done:
+                continue
+            stand = flat[order[last + 1]] if last + 1 < len(flat) else 0.0  # the impact of the best segment that is not read
+            segments += np.bincount(of[order[done:last + 1]], minlength=len(dims))
+            done = last + 1
+            until = np.where(segments > 0, ends[offset + np.maximum(segments, 1) - 1], 0)
+            cut = list(zip(way, dims, at.tolist(), until.tolist()))
+            some = np.concatenate([self.ways[w][0][d, a:b] for w, d, a, b in cut])
+            gain = np.concatenate([self.ways[w][1][d, a:b] for w, d, a, b in cut])
+            gain *= np.repeat(weight, until - at)
+            if unit:
+                total += np.bincount(some, gain + unit, m)
+                met = np.floor(total / unit)
+                got = total - met * unit
+            else:
+                total += np.bincount(some, gain, m)
                 met += np.bincount(some, minlength=m)
-            touched = at > 0
-            upper = base + total + stand * (touched.sum() - met) + first[~touched].sum() + slack
+                got = total
+            at = until
+            self.read += len(some)
+            touched = segments > 0
+            upper = got + stand * (touched.sum() - met)
+            upper += base + first[~touched].sum() + slack
             if own is not None:
                 upper[own] = -np.inf
             if bound is None and m > 4 * TOP:
                 front = np.argpartition(-upper, 4 * TOP)[:4 * TOP]
-                bound = float(np.sort(self.scores(front[np.isfinite(upper[front])], q))[-TOP:][0])
+                bound = float(np.sort(self.scores(front[np.isfinite(upper[front])], q))[-TOP:][0]) - slack
             if bound is not None:
-                possible = np.flatnonzero(upper >= bound - slack)
+                possible = np.flatnonzero(upper >= bound)
                 if len(possible) <= max(4 * TOP, m // FEW):
-                    return possible, self.scores(possible, q)
-        possible = np.flatnonzero(upper >= bound - slack) if bound is not None else np.arange(m)
+                    break
+        else:
+            possible = np.flatnonzero(upper >= bound) if bound is not None else np.arange(m)
         return possible, self.scores(possible, q)
 
 
