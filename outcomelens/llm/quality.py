@@ -6,7 +6,10 @@ bits, so applying or comparing policies never reads the text again.
 
 Defined cases: a null text counts as empty (no words, every count 0); repeated
 rows each get their own ledger row; an empty table gives an empty ledger.  Only
-the named text column is read, so extra columns pass through untouched.
+the named text column is read, so extra columns pass through untouched; ``ledger``
+replaces columns named ``__q`` or ``__bits``, ``keep_good`` and ``digest`` don't touch
+them.  Texts are measured whole; from ``_LONG`` words on windows are told apart by
+numbers instead of tuples, with the same result.  There are no ties.
 """
 
 from __future__ import annotations
@@ -105,8 +108,9 @@ def passes(policy: str = "v1") -> Column:
 
 
 def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The documents that a policy accepts, columns unchanged."""
-    return ledger(docs).filter(passes(policy)).drop("__q", "__bits")
+    """The documents that a policy accepts, columns unchanged, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return ledger(docs.select(row, F.col("text").alias("text"))).filter(passes(policy)).select("row.*")
 
 
 def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:

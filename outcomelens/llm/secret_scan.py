@@ -5,10 +5,14 @@ index holds postings (trigram, row key) for the trigrams of these queries; per
 row key the postings are intersected, and only candidate rules are verified on
 the row's text.  A rule without mandatory trigrams is verified on every text.
 
-Defined cases: a null text counts as empty (no spans); repeated rows share a
-row key and each keep their own result row; the index may only add candidates,
-never lose one, so a key collision changes nothing.  Only doc_id and text are
-read; offsets are code points, ends exclusive.
+Defined cases: a null text counts as empty (no spans), and stays null when
+secrets are replaced; repeated rows share a row key and each keep their own result
+row (adaptive execution splits a key that many rows share); the index may only
+add candidates, never lose one, so a key collision changes nothing.  An empty
+table gives an empty result.  Very long texts and texts with very many matches
+take time in proportion to their length.  Spans that start together are listed in
+the order of the rules.  Only doc_id and text are read; other columns may have any
+name.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ RULES = BASE + (
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"(sk|rk)_live_[A-Za-z0-9]{16,}"),
 )
+_CHUNK = 128  # items that a growing array is copied with
 _MOST = 64  # literal alternatives followed before a run is closed
 
 
@@ -150,6 +155,32 @@ def candidates(postings: DataFrame, trigrams: list[str], queries: dict[str, list
     return rows.filter(" OR ".join(f"`{k}`" for k in queries)) if queries else rows
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(items: Column, value, fold) -> Column:
+    """Per item the fold (from 0) of the values of all items before it.
+
+    Items are taken ``_CHUNK`` at a time: an array that grows by one item is copied
+    with each, so only a chunk's worth is ever copied.
+    """
+    def grow(part: Column, start: Column, of) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(
+            fold(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def cut(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / _CHUNK).cast("int")), lambda i: F.slice(all_, i * _CHUNK + 1, _CHUNK))
+
+    def within(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: fold(acc, value(x))))
+        return F.flatten(F.zip_with(chunks, grow(totals, F.lit(0), lambda t: t), lambda c, start: grow(c, start, value)))
+
+    return let(items, lambda all_: let(cut(all_), within))
+
+
 def _spans(rule: Rule, number: int) -> Column:
     """Array of (start, kind number, end) of a rule's matches in ``text``: the pieces
     between matches and the matches, both from left to right, give the offsets."""
@@ -160,16 +191,14 @@ def _spans(rule: Rule, number: int) -> Column:
     parts = F.zip_with(F.zip_with(hits, checked, lambda h, c: F.struct(F.length(h).alias("n"), (F.length(c) >= rule.least).alias("ok"))),
                        gaps, lambda h, g: F.struct(F.length(g).alias("gap"), h["n"].alias("n"), h["ok"].alias("ok")))
     parts = F.filter(parts, lambda p: p["n"].isNotNull())  # the piece after the last match
-    span = "struct<s:int,k:int,e:int>"
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + p["n"]
-        one = F.array(F.struct(start.alias("s"), F.lit(number).alias("k"), end.alias("e")))
-        return F.struct(end.alias("at"), F.when(p["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(p: Column) -> Column:
+        before = running(p, lambda x: x["gap"] + x["n"], lambda a, b: a + b)
+        each = F.zip_with(p, before, lambda x, at: F.struct(
+            (at + x["gap"]).alias("s"), F.lit(number).alias("k"), (at + x["gap"] + x["n"]).alias("e"), x["ok"].alias("ok")))
+        return F.transform(F.filter(each, lambda x: x["ok"]), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
-    return F.aggregate(parts, first, step)["out"]
+    return let(parts, placed)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -197,23 +226,37 @@ def listing(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"], x["e"])), ",")
 
 
+def merged(spans: Column) -> Column:
+    """Sorted (s, e) of sorted spans, overlapping ones as one."""
+    def join(all_: Column) -> Column:
+        reach = running(all_, lambda x: x["e"], lambda a, b: F.greatest(a, b))
+        marks = F.zip_with(all_, reach, lambda x, r: F.struct(
+            x["s"].alias("s"), F.greatest(x["e"], r).alias("e"), (x["s"] >= r).alias("new")))
+        return let(marks, ends)
+
+    def ends(marks: Column) -> Column:
+        after = F.concat(F.transform(F.slice(marks, 2, F.greatest(F.size(marks) - 1, F.lit(0))), lambda x: x["new"]), F.array(F.lit(True)))
+        last = F.filter(F.zip_with(marks, after, lambda x, new: F.struct(x["e"].alias("e"), new.alias("end"))), lambda x: x["end"])
+        return F.zip_with(F.filter(marks, lambda x: x["new"]), last, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e")))
+
+    return F.when(F.size(spans) == 0, F.array().cast("array<struct<s:int,e:int>>")).otherwise(let(spans, join))
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` in the place of every span: its characters are taken apart once, and joined between the spans."""
+    def join(chars: Column) -> Column:
+        def pieces(m: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.transform(m, lambda x: x["e"]))
+            until = F.concat(F.transform(m, lambda x: x["s"]), F.array(F.size(chars)))
+            return F.array_join(F.zip_with(before, until, lambda a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")), mark)
+        return let(merged(spans), pieces)
+    return let(F.split(text, ""), join)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced in text (overlapping spans as one) and n_chars brought in line."""
-    def join(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        new = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))
-        return (F.when((F.size(acc) > 0) & (x["s"] < F.get(acc, F.size(acc) - 1)["e"]),
-                       F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
-                .otherwise(F.concat(acc, new)))
-
     found = scan(docs).withColumn("text", F.col("row")["text"])
-    merged = F.aggregate("__spans", F.array().cast("array<struct<s:int,e:int>>"), join)
-    pieces = F.aggregate(
-        merged, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(x["e"].alias("at"), F.concat(
-            acc["out"], F.substring("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)).alias("out")))
-    clean = F.concat(pieces["out"], F.substring("text", pieces["at"] + 1, F.length("text")))
+    clean = replaced(F.col("text"), F.col("__spans"), mark)
     found = found.select("row", F.when(F.size("__spans") > 0, clean).otherwise(F.col("text")).alias("clean"))
     out = []
     for c in docs.columns:

@@ -54,3 +54,11 @@ def test_policies_and_ablation(make):
 def test_empty_table(make):
     assert quality.digest(make([])).count() == 0
     assert quality.keep_good(make([])).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_every_internal_name_may_be_a_column(make):
+    from outcomelens.llm import quality as Q
+    good = "these are plain words of a text that is long enough to stay in it"
+    kept = Q.keep_good(make([(1, good), (2, "short")], extra=["__q", "__bits", "row", "bits"]))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "__q", "__bits", "row", "bits"]
+    assert [tuple(r) for r in kept.collect()] == [(1, good, "en", "s", len(good), 1, 1, 1, 1)]
