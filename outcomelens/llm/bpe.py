@@ -8,7 +8,10 @@ bytes that emits text whenever a character is complete.
 
 Defined cases: a null text counts as empty (no tokens, empty decoded text);
 strings of special tokens in the text become those tokens, as the library does
-by default.  Only the named text column is read.
+by default.  Repeated rows are encoded each; an empty table gives an empty result;
+texts of any length pass through in slices, pieces of any length in runs of symbols.
+Merges of equal rank go from left to right.  Only the named text column is read, so
+other columns may have any name; ``digest`` reads doc_id and text.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 _SLICE = 1 << 16  # characters normalised at a time, cut at white space
+_RUN = 1 << 12  # symbols of a long piece taken, and ids of it given out, at a time
 _CACHE = 1 << 18  # pieces remembered by a task
 
 
@@ -119,11 +124,17 @@ class Transducer:
             yield from self.merge(held)
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
+        """Ids of a short piece, which ends before anything could leave early."""
         symbols = [self.symbols[b] for b in piece.encode()]
-        if len(symbols) < 4 * self.lookahead:  # ends before anything could leave early
-            symbols[-1] += self.suffix
-            return tuple(map(self.vocab.__getitem__, self.merge(symbols)))
-        return tuple(map(self.vocab.__getitem__, self.stream(symbols)))
+        symbols[-1] += self.suffix
+        return tuple(map(self.vocab.__getitem__, self.merge(symbols)))
+
+    def long_piece_ids(self, piece: str) -> Iterator[tuple[int, ...]]:
+        """Ids of a piece of any length as they become stable, ``_RUN`` at a time."""
+        letters = (piece[k:k + _RUN] for k in range(0, len(piece), _RUN))
+        stable = self.stream(self.symbols[b] for part in letters for b in part.encode())
+        while run := tuple(map(self.vocab.__getitem__, islice(stable, _RUN))):
+            yield run
 
     def normal(self, text: str) -> str:
         for form in self.forms:
@@ -141,9 +152,16 @@ class Transducer:
                 continue
             for piece_text in _slices(part):
                 out: list[int] = []
-                for piece in self.piece.findall(self.normal(piece_text)):
+                for match in self.piece.finditer(self.normal(piece_text)):
+                    piece = match[0]
                     got = cache.get(piece)
                     if got is None:
+                        if len(piece) >= self.lookahead:
+                            if out:
+                                yield tuple(out)
+                                out = []
+                            yield from self.long_piece_ids(piece)
+                            continue
                         got = self.piece_ids(piece)
                         if len(piece) <= 64:
                             if len(cache) >= _CACHE:
@@ -190,15 +208,22 @@ class Decoder:
         return "" if self.plain else self.state.decode(b"", True)
 
 
-def load(path: str) -> Transducer:
+def content(path: str) -> str:
+    """The tokenizer file, read by the driver: it goes to the tasks with their function, so only the driver needs the path."""
     with open(path, encoding="utf-8") as f:
-        return Transducer(json.load(f))
+        return f.read()
+
+
+def load(path: str) -> Transducer:
+    return Transducer(json.loads(content(path)))
 
 
 def encode(text: Column, path: str) -> Column:
     """Token ids of a text column (null: no tokens)."""
+    spec = content(path)
+
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t, cache = load(path), {}
+        t, cache = Transducer(json.loads(spec)), {}
         for batch in texts:
             yield pd.Series([[i for part in t.ids(x or "", cache) for i in part] for x in batch], dtype=object)
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -207,8 +232,10 @@ def encode(text: Column, path: str) -> Column:
 
 def decode(ids: Column, path: str) -> Column:
     """Text of a column of token ids (null: empty)."""
+    spec = content(path)
+
     def run(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = load(path)
+        t = Transducer(json.loads(spec))
         for batch in rows:
             out = []
             for row in batch:
@@ -221,8 +248,10 @@ def decode(ids: Column, path: str) -> Column:
 
 def round_trip(text: Column, path: str) -> Column:
     """Encode, decode, and hash both streams while they pass: a struct of the digest columns."""
+    spec = content(path)
+
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t, cache = load(path), {}
+        t, cache = Transducer(json.loads(spec)), {}
         numeral = {i: str(i) for i in t.tokens}
         for batch in texts:
             rows = []
