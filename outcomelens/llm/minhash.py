@@ -198,7 +198,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A node in very many pairs is spread: its text is copied once per 256 of them.
     """
     often = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).alias("parts"))
-    salted = pairs.join(often, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
+    salted = spread(pairs, often, key="b", by="a").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
     left = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     right = (texts.join(often, texts.node == often.b).select(
         "b", F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
