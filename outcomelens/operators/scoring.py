@@ -103,6 +103,23 @@ def logit_expr(scorer: Scorer, types: dict | None = None) -> Column:
     return acc
 
 
+def partial_logit(scorer: Scorer, types: dict | None, grid_fields: Sequence[str]) -> tuple[Column, Column]:
+    """A logistic model's logit in two parts: the terms of ``grid_fields``, and all others with the bias.
+
+    Both are rounded to nine digits, so sums that only differ by the order of adding count as equal.
+    """
+    m = scorer.model
+    if not isinstance(m, LogisticModel):
+        raise ValueError("only a logistic score falls into parts")
+    inside, outside = F.lit(0.0), F.lit(m.bias)
+    for (name, z), w in zip(scorer.standardized_terms(types), m.weights):
+        if name.split("__")[0] in grid_fields:
+            inside = inside + F.lit(w) * z
+        else:
+            outside = outside + F.lit(w) * z
+    return F.round(inside, 9), F.round(outside, 9)
+
+
 def score_batch(configs: DataFrame, scorer: Scorer, keep: Sequence[str],
                 check_cost: bool = True, threshold: float = 0.5) -> DataFrame:
     """H7: probability, chance (x100), positive, error for typed configurations.

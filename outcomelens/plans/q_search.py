@@ -3,6 +3,9 @@ F4-F6, H9, H10) with the fixed-weight scorer."""
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +16,7 @@ from ..operators.scoring import score_batch
 from ..sources.fixtures import fact_records, site_dim, table
 from ..spec import FIXTURE_SPEC as S
 from .catalog import register
-from .fixture_model import fixture_scorer, sql_cost, sql_logit, sql_scaler_cte
+from .fixture_model import fixture_scorer, sql_cost, sql_logit, sql_scaler_cte, sql_terms, sql_weights
 from .oracle import FACT, SITES
 
 SP = S.search
@@ -314,3 +317,72 @@ def q_top_configs(spark, sf):
     sc = fixture_scorer(spark, sf, "B")
     t = Q.top_configs(C.candidate_budget(_sites(spark, sf), SP, "B"), sc, 5)
     return t.select(*FIELDS_B, F.round("chance", 4).alias("chance"), "positive", "pick_rank")
+
+
+# ------------------------------------------------------------------ baselines with fields of their own
+_OPEN = replace(SP, posthoc_own=(), posthoc_other=(), levels=(SP.top_level,))
+OPEN_FIELDS = [f for f in FIELDS_A if f not in ("own_amt", "other_amt")]
+
+
+def _parts_sql():
+    """The variant A logit in the grid's part and the baseline's, rounded like the library's."""
+    w, b = sql_weights("A")
+    inside, outside = "0.0::DOUBLE", f"{b!r}::DOUBLE"
+    for i, (name, e) in enumerate(sql_terms("A")):
+        z = f"(({e}) - st.m{i}) / (CASE WHEN st.s{i} = 0 THEN 1.0::DOUBLE ELSE st.s{i} END)"
+        if name.split("__")[0] in OPEN_FIELDS:
+            inside = f"({inside} + {w[i]!r}::DOUBLE * {z})"
+        else:
+            outside = f"({outside} + {w[i]!r}::DOUBLE * {z})"
+    return f"round({inside}, 9)", f"round({outside}, 9)"
+
+
+_INSIDE, _OUTSIDE = _parts_sql()
+_LIMIT = f"{math.log(0.95 / (1.0 - 0.95))!r}::DOUBLE"
+
+
+@register("optimize_own_fields", f"""WITH {FACT}, {sql_scaler_cte('A')}, {_grid_ctes(levels=[SP.top_level])},
+g AS (SELECT grid.*, {_INSIDE} AS score FROM grid, st),
+b AS (SELECT {KEY_SQL}, {', '.join(OPEN_FIELDS)}, own_amt, other_amt, {_OUTSIDE} AS part, row_number() OVER () AS n,
+  CASE WHEN {sql_cost()} > 4 THEN NULL ELSE 1.0::DOUBLE / (1.0::DOUBLE + exp(-({sql_logit('A')}))) END AS p FROM fact, st),
+-- every baseline with every candidate
+full_product AS (SELECT b.n, min(g.ordinal) FILTER (g.score + b.part >= {_LIMIT}) AS early, max(g.score + b.part) AS most FROM b, g GROUP BY b.n),
+tops AS (SELECT max(score) AS top FROM g),
+last AS (SELECT min(ordinal) AS late FROM g, tops WHERE score = top),
+j AS (SELECT b.*, f.early IS NOT NULL AS found, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(g.score + b.part))) AS cand_p, f.most,
+  {', '.join(f'g.{f} AS best_{f}' for f in [*OPEN_FIELDS, 'site_group'])}
+  FROM b JOIN full_product f ON b.n = f.n CROSS JOIN last JOIN g ON g.ordinal = coalesce(f.early, last.late)),
+t AS (SELECT *, p IS NULL OR (p < 0.95 AND (found OR cand_p > p)) AS take FROM j),
+res AS (SELECT {KEY_COLS}, {', '.join(f'CASE WHEN take THEN best_{f} ELSE {f} END AS {f}' for f in OPEN_FIELDS)}, own_amt, other_amt,
+  CASE WHEN take THEN best_site_group END AS site_group, (CASE WHEN take THEN cand_p ELSE p END) * 100.0::DOUBLE AS best_chance,
+  p * 100.0::DOUBLE AS current_chance, p IS NOT NULL AS valid, found OR abs(most - (SELECT top FROM tops) - part) < 1e-6 AS agrees FROM t)
+SELECT {KEY_COLS}, {', '.join(OPEN_FIELDS)}, own_amt, other_amt, site_group, round(best_chance, 4) AS best_chance, round(current_chance, 4) AS current_chance,
+  round(greatest(coalesce(best_chance - current_chance, 0.0), 0.0), 4) AS improvement, valid FROM res WHERE agrees""")
+def q_optimize_own_fields(spark, sf):
+    """H9 for baselines that keep their own post-hoc values: the grid leaves two fields to each."""
+    sc = fixture_scorer(spark, sf, "A")
+    sc = replace(sc, spec=replace(sc.spec, search=_OPEN))
+    base = _fact(spark, sf).select(*KEY, *OPEN_FIELDS, "own_amt", "other_amt")
+    o = Q.optimize_configs(base, _sites(spark, sf), sc, KEY)
+    return o.select(*KEY, *OPEN_FIELDS, "own_amt", "other_amt", "site_group",
+                    *[F.round(c, 4).alias(c) for c in ("best_chance", "current_chance", "improvement")], "valid")
+
+
+_COUNTS = (1, 5, 12)
+
+
+@register("top_configs_by_request", _scored_grid_sql(_grid_ctes(levels=[SP.top_level])) + f""",
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(_DKEY)} ORDER BY p DESC, ordinal) AS dn FROM sg) WHERE dn = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY opt ORDER BY p DESC, ordinal) AS gr FROM d),
+ks AS (SELECT CAST(unnest({list(_COUNTS)}) AS INTEGER) AS k),
+t AS (SELECT *, CASE WHEN gr = 1 THEN 1 WHEN gr <= greatest(2, k // 3) AND p * 100.0::DOUBLE >= 35.0 THEN 2 ELSE 3 END AS tier FROM r, ks),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tier, p DESC, ordinal) AS rn FROM t),
+picks AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, ordinal) AS pick_rank FROM n WHERE rn <= k)
+SELECT c_custkey, k AS asked, {FIELDS_B_SQL}, round(p * 100.0::DOUBLE, 4) AS chance, p >= 0.5 AS positive, pick_rank
+FROM customer JOIN picks ON k = {list(_COUNTS)}[c_custkey % 3 + 1]""")
+def q_top_configs_by_request(spark, sf):
+    """A request per customer for 1, 5 or 12 configurations, all answered from one scored grid."""
+    sc = fixture_scorer(spark, sf, "B")
+    asked = table(spark, sf, "customer").select("c_custkey", F.get(F.lit(list(_COUNTS)), (F.col("c_custkey") % 3).cast("int")).alias("asked"))
+    t = Q.top_configs_for(asked, C.candidate_budget(_sites(spark, sf), SP, "B"), sc, "asked")
+    return t.select("c_custkey", "asked", *FIELDS_B, F.round("chance", 4).alias("chance"), "positive", "pick_rank")

@@ -100,3 +100,31 @@ def test_loadouts_count(spark):
     counts = {r.opt: r.n for r in lo.groupBy("opt").agg(F.count("*").alias("n")).collect()}
     assert lo.count() == 71
     assert sorted(counts.values()) == [11, 15, 15, 15, 15]
+
+
+def test_running_records(spark):
+    rnd = random.Random(5)
+    scores = [rnd.randint(0, 400) / 10 for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(scores)), "ordinal long, score double")
+    for chunk in (7, 64, 10_000):
+        got = sorted((r.ordinal, r.score) for r in Q.running_records(df, chunk=chunk).collect())
+        want, best = [], None
+        for i, s in enumerate(scores):
+            if best is None or s > best:
+                want.append((i, s))
+                best = s
+        assert got == want
+
+
+def test_picks_of_every_count_equal_picks_of_one(spark):
+    rnd = random.Random(11)
+    for _ in range(3):
+        builds = [_build(i, rnd.choice("wxyz"), round(rnd.random(), 3), rnd.choice("abc"), rnd.randint(0, 3)) for i in range(120)]
+        df = spark.createDataFrame(builds)
+        key = ["item", "opt", "extra"]
+        many = {}
+        for r in Q.picks_by_count(df, key, key, "opt", [1, 2, 5, 12, 40]).collect():
+            many.setdefault(r.k, []).append((r.pick_rank, r.ordinal))
+        for k, found in many.items():
+            assert [o for _, o in sorted(found)] == _pick(spark, builds, k)
+        assert set(many) == {1, 2, 5, 12, 40}
