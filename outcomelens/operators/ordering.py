@@ -1,8 +1,8 @@
 """Order-dependent building blocks that stay distributed.
 
-``global_index`` gives every row its 0-based position in a total order, and
-``prefix_sum`` the sum of a weight over all earlier rows, without an
-unpartitioned window (which runs in one task).  Recipe:
+``global_index`` gives every row its 0-based position in a total order without
+an unpartitioned window (which runs in one task); ``exact_quantile_frame`` finds exact
+quantiles without sorting at all.  Recipe of the index:
 
 1. range-partition on the order keys and sort inside partitions;
 2. stamp partition id and position inside the partition, then ``checkpoint()``
@@ -18,6 +18,7 @@ Range partitioning of unique keys is balanced, so no task gets a hot key.
 
 from __future__ import annotations
 
+import math
 import uuid
 from typing import Sequence
 
@@ -31,7 +32,6 @@ from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 _PID = "_ol_pid"
 _POS = "_ol_pos"
-_LOCAL = "_ol_local"
 
 
 def _frozen_sorted(df: DataFrame, order: Sequence[Column | str], partitions: int | None,
@@ -84,81 +84,86 @@ def global_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx"
                .drop(_PID, _POS, "_ol_offset", "_ol_first_pos"))
 
 
-def prefix_sum(df: DataFrame, order: Sequence[Column | str], weight: str,
-               name: str = "before", partitions: int | None = None,
-               keep_input: bool = True) -> DataFrame:
-    """Add ``name`` = sum of ``weight`` over all rows strictly before this one.
+_BUCKETS = 4096
 
-    The in-partition running sum runs in ``mapInPandas`` (batches of one
-    partition arrive in order), so no extra shuffle is needed.  ``keep_input``
-    suits its usual input, a frame already aggregated per distinct value.
+
+def _bucket(x: Column, lo: float, hi: float) -> Column:
+    """Number from 0 to 4096 that never falls as x rises from lo to hi; infinities stand apart.
+
+    The first passes divide the logarithm's range, so a few very large values don't
+    fill all but one bucket; near the end, and where that tells no two values apart, the
+    values' own range is divided, which always tells the ends apart.
     """
-    frozen = _frozen_sorted(df, order, partitions, keep_input)
-    schema = T.StructType(frozen.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)])
-
-    def running(batches):
-        carry = 0
-        for pdf in batches:
-            w = pdf[weight].fillna(0).astype("int64")
-            cs = w.cumsum()
-            pdf[_LOCAL] = (cs - w + carry).astype("int64")
-            if len(cs):
-                carry += int(cs.iloc[-1])
-            yield pdf
-
-    local = frozen.mapInPandas(running, schema)
-    offs = _offsets(frozen, F.col(weight).cast("long"))
-    out = local.join(F.broadcast(offs.drop("_ol_first_pos")), _PID)
-    return (out.withColumn(name, F.col("_ol_offset") + F.col(_LOCAL))
-               .drop(_PID, _POS, _LOCAL, "_ol_offset"))
+    near = (lo > 0 and hi / lo < 16) or (hi < 0 and lo / hi < 16) or max(abs(lo), abs(hi)) < 1
+    ends = [math.copysign(math.log1p(abs(v)), v) for v in (lo, hi)]
+    if near or ends[0] == ends[1]:
+        part = (x - F.lit(lo)) / F.lit(hi - lo)
+    else:
+        part = (F.signum(x) * F.log1p(F.abs(x)) - F.lit(ends[0])) / F.lit(ends[1] - ends[0])
+    inside = F.floor(F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * _BUCKETS).cast("int")
+    return F.when(x == float("inf"), _BUCKETS + 1).when(x == float("-inf"), -1).otherwise(inside)
 
 
 def exact_quantile_frame(df: DataFrame, value: str, group_col: str | None = None,
                          q: float = 0.5, with_stats: bool = False) -> DataFrame:
-    """Exact interpolated quantile (pandas/DuckDB ``median`` semantics) of ``value``.
+    """Exact interpolated quantile (pandas/DuckDB ``median`` semantics) of ``value``, by radix selection.
 
-    Skew-proof: values are first counted per distinct value (map-side combine
-    collapses a hot value to one row per task), then located by a distributed
-    prefix sum over (group, value).  Returns one row per group: (group?, q_value);
-    ``with_stats`` (grouped form) adds n, min, max and mean from the same per-value
-    counts, so a summary needs no second pass over the rows.
+    Returns one row per group: (group?, q_value); ``with_stats`` (grouped form) adds n,
+    min, max and mean.  Groups are few, as the columns of a report.
+
+    A pass counts the values per bucket of their range (at most 4,098 rows a group reach
+    the driver); the bucket that holds the wanted rank is the next range, until it holds
+    one value.  After the first pass only the rows of the wanted buckets are kept.
+    Nothing is sorted, and a hot value is one count per task.
     """
-    keys = [group_col] if group_col else []
-    v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = v.groupBy(*keys, F.col(value).cast("double").alias("_ol_v")).agg(
-        F.count(F.lit(1)).alias("_ol_n"))
-    order = [*keys, "_ol_v"]
-    pre = prefix_sum(counts, order, "_ol_n", name="_ol_before")
-    # the order starts with the group keys, so a group's first row carries its start
-    if keys:
-        grp = pre.groupBy(*keys).agg(
-            F.min("_ol_before").alias("_ol_gstart"), F.sum("_ol_n").alias("_ol_total"),
-            F.min("_ol_v").alias("_ol_min"), F.max("_ol_v").alias("_ol_max"),
-            (F.sum(F.col("_ol_v") * F.col("_ol_n")) / F.sum("_ol_n")).alias("_ol_mean"))
-        # one row per group (the column names): never join by hashing on them, which
-        # would bring all distinct values of a column to one task
-        pre = pre.join(F.broadcast(grp), keys)
-    else:  # one group: its start is 0 and its size a scalar subquery
-        pre = pre.withColumns({"_ol_gstart": F.lit(0).cast("long"),
-                               "_ol_total": counts.agg(F.sum("_ol_n")).scalar()})
-    # rank inside group of the first and last copy of this value
-    lo = F.col("_ol_before") - F.col("_ol_gstart")
-    hi = lo + F.col("_ol_n") - 1
-    pos = (F.col("_ol_total") - 1) * F.lit(q)
-    k_lo = F.floor(pos)
-    k_hi = F.ceil(pos)
-    frac = pos - k_lo
-    stats = ["_ol_total", "_ol_min", "_ol_max", "_ol_mean"] if (with_stats and keys) else []
-    marked = pre.select(*keys, "_ol_v", *stats,
-                        ((k_lo >= lo) & (k_lo <= hi)).alias("_is_lo"),
-                        ((k_hi >= lo) & (k_hi <= hi)).alias("_is_hi"),
-                        frac.alias("_frac"))
-    agg = marked.where("_is_lo OR _is_hi").groupBy(*keys).agg(
-        F.max(F.when(F.col("_is_lo"), F.col("_ol_v"))).alias("_v_lo"),
-        F.max(F.when(F.col("_is_hi"), F.col("_ol_v"))).alias("_v_hi"),
-        F.first("_frac").alias("_frac"), *[F.first(c).alias(c) for c in stats])
-    out = [*keys, (F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac")).alias("q_value")]
-    if stats:
-        out += [F.col("_ol_total").alias("n"), F.col("_ol_min").alias("min"), F.col("_ol_max").alias("max"),
-                F.col("_ol_mean").alias("mean")]
-    return agg.select(*out)
+    spark = df.sparkSession
+    x = F.col(value).cast("double")
+    rows = df.select(*([F.col(group_col).alias("g")] if group_col else [F.lit(0).alias("g")]), x.alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    finite = F.when(F.abs("x") < float("inf"), F.col("x"))
+    stats = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
+                                  F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()
+    # a target is a rank of a group: rows before its range, and the range
+    targets: dict[tuple, list] = {}
+    for r in stats:
+        at = (r["n"] - 1) * q
+        for rank in {math.floor(at), math.ceil(at)}:
+            lo, hi = (r["min"], r["max"]) if r["lo"] is None else (r["lo"], r["hi"])
+            targets[r["g"], rank] = [0, lo, hi, r["min"] == r["max"]]
+    names = {t: i for i, t in enumerate(targets)}
+    first = True
+    while any(not t[3] for t in targets.values()):
+        cells = []
+        for (g, rank), (_, lo, hi, done) in targets.items():
+            if not done:
+                here = F.col("g").eqNullSafe(F.lit(g)) & (F.lit(True) if first else F.col("x").between(lo, hi))
+                cells.append(F.when(here, F.struct(F.lit(names[g, rank]).alias("t"), _bucket(F.col("x"), lo, hi).alias("b"))))
+        counted = rows.select("g", "x", F.explode(F.array_compact(F.array(*cells))).alias("c"))
+        found = counted.groupBy("c.t", "c.b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        by_target: dict[int, list] = {}
+        for r in found:
+            by_target.setdefault(r["t"], []).append(r)
+        for key, state in targets.items():
+            for r in sorted(by_target.get(names[key], ()), key=lambda r: r["b"]):
+                if state[0] + r["n"] > key[1]:
+                    state[1:] = [r["lo"], r["hi"], r["lo"] == r["hi"]]
+                    break
+                state[0] += r["n"]
+        if first and any(not t[3] for t in targets.values()):
+            keep = F.lit(False)
+            for (g, _), (_, lo, hi, done) in targets.items():
+                if not done:
+                    keep = keep | (F.col("g").eqNullSafe(F.lit(g)) & F.col("x").between(lo, hi))
+            rows = written(rows.where(keep), "quantile-rows")
+        first = False
+    out = []
+    for r in stats:
+        at = (r["n"] - 1) * q
+        low, high = targets[r["g"], math.floor(at)][1], targets[r["g"], math.ceil(at)][1]
+        value_ = low if low == high else low + (high - low) * (at - math.floor(at))
+        out.append(([r["g"]] if group_col else []) + [value_] + ([r["n"], r["min"], r["max"], r["mean"]] if with_stats and group_col else []))
+    kind = df.schema[group_col].dataType.simpleString() if group_col else None
+    schema = ([f"`{group_col}` {kind}"] if group_col else []) + ["q_value double"]
+    schema += ["n long", "min double", "max double", "mean double"] if with_stats and group_col else []
+    if not group_col and not out:
+        out = [[None]]
+    return spark.createDataFrame(out, ", ".join(schema))

@@ -98,28 +98,44 @@ def _bin_counts(long: DataFrame, width: float) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max("x").alias("mx"))
 
 
+_SPINE = 1 << 16           # bins of a spine made by one row
+_MOST_BINS = 1 << 40        # of a column: more can't be listed, so it's an error
+
+
 def _close_bins(bins: DataFrame, width: float) -> DataFrame:
     """Counted bins -> (column, bin_start, n): the last bin is closed, empty bins between stay.
 
-    Each filled bin also gives the empty ones up to the next filled one, so the spine
-    is built in pieces and an outlier makes no array over all bins of a column.
+    Bounds come from one small row per column.  Empty bins are made in chunks: rows that
+    each stand for ``_SPINE`` bins are dealt over tasks; chunks without a counted bin are
+    listed where they are, only the others meet the counts.  So an outlier costs rows,
+    never an array or a window over all bins of a column.  A column spanning more than
+    2^40 bins raises an error that says so.
     """
     w = int(width)
-    by = Window.partitionBy("column").orderBy("bin")
-    b = bins.withColumn("next", F.lead("bin").over(by)).withColumn("prev", F.lag("bin").over(by)).withColumn(
-        "prev_n", F.lag("n").over(by))
-    edge = (F.col("mx") == F.col("bin") * F.lit(float(width)))  # every value of the bin equals its lower edge
-    # the top bin holds only its lower edge: its values belong to the closed bin before it
-    folds = F.col("next").isNull() & edge & F.col("prev").isNotNull()
-    b = b.withColumn("folds", folds)
-    b = b.withColumn("next_folds", F.coalesce(F.lead("folds").over(by), F.lit(False))).withColumn("next_n", F.lead("n").over(by))
-    joined = F.when(F.col("next_folds") & (F.col("next") == F.col("bin") + 1), F.col("next_n")).otherwise(F.lit(0))
-    own = b.where("NOT folds OR prev <> bin - 1").select(
-        "column", F.when(F.col("folds"), F.col("bin") - 1).otherwise(F.col("bin")).alias("bin"), (F.col("n") + joined).alias("n"))
-    last = F.when(F.col("next_folds"), F.col("next") - 2).otherwise(F.col("next") - 1)
-    gaps = b.where(F.col("next").isNotNull() & (last > F.col("bin"))).select(
-        "column", F.explode(F.sequence(F.col("bin") + 1, last)).alias("bin"), F.lit(0).cast("long").alias("n"))
-    return own.unionByName(gaps).select("column", (F.col("bin") * w).alias("bin_start"), F.col("n").cast("long").alias("n"))
+    top = F.max_by(F.struct("bin", "mx"), "bin")
+    tops = bins.groupBy("column").agg(top.alias("t"), F.min("bin").alias("lo"))
+    # where the top bin holds its lower edge only, its values belong to the closed bin before it
+    folds = (F.col("t.mx") == F.col("t.bin") * F.lit(float(width))) & (F.col("t.bin") > F.col("lo"))
+    tops = tops.select("column", "lo", F.when(folds, F.col("t.bin") - 1).otherwise(F.col("t.bin")).alias("last"))
+    wide = F.col("last").cast("double") - F.col("lo") >= F.lit(float(_MOST_BINS))
+    tops = tops.withColumn("last", F.when(wide, F.raise_error(F.concat(
+        F.lit(f"histogram: more than {_MOST_BINS} bins of width {w} in "), "column"))).otherwise(F.col("last")))
+    tops = F.broadcast(tops)  # a row per column
+    chunk = F.floor((F.col("bin") - F.col("lo")) / _SPINE).cast("long")
+    counts = (bins.join(tops, "column").withColumn("bin", F.least("bin", "last"))
+              .select("column", chunk.alias("chunk"), "bin", "n", "lo", "last"))
+    chunks = tops.select("column", "lo", "last", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("last") - F.col("lo")) / _SPINE).cast("long"))).alias("chunk")).repartition("column", "chunk")
+    filled = counts.select("column", "chunk").distinct()
+
+    def listed(rows: DataFrame) -> DataFrame:
+        first = F.col("lo") + F.col("chunk") * _SPINE
+        return rows.select("column", F.explode(F.sequence(first, F.least(first + (_SPINE - 1), "last"))).alias("bin"), F.lit(0).cast("long").alias("n"))
+
+    empty = listed(chunks.join(filled, ["column", "chunk"], "left_anti"))
+    met = (listed(chunks.join(filled, ["column", "chunk"], "left_semi")).unionByName(counts.select("column", "bin", "n"))
+           .groupBy("column", "bin").agg(F.sum("n").alias("n")))
+    return empty.unionByName(met).select("column", (F.col("bin") * w).alias("bin_start"), F.col("n").cast("long").alias("n"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str], width: float = 5000.0) -> DataFrame:
@@ -128,14 +144,13 @@ def histogram(df: DataFrame, columns: Sequence[str], width: float = 5000.0) -> D
     Rows are counted per bin in one pass; bounds, the closed last bin and the empty
     bins follow from the counted frame.
     """
-    return _close_bins(_bin_counts(_long_numeric(df, columns), width), width)
+    return _close_bins(written(_bin_counts(_long_numeric(df, columns), width), "bins"), width)
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Min, max, mean, exact median, count per numeric column.
 
-    All five come from one aggregation per (column, value): the exact median's
-    per-value counts also give count, min, max and mean (sum of value x count / count).
+    The first pass over the values gives all but the median, which is found by radix selection.
     """
     long = _long_numeric(df, columns)
     s = exact_quantile_frame(long, "x", "column", with_stats=True)

@@ -29,3 +29,23 @@ def test_grouped_median_hot_group(spark):
     got = {r.g: r.q_value for r in exact_quantile_frame(df, "x", "g").collect()}
     for g in (0, 1):
         assert abs(got[g] - np.median([x for gg, x in rows if gg == g])) < 1e-12
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.floats(allow_nan=False), st.floats(allow_nan=False, allow_infinity=False, min_value=-1e-300, max_value=1e-300),
+                          st.integers(-3, 3).map(float)), min_size=1, max_size=30), st.sampled_from([0.0, 0.25, 0.5, 1.0]))
+def test_radix_selection_over_all_magnitudes(spark, values, q):
+    got = exact_quantile_frame(spark.createDataFrame([(v,) for v in values], "x double"), "x", q=q).first().q_value
+    at = (len(values) - 1) * q
+    low, high = sorted(values)[int(np.floor(at))], sorted(values)[int(np.ceil(at))]
+    want = low if low == high else low + (high - low) * (at - np.floor(at))
+    assert got == want or (np.isnan(got) and np.isnan(want))
+
+
+def test_radix_selection_sorts_nothing(spark):
+    df = spark.range(30_000).select((F.col("id") % 2).alias("g"), F.exp(F.col("id") / 2000.0).alias("x"))
+    r = {x.g: x for x in exact_quantile_frame(df, "x", "g", with_stats=True).collect()}
+    for g in (0, 1):
+        v = np.exp(np.arange(g, 30_000, 2) / 2000.0)
+        assert abs(r[g].q_value / np.median(v) - 1) < 1e-12 and r[g].n == 15_000
+        assert abs(r[g]["max"] / v.max() - 1) < 1e-12 and abs(r[g]["mean"] / v.mean() - 1) < 1e-9
