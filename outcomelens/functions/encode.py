@@ -112,6 +112,40 @@ def fit_contract(typed: DataFrame, spec: TableSpec, variant: str = "A") -> Featu
     return FeatureContract(variant, names, vocabs)
 
 
+def vocabulary_table(typed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, position): every value of the columns with its place among all, by column (as given) and value.
+
+    The places come from a distributed order, so a vocabulary may be of any size.
+    """
+    from ..operators.ordering import global_index
+    from ..operators.reports import vocabulary
+    place = F.array_position(F.lit(list(columns)), F.col("column"))
+    values = vocabulary(typed, columns).withColumn("_c", place)
+    return global_index(values, ["_c", "value"], "position").select("column", "value", "position")
+
+
+def sparse_features(typed: DataFrame, columns: Sequence[str], table: DataFrame, name: str = "features",
+                    weights: Column | None = None, weight: str = "weight") -> DataFrame:
+    """B10 for vocabularies of any size: every row with the sorted positions of its values, by a join per column.
+
+    A value that the table doesn't have, or a missing one, gives no position, as it gives
+    all zeros in the wide form.  With ``weights`` (an expression over the table's columns)
+    the sum of the found values' weights is added as ``weight``: the fields' part of a linear score.
+    """
+    table = table.withColumn("_w", weights.cast("double") if weights is not None else F.lit(0.0))
+    out, places, parts = typed, [], []
+    for i, c in enumerate(columns):
+        own = table.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("position").alias(f"_p{i}"), F.col("_w").alias(f"_w{i}"))
+        out = out.join(own, F.col(c).cast("string") == F.col(f"_v{i}"), "left")
+        places.append(F.col(f"_p{i}"))
+        parts.append(F.coalesce(F.col(f"_w{i}"), F.lit(0.0)))
+    total = F.lit(0.0)
+    for part in parts:
+        total = total + part
+    cells = [F.array_sort(F.array_compact(F.array(*places))).alias(name)] + ([total.alias(weight)] if weights is not None else [])
+    return out.select(*[F.col(f"`{c}`") for c in typed.columns], *cells)
+
+
 def variant_columns(typed: DataFrame, spec: TableSpec) -> DataFrame:
     """(variant, position, feature) of both variants, from the vocabulary frame.
 

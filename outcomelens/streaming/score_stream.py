@@ -14,7 +14,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scoring import Scorer, score_batch
+from ..operators.scoring import Scorer, score_batch, score_requests
 
 
 def start_score_stream(spark: SparkSession, source: DataFrame, to_records: Callable[[DataFrame], DataFrame],
@@ -29,6 +29,23 @@ def start_score_stream(spark: SparkSession, source: DataFrame, to_records: Calla
     return w.start()
 
 
+def start_request_stream(requests: DataFrame, with_posthoc: Scorer, without: Scorer, out_path: str, quarantine_path: str,
+                         checkpoint: str, request_id: str = "request_id", arrived: str = "arrived", body: str = "body",
+                         within: str = "1 hour", available_now: bool = True):
+    """Score request documents as they come; returns the StreamingQuery.
+
+    A request that is sent again within ``within`` of its first arrival is dropped, by
+    its id (the state holds the ids of that time only).  Bodies that can't be read, and
+    configurations over the slot limit, go to the quarantine with their error.
+    """
+    once = requests.withWatermark(arrived, within).dropDuplicatesWithinWatermark([request_id])
+    scored = score_requests(once, with_posthoc, without, column=body, keep=[request_id, body])
+    scored = scored.select(request_id, body, "model_type", "probability", "importance", "error")
+    w = scored.writeStream.foreachBatch(epoch_sink(out_path, quarantine_path)).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def epoch_sink(out_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
     """Write a scored micro-batch to the two sinks, under its epoch."""
     def sink(batch: DataFrame, epoch: int) -> None:

@@ -104,3 +104,76 @@ def test_report_is_written_as_json(spark):
     path = f"{ensure_checkpoint_dir(spark)}/test-report-{uuid.uuid4().hex}"
     write_report(nest(df, ["feature"], "value", "n"), path)
     assert spark.read.json(path).first().payload == '{"x":2,"y":1}'
+
+
+def _shared(spark, name):
+    import uuid
+
+    from outcomelens.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark)}/test-{name}-{uuid.uuid4().hex}"
+
+
+def test_published_lines_are_one_document(spark):
+    import json
+    import re
+
+    from outcomelens.sources import publish as P
+    rows = [("a", "f", 'x"y', 1), ("a", "f", "\\z\n", 2), ("a", "g", "[k]", 3), ("b", "", "é", 4), ("c", "h", "1", 5)]
+    df = spark.createDataFrame(rows, "report string, feature string, key string, n int")
+    parts = [P.entries(r, df.where(f"report = '{r}'"), "key", ["n"], "feature") for r in ("a", "b", "c")]
+    path = _shared(spark, "document")
+    P.publish(parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(5), path)
+    folder = re.sub("^file:/*", "/", path)
+    import glob
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(folder + "/part-*")))
+    want = {}
+    for r, f, k, n in rows:
+        want.setdefault(r, {}).setdefault(f, {})[k] = {"n": n}
+    assert json.loads(text) == want
+
+
+def test_manifest_of_single_files(spark):
+    from outcomelens.sources.fingerprint import file_manifest
+    path = _shared(spark, "manifest")
+    df = spark.range(100).selectExpr("id", "id % 7 AS v")
+    df.repartition(3).write.parquet(path)
+    first = file_manifest(spark, path, ["id", "v"])
+    rows = first.collect()
+    assert len(rows) == 3 and {r.state for r in rows} == {"added"} and sum(r.n for r in rows) == 100
+    kept = spark.createDataFrame(rows, first.schema)
+    again = file_manifest(spark, path, ["id", "v"], kept).collect()
+    assert {(r.state, r.rehashed) for r in again} == {("unchanged", False)}
+    assert sorted((r.unit, r.n, r.sum_hash) for r in again) == sorted((r.unit, r.n, r.sum_hash) for r in rows)
+    df.where("id < 5").coalesce(1).write.mode("append").parquet(path)
+    more = file_manifest(spark, path, ["id", "v"], kept).collect()
+    assert sorted((r.state, r.rehashed) for r in more) == [("added", True)] + [("unchanged", False)] * 3
+    assert sum(r.n for r in more) == 105
+
+
+def test_damaged_lines_get_reasons(spark):
+    import tempfile
+
+    from outcomelens.sources.records import read_checked
+    d = tempfile.mkdtemp(prefix="ol-lines-")
+    with open(f"{d}/r.csv", "w") as fh:
+        fh.write('a,b,c\n1,"x,y",3\n1,2\n1,2,3,4\n1,"2,3\n,,\n"q",NA,None\n1,2,"3\n\n')
+    got = sorted(((r._reason or "", r._line or "", r.a, r.b, r.c) for r in read_checked(spark, d, ["a", "b", "c"]).collect()), key=str)
+    assert got == sorted([("", "", "1", "x,y", "3"), ("short line", "1,2", None, None, None), ("long line", "1,2,3,4", None, None, None),
+                          ("unbalanced quote", '1,"2,3', None, None, None), ("", "", "", "", ""), ("", "", "q", "NA", "None"),
+                          ("unbalanced quote", '1,2,"3', None, None, None)], key=str)
+
+
+def test_wide_vocabulary_equals_the_narrow_form(spark):
+    from pyspark.sql import functions as F
+
+    from outcomelens.functions import encode as E
+    from outcomelens.operators.reports import vocabulary_list
+    df = spark.createDataFrame([(i, f"v{i % 5}" if i % 4 else None, "ab"[i % 2]) for i in range(40)], "id int, p string, q string")
+    narrow = [e.alias(n) for c in ("p", "q") for n, e in E.one_hot_discovered(c, vocabulary_list(df, c))]
+    wide = df.select("id", F.array(*[F.coalesce(c, F.lit(0)) for c in narrow]).alias("hot"))
+    table = E.vocabulary_table(df, ["p", "q"])
+    sparse = E.sparse_features(df, ["p", "q"], table, weights=F.col("position") + 1)
+    both = sparse.join(wide, "id").collect()
+    assert len(both) == 40
+    for r in both:
+        assert [i for i, x in enumerate(r.hot) if x] == list(r.features) and r.weight == sum(i + 1 for i in r.features)
