@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
+ROWS_PER_TASK = 2_000_000  # of a range, about, however large the input is
 _PID = "_ol_pid"
 _POS = "_ol_pos"
 
@@ -38,7 +39,7 @@ def _frozen_sorted(df: DataFrame, order: Sequence[Column | str], partitions: int
                    keep_input: bool = False) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or max(shuffle_partitions(spark), -(-df.count() // ROWS_PER_TASK))
     # The range bounds are sampled in one job and the data moved in the next.  For a
     # pre-aggregated input (``keep_input``) it is cheaper to keep it between the two
     # (memory, spilling to disk; lost blocks recompute from lineage) than to rebuild it;

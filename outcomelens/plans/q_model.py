@@ -3,6 +3,9 @@ C16-C18, E7-E9, H1, H2, H6-H8)."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -336,3 +339,47 @@ def q_score_requests(spark, sf):
                             fixture_scorer(spark, sf, "B"), keep=["request_id"])
     return out.select("request_id", "model_type", F.round("probability", 6).alias("probability"), "error",
                       F.size(F.coalesce("importance", F.array())).alias("n_importance"), F.get("importance", 0)["feature"].alias("top_feature"))
+
+
+# ---------------------------------------------------------------- explanations of a network
+_HIDDEN_OUT = (0.8123, 0.5377, -0.3719)
+
+
+def _net_weight(j: int, i: int) -> float:
+    return ((37 * i + 11 * j + 5) % 211 - 70) / 200.0
+
+
+def _network(scorer):
+    """A network with weights by a rule: three relu units, so its gradient can be said in SQL."""
+    d = scorer.contract.width
+    first = np.array([[_net_weight(j, i) for i in range(d)] for j in range(3)])
+    out = np.vstack((np.zeros(3), np.array(_HIDDEN_OUT)))
+    model = SC.MlpModel(((first, np.array([0.1, -0.2, 0.3])), (out, np.array([0.0, -0.1]))), "relu")
+    return replace(scorer, model=model)
+
+
+def _explain_network_sql():
+    terms = sql_terms("B")
+    z = [f"(({e}) - st.m{i}) / (CASE WHEN st.s{i} = 0 THEN 1.0::DOUBLE ELSE st.s{i} END)" for i, (_, e) in enumerate(terms)]
+    pre = [" + ".join([f"{b!r}::DOUBLE", *(f"{_net_weight(j, i)!r}::DOUBLE * z[{i + 1}]" for i in range(len(terms)))])
+           for j, b in enumerate((0.1, -0.2, 0.3))]
+    logit = " + ".join(["-0.1::DOUBLE", *(f"{v!r}::DOUBLE * greatest(h{j}, 0.0::DOUBLE)" for j, v in enumerate(_HIDDEN_OUT))])
+    grads = ", ".join("pp * (" + " + ".join(f"CASE WHEN h{j} > 0 THEN {v!r}::DOUBLE * {_net_weight(j, i)!r}::DOUBLE ELSE 0.0::DOUBLE END"
+                                            for j, v in enumerate(_HIDDEN_OUT)) + ")" for i in range(len(terms)))
+    names = ", ".join(f"'{n}'" for n, _ in terms)
+    return f"""WITH {FACT}, {sql_scaler_cte('B')},
+zs AS (SELECT {KEY_SQL}, [{', '.join(z)}] AS z FROM fact, st),
+hs AS (SELECT {KEY_COLS}, {', '.join(f'{e} AS h{j}' for j, e in enumerate(pre))} FROM zs),
+ps AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({logit}))) AS p FROM hs),
+gs AS (SELECT {KEY_COLS}, unnest([{grads}]) AS g, unnest(range({len(terms)})) AS i FROM (SELECT *, p * (1.0::DOUBLE - p) AS pp FROM ps)),
+rs AS (SELECT *, row_number() OVER (PARTITION BY {KEY_COLS} ORDER BY abs(g) DESC, i) AS rank, sum(abs(g)) OVER (PARTITION BY {KEY_COLS}) AS total FROM gs)
+SELECT {KEY_COLS}, [{names}][i + 1] AS feature, CAST(rank AS INTEGER) AS rank,
+  round(CASE WHEN total > 0 THEN abs(g) / total * 100.0::DOUBLE ELSE abs(g) END, 5) AS magnitude,
+  CASE WHEN g > 0 THEN 'positive' WHEN g < 0 THEN 'negative' ELSE 'neutral' END AS direction, round(g, 8) AS raw_gradient FROM rs"""
+
+
+@register("explain_network", _explain_network_sql())
+def q_explain_network(spark, sf):
+    """H8 + E8 + E9 for a network: back-propagated gradients of every record, ranked."""
+    ex = SC.explain_gradient(_fact(spark, sf), _network(fixture_scorer(spark, sf, "B")), KEY)
+    return ex.withColumn("magnitude", F.round("magnitude", 5)).withColumn("raw_gradient", F.round("raw_gradient", 8))
