@@ -2,11 +2,15 @@
 
 A tree splits the vectors of a node by the hyperplane halfway between two
 random members.  The forest's splits are fitted on a bounded sample
-(``SAMPLE`` vectors, so its size is bounded too); then every vector is routed
-to its leaf in every tree.  A query walks all trees through one shared priority
-queue ordered by the largest margin crossed on the way, and opens leaves until
-they hold ``LOOK`` of the forest's sample places.  Candidates of opened leaves are ranked by
-exact distance in double precision on the original vectors.
+(``SAMPLE`` vectors, so its size is bounded too; the larger the table, the smaller
+its leaves); then every vector is routed to its leaf in every tree.  A query walks
+all trees through one shared priority queue ordered by the largest margin crossed on
+the way, and opens leaves until they hold a share of the forest's places.  That share
+is measured, not set: it is the least at which ``TARGET`` of the sample's own nearest
+neighbours are found for ``PROBES`` of its vectors.  A margin is a lower bound of the
+distance to all that lies behind it, so a query also ends, without loss, at the first
+leaf behind a margin beyond its tenth distance within the sample.  Candidates of
+opened leaves are ranked by exact distance in double precision on the original vectors.
 
 Equal vectors are represented by their 11 smallest ids, which is exact: no
 other copy can be among the 10 nearest of another row.  A leaf's rows are dealt
@@ -17,7 +21,8 @@ Defined cases: vectors that are null, of a length other than the commonest in
 the sample, zero, or with a null or non-finite component take no part, neither
 as queries nor as candidates; rows without vec_id take no part; a repeated vec_id with
 equal vectors counts once, with different vectors its nearest counts; fewer candidates than
-asked give fewer rows; an empty table gives an empty result.
+asked give fewer rows; an empty table gives an empty result.  Ties go to the smaller
+vec_id.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +43,9 @@ TOP = 10
 TREES = 10
 LEAF = 160  # sample vectors in a leaf at most
 SAMPLE = 20_000
-LOOK = 0.1  # share of the forest's places (sample vectors times trees) opened per query
-LEAST = 2_500  # and at least so many places
+LEAST_LEAF = 16  # and no less than this in a large table
+TARGET = 0.95  # recall within the sample from which the share of opened places follows
+PROBES = 200  # sample vectors it is measured on
 BLOCK_ROWS = 4096
 
 
@@ -51,11 +57,11 @@ class Tree(NamedTuple):
     sizes: np.ndarray  # of leaves, in the sample
 
 
-def grow(x: np.ndarray, rng: np.random.Generator) -> Tree:
+def grow(x: np.ndarray, rng: np.random.Generator, leaf: int = LEAF) -> Tree:
     normals, offsets, children, sizes = [], [], [], []
 
     def place(rows: np.ndarray, depth: int) -> int:
-        if len(rows) > LEAF and depth < 60:
+        if len(rows) > leaf and depth < 60:
             for _ in range(5):
                 a, b = x[rng.choice(rows, 2, replace=False)]
                 normal = a - b
@@ -94,12 +100,11 @@ def leaves(tree: Tree, x: np.ndarray) -> np.ndarray:
     return -at - 1
 
 
-def opened(forest: list[Tree], q: np.ndarray, want: float) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of the shared queue, until they hold ``want`` sample vectors."""
+def walk(forest: list[Tree], q: np.ndarray) -> Iterator[tuple[float, int, int]]:
+    """(margin, tree, leaf) of all leaves in the order of the shared queue; no vector of a leaf is nearer than its margin."""
     queue = [(-np.inf, t, 0) for t in range(len(forest))]
     margins = [tree.normals @ q - tree.offsets for tree in forest]
-    out, held = [], 0
-    while queue and held < want:
+    while queue:
         gap, t, node = heapq.heappop(queue)
         while node >= 0:
             m = margins[t][node]
@@ -107,11 +112,42 @@ def opened(forest: list[Tree], q: np.ndarray, want: float) -> list[tuple[int, in
             if near != far:
                 heapq.heappush(queue, (max(gap, abs(m)), t, int(far)))
             node = int(near)
-        out.append((t, -node - 1))
-        held += int(forest[t].sizes[-node - 1])
+        yield gap, t, -node - 1
+
+
+def opened(forest: list[Tree], q: np.ndarray, want: float, reach: float = np.inf) -> list[tuple[int, int]]:
+    """(tree, leaf) in the queue's order, until they hold ``want`` sample vectors or lie beyond ``reach``."""
+    out, held = [], 0
+    for gap, t, leaf in walk(forest, q):
+        if held >= want or gap > reach:
+            break
+        out.append((t, leaf))
+        held += int(forest[t].sizes[leaf])
     return out
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - q) ** 2).sum(1))
+
+
+def share_to_open(forest: list[Tree], x: np.ndarray, seed: int = 3) -> float:
+    """Least share of the forest's places that finds ``TARGET`` of the nearest neighbours among the fitted vectors."""
+    rng = np.random.default_rng(seed)
+    at = np.stack([leaves(tree, x) for tree in forest])
+    size = sum(int(t.sizes.sum()) for t in forest)
+    found = []  # the share at which each true neighbour turns up
+    for i in rng.permutation(len(x))[:PROBES]:
+        d = distances(x, x[i])
+        d[i] = np.inf
+        near = np.argsort(d, kind="stable")[:min(TOP, len(x) - 1)]
+        first, held = {}, 0
+        for _, t, leaf in walk(forest, x[i]):
+            first[t, leaf] = held
+            held += int(forest[t].sizes[leaf])
+        found += [min(first[t, at[t, j]] for t in range(len(forest))) / size for j in near]
+    return float(np.quantile(found, TARGET, method="higher")) + 1 / size if found else 1.0
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v of the rows that take part."""
     x = F.transform("embedding", lambda c: c.cast("double"))
@@ -125,12 +161,21 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), float).reshape(len(column), -1)
 
 
-def fit(rows: DataFrame, n: int, seed: int = 11) -> list[Tree]:
-    """Forest over about ``SAMPLE`` distinct vectors, chosen by a hash."""
-    chance = F.pmod(F.xxhash64("v", F.lit("ann")), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))
-    x = matrix(rows.filter(chance).select("vec_id", "v").toPandas().sort_values("vec_id")["v"])
+class Forest(NamedTuple):
+    trees: list[Tree]
+    sample: np.ndarray  # the vectors it was fitted on
+    share: float  # of the places to open
+    leaf: int
+
+
+def fit(rows: DataFrame, n: int, seed: int = 11) -> Forest:
+    """Forest over ``SAMPLE`` distinct vectors at most, the first ones in the order of a hash."""
+    order = F.xxhash64("v", F.lit("ann"))
+    x = matrix(rows.select("vec_id", "v", order.alias("h")).orderBy("h", "vec_id").limit(SAMPLE).toPandas().sort_values(["h", "vec_id"])["v"])
     rng = np.random.default_rng(seed)
-    return [grow(x, rng) for _ in range(TREES)] if len(x) else []
+    leaf = max(LEAST_LEAF, LEAF * SAMPLE // max(n, SAMPLE))
+    trees = [grow(x, rng, leaf) for _ in range(TREES)] if len(x) else []
+    return Forest(trees, x, share_to_open(trees, x) if len(x) else 1.0, leaf)
 
 
 def route(rows: DataFrame, forest: list[Tree], blocks: int) -> DataFrame:
@@ -144,15 +189,16 @@ def route(rows: DataFrame, forest: list[Tree], blocks: int) -> DataFrame:
     return out.withColumn("block", F.pmod(F.xxhash64(F.get("ids", 0)), F.lit(blocks)))
 
 
-def ask(queries: DataFrame, forest: list[Tree], blocks: int) -> DataFrame:
+def ask(queries: DataFrame, forest: Forest, blocks: int) -> DataFrame:
     """A row per opened leaf and block: tree, leaf, block, query_id, q."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = sum(int(t.sizes.sum()) for t in forest)
-        want = max(LOOK * size, LEAST)
+        want = forest.share * sum(int(t.sizes.sum()) for t in forest.trees)
         for batch in batches:
             x, rows = matrix(batch["v"]), []
             for i, q in zip(batch["vec_id"], x):
-                rows += [(t, leaf, b, i, q) for t, leaf in opened(forest, q, want) for b in range(blocks)]
+                # the query itself may be in the sample, hence one more
+                reach = np.partition(distances(forest.sample, q), TOP)[TOP] * (1 + 1e-9) if len(forest.sample) > TOP else np.inf
+                rows += [(t, leaf, b, i, q) for t, leaf in opened(forest.trees, q, want, reach) for b in range(blocks)]
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=["tree", "leaf", "block", "query_id", "q"])
                     rows = []
@@ -191,8 +237,8 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
     one = written(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("ids", "v"), "vectors")
     n = one.count()
     forest = fit(one.select(F.get("ids", 0).alias("vec_id"), "v"), n)
-    blocks = max(1, -(-n // SAMPLE) * LEAF // BLOCK_ROWS)
-    index = route(one, forest, blocks)
+    blocks = max(1, -(-n // SAMPLE) * forest.leaf // BLOCK_ROWS)
+    index = route(one, forest.trees, blocks)
     asked = ask(rows.filter(is_query), forest, blocks)
     keys = ["tree", "leaf", "block"]
     found = (index.groupBy(*keys).cogroup(asked.groupBy(*keys))

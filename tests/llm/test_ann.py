@@ -58,3 +58,29 @@ def test_every_row_reaches_a_leaf():
     at = ann.leaves(tree, x)
     assert (np.bincount(at, minlength=len(tree.sizes)) == tree.sizes).all()
     assert len(ann.opened([tree], x[0], 1)) == 1 and ann.opened([tree], x[0], 1)[0] == (0, at[0])
+
+
+def test_margins_are_lower_bounds_and_the_share_is_measured():
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.normal(size=(700, 6)), rng.normal(size=(700, 6)) + 30))
+    trees = [ann.grow(x, rng, 40) for _ in range(6)]
+    at = [ann.leaves(t, x) for t in trees]
+    for q in x[::200]:
+        seen = 0
+        for gap, t, leaf in ann.walk(trees, q):
+            inside = x[at[t] == leaf]
+            seen += len(inside)
+            assert not len(inside) or ann.distances(inside, q).min() >= gap - 1e-9
+        assert seen == len(x) * len(trees)
+    share = ann.share_to_open(trees, x)
+    assert share < 0.4  # two far clusters: at most one of them is ever worth opening
+    hit = n = 0
+    for i in range(0, len(x), 7):
+        d = ann.distances(x, x[i])
+        d[i] = np.inf
+        near = set(np.argsort(d)[:10])
+        got = set()
+        for t, leaf in ann.opened(trees, x[i], share * sum(t.sizes.sum() for t in trees)):
+            got |= set(np.flatnonzero(at[t] == leaf))
+        hit, n = hit + len(near & got), n + 10
+    assert hit / n >= 0.9
