@@ -12,7 +12,10 @@ whole text is scored by one product of bucket counts and that table.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows with a null lang are never learned from; without any labelled row every
-answer is ``und``; an empty table gives an empty result.
+answer is ``und``; an empty table gives an empty result.  Repeated rows are learned
+from, and answered, each.  Of languages with equal scores the first by name is the
+answer.  Texts are counted whole, ``_PIECE`` bytes at a time.  Other columns are
+ignored; ``predict`` keeps them and adds ``__p``.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from outcomelens.llm.common import bucket
 
-SAMPLE = 3000  # labelled rows that a model is fitted on, about
+SAMPLE = 3000  # labelled rows that a model is fitted on, shared out by the languages' rows
+FLOOR = 100  # and at least so many of each language, as far as it has them
+LANGS = 500  # languages learned at most
 BUCKETS = 1 << 15
 DIM = 16
 EPOCHS = 8
@@ -145,12 +151,21 @@ def _accept(p: np.ndarray, truth: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, learn: Column) -> Model | None:
-    """Fit on about ``SAMPLE`` of the rows where ``learn`` holds, chosen by a hash of doc_id."""
+    """Fit on ``SAMPLE`` of the rows where ``learn`` holds, the first of each language in the order of a hash of id and text.
+
+    A language gets its share of the sample, but at least ``FLOOR`` rows as far as it has them;
+    with more than ``LANGS`` languages those with the most rows are learned.
+    """
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))
-    got = (rows.filter(chance).select("doc_id", "lang", F.pandas_udf(_sparse, "at binary, n binary")("text").alias("s"))
-           .select("doc_id", "lang", "s.*").toPandas().sort_values(["doc_id", "lang"]))
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    n = sum(r["count"] for r in sizes)
+    quotas = rows.sparkSession.createDataFrame([(r.lang, max(FLOOR, -(-SAMPLE * r["count"] // n))) for r in sizes], "lang string, quota long")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # limited before the shuffle, too
+    first = (rows.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text", F.lit("langid")).alias("h"))
+             .withColumn("place", place).filter(F.col("place") <= SAMPLE + FLOOR)
+             .join(F.broadcast(quotas), "lang").filter("place <= quota"))  # LANGS rows at most
+    got = (first.select("doc_id", "lang", "h", F.pandas_udf(_sparse, "at binary, n binary")("text").alias("s"))
+           .select("doc_id", "lang", "h", "s.*").toPandas().sort_values(["doc_id", "lang", "h"]))
     return fit([(np.frombuffer(a, np.int32), np.frombuffer(c, np.float32).astype(np.float64), x) for a, c, x in zip(got["at"], got["n"], got["lang"])])
 
 
