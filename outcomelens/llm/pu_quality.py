@@ -153,23 +153,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, seed
     return Model(w, b, prior, scale, shift)
 
 
-def _sample(rows: DataFrame, most: int, salt: str) -> DataFrame:
-    """About ``most`` rows, by a hash of doc_id."""
-    n = rows.count()
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int(min(1.0, most / max(n, 1)) * (1 << 20)))
+def _sample(rows: DataFrame, most: int, salt: str, *by: str) -> DataFrame:
+    """``most`` rows, the first in the order of a hash of the columns ``by``."""
+    return rows.orderBy(F.xxhash64(*by, F.lit(salt)), *by).limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
-    """Fit from the rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality) where ``learn`` holds."""
+    """Fit from the rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality) where ``learn`` holds.
+
+    Of an id with several texts the first by hash stands for its label; of several labels the smaller counts.
+    """
     one = (labels.filter(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
            .agg(F.min("quality").alias("quality")))
-    parts = [_sample(one.filter("quality = 1"), SAMPLE, "positive").select("doc_id", F.lit("p").alias("part")),
-             _sample(one.filter("quality = 0"), SAMPLE, "negative").select("doc_id", F.lit("n").alias("part")),
-             _sample(docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id"), SAMPLE, "unlabelled").select("doc_id", F.lit("u").alias("part"))]
-    chosen = parts[0].unionAll(parts[1]).unionAll(parts[2]).distinct()
-    # at most about 3 * SAMPLE ids: small enough to go to every task
-    got = (docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "part", F.pandas_udf(_pack, "binary")("text").alias("x"))
-           .toPandas().sort_values(["part", "doc_id"]))
+    chosen = (_sample(one.filter("quality = 1"), SAMPLE, "positive", "doc_id").select("doc_id", F.lit("p").alias("part"))
+              .unionAll(_sample(one.filter("quality = 0"), SAMPLE, "negative", "doc_id").select("doc_id", F.lit("n").alias("part"))))
+    text = F.coalesce("text", F.lit(""))
+    # at most 2 * SAMPLE ids: small enough to go to every task
+    told = (docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "part").agg(F.min_by(text, F.struct(F.md5(text))).alias("text")))
+    rest = _sample(docs.filter(learn & F.col("doc_id").isNotNull()).select("doc_id", text.alias("text")), SAMPLE, "unlabelled", "doc_id", "text")
+    rows = told.select("doc_id", "part", "text").unionAll(rest.select("doc_id", F.lit("u").alias("part"), "text"))
+    got = (rows.select("doc_id", "part", F.md5("text").alias("t"), F.pandas_udf(_pack, "binary")("text").alias("x"))
+           .toPandas().sort_values(["part", "doc_id", "t"]))
 
     def of(part: str) -> np.ndarray:
         rows = [np.frombuffer(x, np.float32) for x in got.x[got.part == part]]
