@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 every stage's rows as Parquet in the shared folder and gives what it reads back
 to the next stage.  All stages but the last return the columns of documents.
+
+Defined cases: a null text counts as empty, so the quality rules reject it (fewer than
+ten words); rows without doc_id go through all stages like others, and keep a null
+doc_id; of repeated rows, as of all exact and near copies, one stays, that of the
+smallest doc_id (of equal ids with equal texts any, they are alike; an id with several
+texts keeps each that no other document resembles); a document is taken as often as the
+mix takes it, so the last stage has a row per copy; ties in the mix go by hash and
+doc_id; texts are read whole, whatever their length; an empty table passes through as
+an empty one; further columns, of whatever name, are kept up to the last stage.
 """
 
 from __future__ import annotations
