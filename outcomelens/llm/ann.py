@@ -45,7 +45,7 @@ LEAF = 160  # sample vectors in a leaf at most
 SAMPLE = 20_000
 LEAST_LEAF = 16  # and no less than this in a large table
 TARGET = 0.95  # recall within the sample from which the share of opened places follows
-PROBES = 200  # sample vectors it is measured on
+PROBES = 100  # sample vectors it is measured on
 BLOCK_ROWS = 4096
 
 
