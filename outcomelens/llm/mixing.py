@@ -11,7 +11,11 @@ no source is gathered in one task.
 
 Defined cases: a null text has size 0; rows of size 0 are never taken; null is
 a source of its own, after all others; repeated rows count as often as they
-occur; an empty table gives an empty mix.
+occur (and stand next to each other in the order, in one block); an empty table
+gives an empty mix.  Sizes are those of whole texts, whatever their length.  Equal
+hashes are ordered by doc_id and size.  ``mix`` keeps other columns, whatever their
+names, ``digest`` ignores them.  Sources are taken to be as many as fit one task's
+window (their number is that of the sources, not of the rows).
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ owns every record that starts inside its range.
 Defined cases: a null payload is empty; null page ids are kept (their record
 id has no number) and are never the target of a revisit while a copy has an id;
 of repeated rows with the largest page id all are responses; an empty table
-gives no files and no records.  Bytes that are no member are skipped.
+gives no files and no records.  Bytes that are no member are skipped.  A payload of
+any length is one record, compressed and read in chunks but held whole.  Ties don't
+arise: the largest page id of equal payloads is one number.  Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -137,3 +137,10 @@ def test_an_id_with_several_texts(make):
         got.setdefault(r.doc_id, set()).add(r.class_id)
     assert got[9] <= got[7] and got[8] <= got[7] and len(got[7]) == 2 and got[3] == {3}
     assert sorted(M.keep_one(make(rows)).select("text").toPandas()["text"].str[:2]) == ["a1", "a2", "al"]
+
+
+def test_very_long_texts(make):
+    words = ["w%d" % (i * 7919 % 100_003) for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:290_000])), (3, " ".join(words[150_000:] + ["x%d" % i for i in range(150_000)]))]
+    got = {r.doc_id: r.class_id for r in M.digest(make(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

@@ -64,3 +64,19 @@ def test_every_split_gives_the_same_records_on_a_damaged_file():
         found = [r["record_id"] for s in range(0, len(damaged), split)
                  for _, r in warc.records(io.BytesIO(damaged), len(damaged), s, min(s + split, len(damaged)))]
         assert found == ["urn:page:%d" % i for i in (0, 1, 3, 4, 5)]
+
+
+def test_very_long_pages_and_clashing_names(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from outcomelens.llm import warc
+    long = "".join(f"<p>{i}</p>" for i in range(400_000))
+    rows = [(1, "http://a/1", long), (2, "http://a/2", long), (3, "http://a/3", "short"), (4, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = ["digest", "keeper", "bytes", "largest", "n", "salt", "payload", "file"]
+    got = {r.page_id: r for r in warc.digest(pages.select("*", *[F.lit(7).alias(n) for n in names])).collect()}
+    assert got[1].payload_bytes == len(long) and got[1].payload_digest == hashlib.sha1(long.encode()).hexdigest()
+    assert (got[1].record_type, got[1].refers_to) == ("revisit", 2) and got[2].record_type == "response"
+    assert got[3].record_type == "response" and got[4].payload_bytes == 0
