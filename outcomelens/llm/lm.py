@@ -6,11 +6,12 @@ two, the last frequent one and the last two frequent ones (which skip what lies
 between).  Classes are made of the ``TOP`` most frequent tokens, by the words
 they follow and by frequency; one class holds all other tokens, known or not.
 Below a class stands a tree of up to ``LEVELS`` choices among ``FAN`` branches,
-as many as V asks for; each choice is a softmax over the same features hashed
-with the place in the tree, starting from the branches' shares.  A frequent
+as many as its tokens ask for; each choice is a softmax over the same features
+hashed with the place in the tree, starting from the branches' shares.  A frequent
 token's path is its rank in its class and ends at itself; any other token's
-comes from its hash and ends at a leaf, within which it has its smoothed share.
-In the features every token stands for itself (the last ones by hash).
+comes from its hash and ends after ``OTHER_LEVELS`` choices at a leaf, within which
+it has its smoothed share.  In the features every token stands for itself (the last
+ones by hash).  A choice that is told well enough already is not learned from.
 
 Training passes over all training texts in ``ROUNDS`` rounds.  In a round every
 task updates a copy of the weights by gradient steps on its share, and the
@@ -22,7 +23,10 @@ other tokens stay in Spark and meet the texts by blocks of documents.
 Defined cases: a null text has the end token only; repeated rows are counted
 and scored each; rows without doc_id are scored like others (bucket of the
 empty text); an empty table gives an empty result; without training texts
-every token has the same share and no class is told apart.
+every token has the same share and no class is told apart.  Texts are learned from
+and scored whole; those over ``LONG`` characters are dealt over 63 further blocks.
+Of equally frequent tokens the first by code point counts as the more frequent.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,11 +52,14 @@ NEAR = 32  # most frequent tokens that tell what a token follows
 GROUPS, TIERS = 8, 4
 CLASSES = GROUPS * TIERS + 2  # and the end token, and all others
 FAN, LEVELS = 32, 3  # of the tree below a class
+OTHER_LEVELS = 1
+TREE_FEATURES = 4
 ROWS, MOST_ROWS = 1 << 13, 1 << 15  # hashed feature rows
 NAMES = 1 << 16  # from here on names of tokens that aren't frequent; the one before is the unknown token's
 ROUNDS = 2
 BATCH = 8192
 RATE = 0.3
+SURE = 0.15  # a choice whose probability lacks less than this is not learned from
 BLOCK = 4096  # documents whose distinct tokens are looked up together
 LONG = 1 << 16  # characters from which a document is dealt over the parts of its block
 
@@ -131,7 +138,7 @@ class Names(dict):
 def _targets(names: np.ndarray, f: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each name the token id (len(f.words): not frequent), the class and the leaf."""
     ids = np.minimum(names, len(f.words))
-    other = np.where(names >= NAMES, (names - NAMES) % FAN ** len(f.shares), 0)
+    other = np.where(names >= NAMES, (names - NAMES) % FAN ** OTHER_LEVELS, 0)
     return ids, f.classes[ids], np.where(ids < len(f.words), np.append(f.leaf, 0)[ids], other)
 
 
@@ -235,7 +242,8 @@ def frame(table: DataFrame, docs: DataFrame) -> Frame:
     z = n + 0.5 * (v + 1)
     mass = np.bincount(classes[:-1], c + 0.5, CLASSES) if words else np.zeros(CLASSES)
     mass[CLASSES - 1] = z - mass.sum()
-    levels = next((k for k in range(1, LEVELS) if v <= FAN ** k), LEVELS)
+    largest = int(np.bincount(classes[:-1], minlength=1).max()) if words else 1
+    levels = max(OTHER_LEVELS, next((k for k in range(1, LEVELS) if largest <= FAN ** k), LEVELS))
     leaves = FAN ** levels
     rank, tree = np.zeros(len(words), np.int64), np.zeros((CLASSES, leaves))
     for k in range(CLASSES - 1):
@@ -243,10 +251,10 @@ def frame(table: DataFrame, docs: DataFrame) -> Frame:
         rank[own] = np.arange(len(own))
         tree[k, :len(own)] = c[own] + 0.5
     # all other tokens by hash: what all tokens have, less the frequent ones
-    name = F.crc32(F.col("word").cast("binary")) % leaves
+    name = F.crc32(F.col("word").cast("binary")) % FAN ** OTHER_LEVELS
     for r in table.filter("place = 1 AND c > 0").groupBy(name.alias("leaf")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
         tree[-1, r.leaf] = r.m
-    np.subtract.at(tree[-1], np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % leaves for w in words], np.int64), c + 0.5)
+    np.subtract.at(tree[-1], np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % FAN ** OTHER_LEVELS for w in words], np.int64), c + 0.5)
     tree[-1] = np.maximum(np.round(tree[-1], 1), 0)
     tree[-1, 0] += 0.5  # the unknown token
     rows = min(max(ROWS, 1 << v.bit_length()), MOST_ROWS)
@@ -338,19 +346,40 @@ def train(docs: DataFrame, f: Frame) -> tuple[np.ndarray, np.ndarray]:
                         _step(w, used, square, feature_rows(code[now], f.rows), truth[now])
                         for _, rows, bias, branch in choices(truth[now], leaf[now], code[now], f):
                             _step(w2, used2, square2, rows, branch, bias)
-            yield pd.DataFrame([[(w * used[:, None]).tobytes(), used.tobytes(), (w2 * used2[:, None]).tobytes(), used2.tobytes()]],
+            yield pd.DataFrame([[w.astype(np.float16).tobytes(), used.tobytes(), w2.astype(np.float16).tobytes(), used2.tobytes()]],
                                columns=["x0", "x1", "x2", "x3"])
 
         share = docs.filter("train").filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r).select("text")
-        sums = summed(share.mapInPandas(run, "x0 binary, x1 binary, x2 binary, x3 binary"),
-                      [n for x in shapes for n in (x[0] * x[1], x[0])])
-        weights = []
-        for total, used, old in zip(sums[::2], sums[1::2], start):
-            mean = total.reshape(old.shape) / np.maximum(used, 1e-9)[:, None]
-            weights.append(np.where(used[:, None] > 0, mean, old).astype(np.float32))
+        weights = averaged(share.mapInPandas(run, "x0 binary, x1 binary, x2 binary, x3 binary"), start)
     return weights[0], weights[1]
 
 
+def averaged(rows: DataFrame, start: list[np.ndarray]) -> list[np.ndarray]:
+    """Mean of the tasks' weights, row by row, weighted by how often each used it; rows no task used stay as they were.
+
+    Tasks send their weights in half precision; they are added up in a few tasks before the driver.
+    """
+    shapes = [w.shape for w in start]
+    names = ["x0", "x1", "x2", "x3"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = [np.zeros(n, np.float32) for x in shapes for n in (x, x[0])]
+        for batch in batches:
+            for row in batch[names].itertuples(index=False):
+                for k, x in enumerate(shapes):
+                    used = np.frombuffer(row[2 * k + 1], np.float32)
+                    total[2 * k] += np.frombuffer(row[2 * k], np.float16).reshape(x) * used[:, None]
+                    total[2 * k + 1] += used
+        yield pd.DataFrame([[t.tobytes() for t in total]], columns=names)
+
+    sums = [np.zeros(n) for x in shapes for n in (x, x[0])]
+    for row in rows.repartition(4).mapInPandas(run, ", ".join(f"{n} binary" for n in names)).collect():
+        for t, b in zip(sums, row):
+            t += np.frombuffer(b, np.float32).reshape(t.shape)
+    return [np.where(used[:, None] > 0, total / np.maximum(used, 1e-9)[:, None], old).astype(np.float32)
+            for total, used, old in zip(sums[::2], sums[1::2], start)]
+
+
 def _names(texts, name: Names) -> tuple[np.ndarray, np.ndarray]:
     """Names of the tokens of texts one after the other, and where each text starts."""
     texts = [tokens(t) for t in texts]
@@ -361,15 +390,20 @@ def _names(texts, name: Names) -> tuple[np.ndarray, np.ndarray]:
 def _step(w: np.ndarray, used: np.ndarray, square: np.ndarray, rows: np.ndarray, truth: np.ndarray,
           bias: np.ndarray | None = None) -> None:
     """One gradient step on a batch of tokens, scaled per feature row."""
-    n = len(rows)
     g = np.exp(class_log(w, rows, bias))
-    g[np.arange(n), truth] -= 1
+    g[np.arange(len(rows)), truth] -= 1
+    off = np.flatnonzero(g[np.arange(len(rows)), truth] < -SURE)  # those that are told well already teach next to nothing
+    if not len(off):
+        return
+    rows, g = rows[off], g[off]
+    n = len(rows)
     flat = rows.T.reshape(-1).astype(np.int16)
     order = np.argsort(flat, kind="stable")
     at = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
     hit = flat[order[at]].astype(np.int64)
-    sums = np.add.reduceat(np.take(g, order % n, axis=0), at, axis=0)
-    times = np.diff(np.append(at, len(order))).astype(np.float32)
+    times = np.diff(np.append(at, len(order)))
+    sums = run_sums(np.take(g, order % n, axis=0), at, times)
+    times = times.astype(np.float32)
     if bias is None:
         hit, sums, times = np.append(hit, len(w) - 1), np.vstack((sums, g.sum(0))), np.append(times, n)
     square[hit] += (sums * sums).sum(1)
@@ -377,6 +411,18 @@ def _step(w: np.ndarray, used: np.ndarray, square: np.ndarray, rows: np.ndarray,
     used[hit] += times
 
 
+def run_sums(x: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: the first rows of all runs, plus all second ones, and so on; the few long runs each on their own."""
+    out = x[at]
+    live = np.flatnonzero(times > 1)
+    for k in range(1, 32):
+        out[live] += x[at[live] + k]
+        live = live[times[live] > k + 1]
+    for i in live:
+        out[i] += x[at[i] + 32:at[i] + times[i]].sum(0)
+    return out
+
+
 def token_gain(classes: np.ndarray, leaf: np.ndarray, code: np.ndarray, f: Frame, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """log10 of P(token | context) over the token's share of all tokens."""
     p = class_log(weights[0], feature_rows(code, f.rows))
