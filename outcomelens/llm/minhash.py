@@ -22,7 +22,7 @@ doc_id and text are one document, those with the same doc_id and other texts
 documents of their own (under numbers from 2^62 on); rows without doc_id take part
 under a number derived from their text, which is negative.  An empty table gives an
 empty result.  Ties don't arise: similarity is compared exactly.  Texts are hashed
-whole, a million characters at a time.  Other columns are ignored, and kept by
+whole, some hundred thousand characters at a time (a single text at once).  Other columns are ignored, and kept by
 ``keep_one`` whatever their names.
 """
 
@@ -37,14 +37,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outcomelens.llm.common import WORD, spread, written
+from outcomelens.llm.common import WORD, small_batches, spread, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 38, 5  # a pair at 0.8 shares no band with probability 3e-7, at 0.85 with 2e-10; one at 0.3 shares one in 9 cases of 100
-_CHARS = 1_000_000  # characters hashed at a time
+_CHARS = 200_000  # characters hashed at a time
 _SALTS = 64
-CELLS = 1 << 20  # of the table that tells rare shingles from frequent ones
+CELLS = 1 << 19  # of the table that tells rare shingles from frequent ones
 SIZE_STEP = 0.9  # ratio of neighbouring size classes
 _BASE = 0x9E3779B97F4A7C15
 
@@ -255,19 +255,25 @@ def first_bucket_pairs(members: DataFrame, similar_size: Column) -> DataFrame:
 
 
 def _cells(texts: DataFrame) -> np.ndarray:
-    """How many of the texts' shingles fall into each cell; of a bounded size, so it can go to every task."""
+    """How many of the texts' shingles fall into each cell, 2^32 - 1 at most; of a bounded size, so it can go to every task."""
+    most = (1 << 32) - 1
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros(CELLS, np.int64)
         for batch in batches:
             for part in _parts(list(batch["text"])):
                 out += np.bincount((shingle_hashes(part)[1] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        yield pd.DataFrame({"c": [out.tobytes()]})
+        yield pd.DataFrame({"c": [np.minimum(out, most).astype(np.uint32).tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"c": [sum((np.frombuffer(c, np.int64) for batch in batches for c in batch["c"]), np.zeros(CELLS, np.int64)).tobytes()]})
+        out = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for c in batch["c"]:
+                out += np.frombuffer(c, np.uint32)
+        yield pd.DataFrame({"c": [np.minimum(out, most).astype(np.uint32).tobytes()]})
 
-    few = texts.select("text").mapInPandas(run, "c binary").repartition(4).mapInPandas(add, "c binary").collect()
-    return np.minimum(sum(np.frombuffer(r.c, np.int64) for r in few), (1 << 32) - 1).astype(np.uint32)
+    rows = texts.select("text").mapInPandas(run, "c binary")
+    return np.frombuffer(rows.repartition(16).mapInPandas(add, "c binary").repartition(1).mapInPandas(add, "c binary").first().c, np.uint32)
 
 
 def _parts(texts: list) -> Iterator[list[str]]:
@@ -360,6 +366,11 @@ def cross_class_pairs(members: DataFrame, found: DataFrame, texts: DataFrame) ->
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, t, own, node (the document standing for its copies), class_id (the
     smallest node of the class) and n_links (checked links of the node to other texts)."""
+    with small_batches(docs.sparkSession):  # all Python runs before this returns
+        return _classes(docs)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     rows = identity(docs.select("doc_id", "text")).select("doc_id", "own", "t", F.pandas_udf(_sign, "n long, bands array<long>")("text").alias("s"))
     rows = written(rows.select("doc_id", "own", "t", "s.*"), "signatures")
     nodes = written(numbered(rows), "nodes")
