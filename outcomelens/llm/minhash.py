@@ -341,7 +341,6 @@ def cross_class_pairs(members: DataFrame, found: DataFrame, texts: DataFrame) ->
                 start += len(part)
 
     rows = asked.select("node", "c", "text").mapInPandas(run, "k long, x long, at long, larger boolean, node long, n long, c long")
-    rows = written(rows, "prefixes")
     shared = (rows.groupBy("k", "x", "c").agg(F.count("*").alias("m")).groupBy("k", "x")
               .agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count("*").alias("classes")).filter("classes > 1").select("k", "x", "big"))
     rows = written(rows.join(shared, ["k", "x"]), "shared-prefixes")
