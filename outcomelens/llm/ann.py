@@ -43,7 +43,7 @@ TOP = 10
 TREES = 10
 LEAF = 160  # sample vectors in a leaf at most
 SAMPLE = 20_000
-LEAST_LEAF = 16  # and no less than this in a large table
+LEAST_LEAF = 160  # and no less than this in a large table: smaller leaves give each query more lists to merge
 TARGET = 0.95  # recall within the sample from which the share of opened places follows
 PROBES = 100  # sample vectors it is measured on
 BLOCK_ROWS = 4096
