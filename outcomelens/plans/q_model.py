@@ -14,10 +14,11 @@ from ..functions.scalars import decision, round_display, sigmoid
 from ..operators import learn as L
 from ..operators import reports as R
 from ..operators import scoring as SC
+from ..operators.ordering import written
 from ..sources.fixtures import fact_records, metrics_series, split_records
 from ..spec import FIXTURE_SPEC as S
 from .catalog import register
-from .fixture_model import fixture_scorer, sql_cost, sql_logit, sql_scaler_cte, sql_terms, sql_weights
+from .fixture_model import fixture_scorer, stored_facts, sql_cost, sql_logit, sql_scaler_cte, sql_terms, sql_weights
 from .oracle import FACT, METRICS, SPLIT, split_alloc, union_long
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "own_key"]
@@ -29,6 +30,11 @@ def _fact(spark, sf):
     return fact_records(spark, sf).withColumn("own_key", F.col("own_amt"))
 
 
+def _stored(spark, sf):
+    """The records, joined once: a fit and the rows after it read them."""
+    return stored_facts(spark, sf).withColumn("own_key", F.col("own_amt"))
+
+
 # ---------------------------------------------------------------- encoding
 @register("one_hot_fixed", f"""WITH {FACT}
 SELECT {KEY_SQL}, {", ".join(f"CAST(item = '{v}' AS INTEGER) AS item__{E.safe_name(v)}" for v in S.get("item").vocab)}
@@ -42,7 +48,7 @@ def q_one_hot_fixed(spark, sf):
 SELECT {KEY_SQL}, CAST(site_type = 'F' AS INTEGER) AS site_type__f, CAST(site_type = 'O' AS INTEGER) AS site_type__o
 FROM fact""")
 def q_one_hot_discovered(spark, sf):
-    f = _fact(spark, sf)
+    f = _stored(spark, sf)
     vocab = R.vocabulary_list(f, "site_type")
     return f.select(*KEY, *[e.alias(n) for n, e in E.one_hot_discovered("site_type", vocab)])
 
@@ -50,7 +56,7 @@ def q_one_hot_discovered(spark, sf):
 @register("assemble_features", f"""WITH {FACT}
 SELECT {KEY_SQL}, [{", ".join(e for _, e in sql_terms("A"))}] AS features FROM fact""")
 def q_assemble_features(spark, sf):
-    f = _fact(spark, sf)
+    f = _stored(spark, sf)
     c = E.fit_contract(f, S, "A")
     return E.assemble_features(f, c, S, keep=KEY)
 
@@ -58,7 +64,7 @@ def q_assemble_features(spark, sf):
 @register("check_width", f"""WITH {FACT}
 SELECT {KEY_SQL}, {len(sql_terms("B"))} AS width, CAST(NULL AS VARCHAR) AS error FROM fact""")
 def q_check_width(spark, sf):
-    f = _fact(spark, sf)
+    f = _stored(spark, sf)
     c = E.fit_contract(f, S, "B")
     a = E.assemble_features(f, c, S, keep=KEY)
     return E.check_width(a, c).select(*KEY, F.size("features").alias("width"), "error")
@@ -74,7 +80,7 @@ def _scaler_sql(variant):
 
 @register("scaler_stats", _scaler_sql("A"))
 def q_scaler_stats(spark, sf):
-    f = _fact(spark, sf)
+    f = _stored(spark, sf)
     c = E.fit_contract(f, S, "A")
     wide = E.expand_features(f, c, S)
     long = E.scaler_long(E.scaler_stats(wide, c.names), c.names)
@@ -91,7 +97,7 @@ def _standardize_sql(variant):
 
 @register("standardize", _standardize_sql("B"))
 def q_standardize(spark, sf):
-    f = _fact(spark, sf)
+    f = _stored(spark, sf)
     c = E.fit_contract(f, S, "B")
     wide = E.expand_features(f, c, S, keep=KEY)
     z = E.standardize(wide, c.names, keep=KEY)
@@ -124,7 +130,7 @@ def q_split_records(spark, sf):
     """H1 on the record view."""
     f = fact_records(spark, sf).withColumn("cents", F.round(F.col("own_amt") * 100).cast("long"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
-    parts = L.stratified_parts(f.select(*keys, "label"), keys)
+    parts = L.stratified_parts(written(f.select(*keys, "label"), "split-records"), keys)  # read three times
     return parts.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("record"), "label", "part")
 
 
@@ -142,8 +148,8 @@ scored AS (SELECT {KEY_SQL}, label,
 SELECT {KEY_COLS}, 'A' AS variant, round(p, 6) AS probability, round(p * 100, 4) AS chance,
   p >= 0.5 AS positive, error FROM scored""")
 def q_score_batch(spark, sf):
-    sc = fixture_scorer(spark, sf, "A")
-    out = SC.score_batch(_fact(spark, sf), sc, KEY)
+    f = _stored(spark, sf)
+    out = SC.score_batch(f, fixture_scorer(spark, sf, "A", f), KEY)
     return out.select(*KEY, "variant", F.round("probability", 6).alias("probability"),
                       F.round(F.col("probability") * 100, 4).alias("chance"), "positive", "error")
 
@@ -201,8 +207,8 @@ def _round6(c):
 
 
 def _explained(spark, sf, variant):
-    sc = fixture_scorer(spark, sf, variant)
-    ex = SC.explain_gradient(_fact(spark, sf), sc, KEY)
+    f = _stored(spark, sf)
+    ex = SC.explain_gradient(f, fixture_scorer(spark, sf, variant, f), KEY)
     return ex.select(*KEY, "feature", "rank", _round6("magnitude").alias("magnitude"), "direction",
                      _round6("raw_gradient").alias("raw_gradient"))
 
@@ -243,8 +249,8 @@ m AS (SELECT *, coalesce(100.0::DOUBLE * (tp + tn) / nullif(tp + fp + tn + fn, 0
 
 
 def _confusion(spark, sf):
-    sc = fixture_scorer(spark, sf, "A")
-    return L.confusion(SC.score_batch(_fact(spark, sf), sc, ["label"], check_cost=False))
+    f = _stored(spark, sf)
+    return L.confusion(SC.score_batch(f, fixture_scorer(spark, sf, "A", f), ["label"], check_cost=False))
 
 
 @register("confusion", _CONF_SQL + """
@@ -260,8 +266,8 @@ def q_confusion(spark, sf):
 @register("log_loss", _CONF_SQL + """
 SELECT round(log_loss, 6) AS log_loss FROM m""")
 def q_log_loss(spark, sf):
-    sc = fixture_scorer(spark, sf, "A")
-    return L.log_loss(SC.score_batch(_fact(spark, sf), sc, ["label"], check_cost=False)).select(F.round("log_loss", 6).alias("log_loss"))
+    f = _stored(spark, sf)
+    return L.log_loss(SC.score_batch(f, fixture_scorer(spark, sf, "A", f), ["label"], check_cost=False)).select(F.round("log_loss", 6).alias("log_loss"))
 
 
 @register("quality_gate", _CONF_SQL + """
@@ -331,12 +337,12 @@ def _bodies(f):
 @register("score_requests", _request_sql())
 def q_score_requests(spark, sf):
     """H7 from JSON request documents, damaged ones and both models mixed; with the top feature where asked."""
-    f = _fact(spark, sf)
+    f = _stored(spark, sf)
     cid = F.concat_ws("-", *[F.col(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                       F.col("own_key").cast("string"))
     sent = f.withColumn("request_id", cid).select("request_id", "l_linenumber", *[x.name for x in S.fields if x.name != "label"])
-    out = SC.score_requests(sent.select("request_id", _bodies(sent).alias("body")), fixture_scorer(spark, sf, "A"),
-                            fixture_scorer(spark, sf, "B"), keep=["request_id"])
+    out = SC.score_requests(sent.select("request_id", _bodies(sent).alias("body")), fixture_scorer(spark, sf, "A", f),
+                            fixture_scorer(spark, sf, "B", f), keep=["request_id"])
     return out.select("request_id", "model_type", F.round("probability", 6).alias("probability"), "error",
                       F.size(F.coalesce("importance", F.array())).alias("n_importance"), F.get("importance", 0)["feature"].alias("top_feature"))
 
@@ -381,5 +387,6 @@ SELECT {KEY_COLS}, [{names}][i + 1] AS feature, CAST(rank AS INTEGER) AS rank,
 @register("explain_network", _explain_network_sql())
 def q_explain_network(spark, sf):
     """H8 + E8 + E9 for a network: back-propagated gradients of every record, ranked."""
-    ex = SC.explain_gradient(_fact(spark, sf), _network(fixture_scorer(spark, sf, "B")), KEY)
+    f = _stored(spark, sf)
+    ex = SC.explain_gradient(f, _network(fixture_scorer(spark, sf, "B", f)), KEY)
     return ex.withColumn("magnitude", F.round("magnitude", 5)).withColumn("raw_gradient", F.round("raw_gradient", 8))

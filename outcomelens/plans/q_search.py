@@ -16,7 +16,7 @@ from ..operators.scoring import score_batch
 from ..sources.fixtures import fact_records, site_dim, table
 from ..spec import FIXTURE_SPEC as S
 from .catalog import register
-from .fixture_model import fixture_scorer, sql_cost, sql_logit, sql_scaler_cte, sql_terms, sql_weights
+from .fixture_model import fixture_scorer, stored_facts, sql_cost, sql_logit, sql_scaler_cte, sql_terms, sql_weights
 from .oracle import FACT, SITES
 
 SP = S.search
@@ -360,9 +360,10 @@ SELECT {KEY_COLS}, {', '.join(OPEN_FIELDS)}, own_amt, other_amt, site_group, rou
   round(greatest(coalesce(best_chance - current_chance, 0.0), 0.0), 4) AS improvement, valid FROM res WHERE agrees""")
 def q_optimize_own_fields(spark, sf):
     """H9 for baselines that keep their own post-hoc values: the grid leaves two fields to each."""
-    sc = fixture_scorer(spark, sf, "A")
+    f = stored_facts(spark, sf).withColumn("own_key", F.col("own_amt"))
+    sc = fixture_scorer(spark, sf, "A", f)
     sc = replace(sc, spec=replace(sc.spec, search=_OPEN))
-    base = _fact(spark, sf).select(*KEY, *OPEN_FIELDS, "own_amt", "other_amt")
+    base = f.select(*KEY, *OPEN_FIELDS, "own_amt", "other_amt")
     o = Q.optimize_configs(base, _sites(spark, sf), sc, KEY)
     return o.select(*KEY, *OPEN_FIELDS, "own_amt", "other_amt", "site_group",
                     *[F.round(c, 4).alias(c) for c in ("best_chance", "current_chance", "improvement")], "valid")
