@@ -154,8 +154,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, seed
 
 
 def _sample(rows: DataFrame, most: int, salt: str, *by: str) -> DataFrame:
-    """``most`` rows, the first in the order of a hash of the columns ``by``."""
-    return rows.orderBy(F.xxhash64(*by, F.lit(salt)), *by).limit(most)
+    """``most`` rows, the first in the order of a hash of the columns ``by``.
+
+    The last hash among them is found first, from the hashes alone, so that no other row's text is moved.
+    """
+    h = F.xxhash64(*by, F.lit(salt))
+    last = rows.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    return rows.filter(h <= F.lit(last).cast("long")).orderBy(h, *by).limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:

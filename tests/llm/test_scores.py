@@ -175,3 +175,14 @@ def test_quality_scores_equal_a_slow_computation(spark, make):
     for i, text in rows:
         z = sum(a * float(b) for a, b in zip(slow_features(text), model.weights)) + float(model.offset)
         assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.scale * z + model.shift))), abs=1e-4)
+
+
+def test_a_sample_moves_no_other_texts(spark):
+    from pyspark.sql import functions as F
+    from outcomelens.llm import pu_quality as Q
+    rows = spark.range(500).select((F.col("id") % 300).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 300).cast("string")).alias("text"))
+    got = Q._sample(rows, 40, "unlabelled", "doc_id", "text")
+    want = rows.orderBy(F.xxhash64("doc_id", "text", F.lit("unlabelled")), "doc_id", "text").limit(40)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "<=" in got._jdf.queryExecution().optimizedPlan().toString()  # cut off before the sort
+    assert Q._sample(rows.filter("false"), 40, "unlabelled", "doc_id", "text").count() == 0
