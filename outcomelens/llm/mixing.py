@@ -89,13 +89,14 @@ def plan(docs: DataFrame, keep_row: bool = False) -> DataFrame:
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     order = F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    sized = docs.select(
-        "doc_id", "source", size.alias("size"), F.conv(F.substring(F.md5(order), 1, 15), 16, 10).cast("long").alias("h"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []))
-    sized = written(sized, "mix-sizes")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.conv(F.substring(F.md5(order), 1, 15), 16, 10).cast("long").alias("h"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # sizes are stored; whole rows, which are much longer, are read again
+    sized = written(rows.drop("row"), "mix-sizes")
     blocks = max(1, -(-sized.count() // ROWS_PER_BLOCK))
-    sized = sized.withColumn("b", F.floor(F.col("h") / F.lit(float(1 << 60)) * blocks))
-    sums = sized.groupBy("source", "b").agg(F.sum("size").alias("s"))
+    block = F.floor(F.col("h") / F.lit(float(1 << 60)) * blocks)
+    sums = sized.withColumn("b", block).groupBy("source", "b").agg(F.sum("size").alias("s"))
+    sized = (rows if keep_row else sized).withColumn("b", block)
     goal = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")))
     ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "b", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("ahead")).alias("o")

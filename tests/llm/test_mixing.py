@@ -69,3 +69,12 @@ def test_empty(make):
     assert mixing.digest(make([])).count() == 0
     assert mixing.mix(make([])).columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert mixing.digest(make([(1, None), (2, "")])).count() == 2
+
+
+def test_whole_rows_are_not_stored(spark, monkeypatch):
+    from outcomelens.llm import mixing as M
+    stored, written = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, name: stored.append(df.columns) or written(df, name))
+    docs = spark.createDataFrame([(i, f"w{i} x", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    assert M.mix(docs).columns == docs.columns and stored == [["doc_id", "source", "size", "h"]]
+    assert M.mix(docs).select("doc_id").distinct().count() <= 40
