@@ -18,7 +18,8 @@ task updates a copy of the weights by gradient steps on its share, and the
 copies are averaged row by row, weighted by how often a row was used.  Weights
 have as many rows as V asks for, from ``ROWS`` to ``MOST_ROWS``; they, the tree's
 shares and the list of frequent tokens go to every task.  The counts of all
-other tokens stay in Spark and meet the texts by blocks of documents.
+other tokens stay in Spark and meet the texts by blocks of documents, once: what
+they tell and the tokens' names are stored, and training and scoring read these.
 
 Defined cases: a null text has the end token only; repeated rows are counted
 and scored each; rows without doc_id are scored like others (bucket of the
@@ -31,7 +32,6 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from outcomelens.llm.common import WORD, bucket, written
+from outcomelens.llm.common import bucket, small_batches, written
 
 END = "\n"  # no word contains it
 TOP = 8192  # frequent tokens
@@ -56,19 +56,20 @@ OTHER_LEVELS = 1
 TREE_FEATURES = 4
 ROWS, MOST_ROWS = 1 << 13, 1 << 15  # hashed feature rows
 NAMES = 1 << 16  # from here on names of tokens that aren't frequent; the one before is the unknown token's
+RARE = NAMES - 2  # stands for a name from NAMES on where names are stored in two bytes
 ROUNDS = 2
 BATCH = 8192
+SHARE = 1 << 22  # training tokens per task, at least on average: copies that saw less lose much when they are averaged
 RATE = 0.3
 SURE = 0.15  # a choice whose probability lacks less than this is not learned from
 BLOCK = 4096  # documents whose distinct tokens are looked up together
 LONG = 1 << 16  # characters from which a document is dealt over the parts of its block
 
 
-def tokens(text: str | None) -> list[str]:
-    text = text or ""  # bytes lower A-Z only, and so does str where all is ASCII
-    low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    words = re.findall(WORD, low)
-    words.append(END)
+def tokens(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8, A-Z lowered (bytes know no other letters, and split at \\x20 and \\x09-\\x0D only), and the end."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words.append(END.encode())
     return words
 
 
@@ -108,10 +109,19 @@ def _block_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def count_table(docs: DataFrame) -> DataFrame:
     """block, word, n, c (the word's count over all training texts), place (1 on one row of each word)."""
-    rows = docs.mapInPandas(_block_counts, "block long, word string, n long")
+    rows = docs.mapInPandas(_block_counts, "block long, word binary, n long").withColumn("word", F.col("word").cast("string"))
     w = Window.partitionBy("word").orderBy("block")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return written(rows.select("block", "word", "n", F.sum("n").over(whole).alias("c"), F.row_number().over(w).alias("place")), "counts")
+    with small_batches(docs.sparkSession):
+        return written(rows.select("block", "word", "n", F.sum("n").over(whole).alias("c"), F.row_number().over(w).alias("place")), "counts")
+
+
+class Frequent(NamedTuple):
+    """The most frequent tokens and their counts, the number of training tokens and that of distinct ones."""
+    words: list[str]
+    counts: np.ndarray
+    total: int  # N
+    distinct: int  # V
 
 
 class Frame(NamedTuple):
@@ -124,6 +134,7 @@ class Frame(NamedTuple):
     leaf: np.ndarray  # per frequent token its leaf in the tree of its class
     shares: list[np.ndarray]  # per level (places, FAN): natural log of each branch's share of its place
     rows: int  # hashed feature rows
+    splits: list[np.ndarray]  # per level: which places have more than one branch
 
 
 class Names(dict):
@@ -154,21 +165,17 @@ def _tree(mass: np.ndarray) -> list[np.ndarray]:
 
 def choices(classes: np.ndarray, leaf: np.ndarray, code: np.ndarray, f: Frame) -> Iterator[tuple]:
     """Per level: which tokens have a choice there, their feature rows, the log shares of the branches and the branch taken."""
-    for level, shares in enumerate(f.shares):
+    for level, (shares, splits) in enumerate(zip(f.shares, f.splits)):
         places = FAN ** level
         place = classes * places + leaf % places
-        at = np.flatnonzero((shares[place] > -60).sum(1) > 1)
+        at = np.flatnonzero(splits[place])
         if len(at):
-            mark = (place[at] * LEVELS + level + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            yield at, feature_rows(code[at] ^ mark[:, None], f.rows), shares[place[at]], leaf[at] // places % FAN
-
+            place = place[at]
+            mark = (place * LEVELS + level + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            yield at, feature_rows(np.take(code, at, axis=0) ^ mark[:, None], f.rows), np.take(shares, place, axis=0), leaf[at] // places % FAN
 
-def _ids(texts, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of texts one after the other (len(number): not frequent) and where each text starts."""
-    return _numbered([tokens(t) for t in texts], number, len(number))
 
-
-def _numbered(texts: list[list[str]], number: dict[str, int], missing: int) -> tuple[np.ndarray, np.ndarray]:
+def _numbered(texts: list[list[bytes]], number: dict[bytes, int], missing: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tokens, text after text, and where each text starts."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = chain.from_iterable(texts)
@@ -176,6 +183,68 @@ def _numbered(texts: list[list[str]], number: dict[str, int], missing: int) -> t
     return ids, np.cumsum(sizes) - sizes
 
 
+def frequent(table: DataFrame) -> Frequent:
+    """The ``TOP`` most frequent tokens."""
+    totals = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("int(place = 1 AND c > 0)")), F.lit(0))).first()
+    top = table.filter("place = 1 AND c > 0").select("word", "c").orderBy(F.desc("c"), "word").limit(TOP).collect()
+    return Frequent([r.word for r in top], np.array([r.c for r in top], float), int(totals[0]), int(totals[1]))
+
+
+def numbered(docs: DataFrame, table: DataFrame, words: list[str], total: int, distinct: int) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, base_score and the names of all tokens: texts meet the counts of their block's tokens.
+
+    ``names`` holds two bytes a token (``RARE``: the next four bytes of ``rest``, less ``NAMES``).
+    """
+    number = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(words)}
+    z = np.log10(total + 0.5 * (distinct + 1))
+    columns = ["doc_id", "train", "n_tokens", "n_known", "base_score", "names", "rest"]
+
+    def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        # one lookup per token: its place in the block's table, from which follow count and name
+        place = {w: i for i, w in enumerate(counts["word"])}
+        c = np.append(counts["c"].to_numpy(np.int64)[np.fromiter(place.values(), np.int64, len(place))], 0)
+        name = np.append(np.fromiter(map(zlib.crc32, place), np.int64, len(place)) + NAMES, NAMES - 1)
+        for i, w in enumerate(place):
+            place[w] = i
+        for w in number.keys() & place.keys():
+            name[place[w]] = number[w]
+        one, known = np.log10(c + 0.5) - z, (c > 0).astype(np.int64)
+        short, rare = np.where(name < NAMES, name, RARE).astype(np.uint16), name >= NAMES
+        rest = np.where(rare, name - NAMES, 0).astype(np.uint32)
+        parts = []
+        for part in _pieces(texts["text"]):
+            at, starts = _numbered([tokens(t) for t in part], place, len(place))
+            ends = np.append(starts[1:], len(at))
+            others = rare[at]
+            before = np.append(0, np.cumsum(others))
+            names, more = short[at], rest[at[others]]
+            parts.append((ends - starts, np.add.reduceat(known[at], starts), np.add.reduceat(one[at], starts),
+                          [names[a:b].tobytes() for a, b in zip(starts, ends)],
+                          [more[a:b].tobytes() for a, b in zip(before[starts], before[ends])]))
+        whole = [np.concatenate([p[k] for p in parts]) if parts else [] for k in range(3)] + [[x for p in parts for x in p[k]] for k in (3, 4)]
+        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64").to_numpy(), "train": texts["train"].to_numpy(bool),
+                             **dict(zip(columns[2:], whole))}, columns=columns)
+
+    counts = table.filter("c > 0").select("block", F.col("word").cast("binary").alias("word"), "c")
+    rows = (docs.groupBy("block").cogroup(counts.groupBy("block"))
+            .applyInPandas(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, names binary, rest binary"))
+    return written(rows, "names")
+
+
+def _stored(batches: Iterator[pd.DataFrame], most: int = 1 << 18) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Runs of numbered documents of bounded length: the rows, the names of all tokens, and where each text starts."""
+    for batch in batches:
+        ends = np.cumsum(batch["n_tokens"].to_numpy(np.int64))
+        first, done = 0, 0
+        while first < len(batch):
+            last = max(int(np.searchsorted(ends, done + most, "right")), first + 1)
+            rows = batch.iloc[first:last]
+            names = np.frombuffer(b"".join(rows["names"]), np.uint16).astype(np.int64)
+            names[names == RARE] = np.frombuffer(b"".join(rows["rest"]), np.uint32).astype(np.int64) + NAMES
+            yield rows, names, np.append(0, ends[first:last - 1] - done)
+            first, done = last, int(ends[last - 1])
+
+
 def _pieces(texts, most: int = 2_000_000):
     """Texts in runs of bounded length."""
     run, size = [], 0
@@ -209,29 +278,26 @@ def summed(rows: DataFrame, widths: list[int]) -> list[np.ndarray]:
     return out
 
 
-def frame(table: DataFrame, docs: DataFrame) -> Frame:
+def frame(table: DataFrame, docs: DataFrame, top: Frequent | None = None) -> Frame:
     """Frequent tokens and classes: k-means over what a token follows, cut by frequency."""
-    totals = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("int(place = 1 AND c > 0)")), F.lit(0))).first()
-    top = table.filter("place = 1 AND c > 0").select("word", "c").orderBy(F.desc("c"), "word").limit(TOP).collect()
-    words, c = [r.word for r in top], np.array([r.c for r in top], float)
-    n, v = int(totals[0]), int(totals[1])
+    words, c, n, v = top = top or frequent(table)
+    if "names" not in docs.columns:
+        docs = numbered(docs, table, words, n, v)
     number = {w: i for i, w in enumerate(words)}
     width = len(words) * NEAR
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros(max(width, 1))
-        for batch in batches:
-            for run in _pieces(batch["text"]):
-                ids, starts = _ids(run, number)
-                before, now = ids[:-1], ids[1:]
-                ok = (before < NEAR) & (now < len(words))
-                ok[starts[1:] - 1] = False
-                out += np.bincount(now[ok] * NEAR + before[ok], minlength=max(width, 1))
+        for _, names, starts in _stored(batches):
+            before, now = names[:-1], names[1:]
+            ok = (before < NEAR) & (now < len(words))
+            ok[starts[1:] - 1] = False
+            out += np.bincount(now[ok] * NEAR + before[ok], minlength=max(width, 1))
         yield pd.DataFrame({"x0": [out.astype(np.float32).tobytes()]})
 
     classes = np.full(len(words) + 1, CLASSES - 1)
     if words:
-        seen = summed(docs.filter("train").select("text").mapInPandas(follow, "x0 binary"), [width])[0].reshape(-1, NEAR)
+        seen = summed(docs.filter("train").select("n_tokens", "names", "rest").mapInPandas(follow, "x0 binary"), [width])[0].reshape(-1, NEAR)
         group = _cluster(np.sqrt(seen), c)
         for g in range(GROUPS):
             own = np.flatnonzero(group == g)
@@ -258,7 +324,8 @@ def frame(table: DataFrame, docs: DataFrame) -> Frame:
     tree[-1] = np.maximum(np.round(tree[-1], 1), 0)
     tree[-1, 0] += 0.5  # the unknown token
     rows = min(max(ROWS, 1 << v.bit_length()), MOST_ROWS)
-    return Frame(words, classes, np.log10(np.maximum(mass, 1e-300) / z), n, v, rank, _tree(tree), rows)
+    shares = _tree(tree)
+    return Frame(words, classes, np.log10(np.maximum(mass, 1e-300) / z), n, v, rank, shares, rows, [(x > -60).sum(1) > 1 for x in shares])
 
 
 def _cluster(x: np.ndarray, weight: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -312,20 +379,46 @@ def feature_rows(code: np.ndarray, rows: int) -> np.ndarray:
     return (code * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - rows.bit_length() + 1)).astype(np.int64)
 
 
-def class_log(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
-    """Natural log of P(class | context); without ``bias`` the last row of the weights is it."""
+def logits(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    """Sums of each token's rows of the weights; without ``bias`` the last row of the weights is it."""
     z = np.take(weights, rows[:, 0], axis=0)
     for i in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, i], axis=0)
     z += weights[-1] if bias is None else bias
+    return z
+
+
+def class_log(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of P(class | context)."""
+    z = logits(weights, rows, bias)
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def softmax(weights: np.ndarray, rows: np.ndarray, truth: np.ndarray, bias: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the logits up to a factor per token, their sums, and the natural log of P(truth | context).
+
+    The largest logit of each token is only taken off where the exponentials would leave the middle of the range.
+    """
+    one, all_ones = np.arange(len(rows)), np.ones(weights.shape[1], np.float32)
+    for scale in (False, True):
+        z = logits(weights, rows, bias)
+        if scale:
+            z -= z.max(1, keepdims=True)
+        elif z.max(initial=0) > 60:
+            continue
+        own = z[one, truth]
+        np.exp(z, out=z)
+        total = z @ all_ones
+        if scale or total.min(initial=1) > 1e-20:
+            return z, total, own - np.log(total)
+
+
 def train(docs: DataFrame, f: Frame) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the classes (rows + 1, CLASSES) and of the trees (rows + 1, FAN) after all rounds."""
-    number = {w: i for i, w in enumerate(f.words)}
+    if "names" not in docs.columns:
+        docs = numbered(docs, count_table(docs), f.words, f.total, f.distinct)
     shapes = [(f.rows + 1, CLASSES), (f.rows + 1, FAN)]
     weights = [np.zeros(x, np.float32) for x in shapes]
     weights[0][-1] = f.share * np.log(10)
@@ -333,24 +426,24 @@ def train(docs: DataFrame, f: Frame) -> tuple[np.ndarray, np.ndarray]:
         start = weights
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            (w, w2), name = (x.copy() for x in start), Names(number)
+            w, w2 = (x.copy() for x in start)
             used, used2 = np.zeros(f.rows + 1, np.float32), np.zeros(f.rows + 1, np.float32)
             square, square2 = np.full(f.rows + 1, 1e-6, np.float32), np.full(f.rows + 1, 1e-6, np.float32)
-            for batch in batches:
-                for part in _pieces(batch["text"]):
-                    names, starts = _names(part, name)
-                    ids, truth, leaf = _targets(names, f)
-                    code = context(ids, starts, len(f.words), names)
-                    for k in range(0, len(ids), BATCH):
-                        now = slice(k, k + BATCH)
-                        _step(w, used, square, feature_rows(code[now], f.rows), truth[now])
-                        for _, rows, bias, branch in choices(truth[now], leaf[now], code[now], f):
-                            _step(w2, used2, square2, rows, branch, bias)
+            for _, names, starts in _stored(batches):
+                ids, truth, leaf = _targets(names, f)
+                code = context(ids, starts, len(f.words), names)
+                for k in range(0, len(ids), BATCH):
+                    now = slice(k, k + BATCH)
+                    _step(w, used, square, feature_rows(code[now], f.rows), truth[now])
+                    for _, rows, bias, branch in choices(truth[now], leaf[now], code[now], f):
+                        _step(w2, used2, square2, rows, branch, bias)
             yield pd.DataFrame([[w.astype(np.float16).tobytes(), used.tobytes(), w2.astype(np.float16).tobytes(), used2.tobytes()]],
                                columns=["x0", "x1", "x2", "x3"])
 
-        share = docs.filter("train").filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r).select("text")
-        weights = averaged(share.mapInPandas(run, "x0 binary, x1 binary, x2 binary, x3 binary"), start)
+        share = docs.filter("train").filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r).select("n_tokens", "names", "rest")
+        share = share.coalesce(max(1, f.total // SHARE))
+        with small_batches(docs.sparkSession):
+            weights = averaged(share.mapInPandas(run, "x0 binary, x1 binary, x2 binary, x3 binary"), start)
     return weights[0], weights[1]
 
 
@@ -380,92 +473,83 @@ def averaged(rows: DataFrame, start: list[np.ndarray]) -> list[np.ndarray]:
             for total, used, old in zip(sums[::2], sums[1::2], start)]
 
 
-def _names(texts, name: Names) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the tokens of texts one after the other, and where each text starts."""
-    texts = [tokens(t) for t in texts]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    return np.fromiter(map(name.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
-
-
 def _step(w: np.ndarray, used: np.ndarray, square: np.ndarray, rows: np.ndarray, truth: np.ndarray,
           bias: np.ndarray | None = None) -> None:
     """One gradient step on a batch of tokens, scaled per feature row."""
-    g = np.exp(class_log(w, rows, bias))
-    g[np.arange(len(rows)), truth] -= 1
-    off = np.flatnonzero(g[np.arange(len(rows)), truth] < -SURE)  # those that are told well already teach next to nothing
+    e, total, _ = softmax(w, rows, truth, bias)
+    off = np.flatnonzero(e[np.arange(len(rows)), truth] < (1 - SURE) * total)  # those that are told well already teach next to nothing
     if not len(off):
         return
-    rows, g = rows[off], g[off]
-    n = len(rows)
-    flat = rows.T.reshape(-1).astype(np.int16)
+    n = len(off)
+    g = np.take(e, off, axis=0)
+    g /= total[off, None]
+    g[np.arange(n), truth[off]] -= 1
+    flat = np.take(rows, off, axis=0).T.reshape(-1).astype(np.int16)
     order = np.argsort(flat, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
-    hit = flat[order[at]].astype(np.int64)
+    flat = flat[order]
+    at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     times = np.diff(np.append(at, len(order)))
-    sums = run_sums(np.take(g, order % n, axis=0), at, times)
-    times = times.astype(np.float32)
+    by, sums = run_sums(g, np.tile(np.arange(n), rows.shape[1])[order], at, times)
+    hit = flat[at[by]].astype(np.int64)
+    square[hit] += np.einsum("ij,ij->i", sums, sums)
+    sums *= (RATE / np.sqrt(square[hit]))[:, None]
+    new = np.take(w, hit, axis=0)
+    new -= sums
+    whole = np.dtype((np.void, w.shape[1] * w.itemsize))  # each row as one item, which is stored much faster
+    w.view(whole)[hit, 0] = new.view(whole)[:, 0]
+    used[hit] += times[by].astype(np.float32)
     if bias is None:
-        hit, sums, times = np.append(hit, len(w) - 1), np.vstack((sums, g.sum(0))), np.append(times, n)
-    square[hit] += (sums * sums).sum(1)
-    w[hit] -= (RATE / np.sqrt(square[hit]))[:, None] * sums
-    used[hit] += times
+        sums = g.sum(0)
+        square[-1] += (sums * sums).sum()
+        w[-1] -= RATE / np.sqrt(square[-1]) * sums
+        used[-1] += n
+
 
+def run_sums(g: np.ndarray, take: np.ndarray, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the runs from long to short (alike from 33 rows on), and in it the sums of g's rows take[at:at + times].
 
-def run_sums(x: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows: the first rows of all runs, plus all second ones, and so on; the few long runs each on their own."""
-    out = x[at]
-    live = np.flatnonzero(times > 1)
+    The first rows of all runs are added, then all second ones, and so on; the few long runs have the rest added each on its own.
+    """
+    size = np.minimum(times, 33).astype(np.int8)
+    by = np.argsort(-size, kind="stable")
+    at, times = at[by], times[by]
+    live = len(at) - np.cumsum(np.bincount(size, minlength=34))  # at k: runs of more than k rows
+    out = np.take(g, take[at], axis=0)
     for k in range(1, 32):
-        out[live] += x[at[live] + k]
-        live = live[times[live] > k + 1]
-    for i in live:
-        out[i] += x[at[i] + 32:at[i] + times[i]].sum(0)
-    return out
+        if not live[k]:
+            break
+        out[:live[k]] += np.take(g, take[at[:live[k]] + k], axis=0)
+    for i in range(live[32]):
+        out[i] += np.take(g, take[at[i] + 32:at[i] + times[i]], axis=0).sum(0)
+    return by, out
 
 
 def token_gain(classes: np.ndarray, leaf: np.ndarray, code: np.ndarray, f: Frame, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """log10 of P(token | context) over the token's share of all tokens."""
-    p = class_log(weights[0], feature_rows(code, f.rows))
-    gain = p[np.arange(len(p)), classes] / np.log(10) - f.share[classes]
+    gain = softmax(weights[0], feature_rows(code, f.rows), classes)[2] / np.log(10) - f.share[classes]
     for at, rows, bias, branch in choices(classes, leaf, code, f):
-        one = np.arange(len(at))
-        gain[at] += (class_log(weights[1], rows, bias)[one, branch] - bias[one, branch]) / np.log(10)
+        gain[at] += (softmax(weights[1], rows, branch, bias)[2] - bias[np.arange(len(at)), branch]) / np.log(10)
     return gain
 
 
 def score(docs: DataFrame, table: DataFrame, f: Frame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Contract columns: texts meet the counts of their block's tokens."""
-    number = {w: i for i, w in enumerate(f.words)}
-    z = np.log10(f.total + 0.5 * (f.distinct + 1))
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    """Contract columns."""
+    if "names" not in docs.columns:
+        docs = numbered(docs, table, f.words, f.total, f.distinct)
 
-    def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        # one lookup per token: its place in the block's table, from which follow count and id
-        place = {w: i for i, w in enumerate(counts["word"])}
-        table_c = np.append(counts["c"].to_numpy(np.int64), 0)
-        table_name = np.append(np.fromiter(map(Names(number).__getitem__, place), np.int64, len(place)), NAMES - 1)
-        table_c = table_c[np.append(np.fromiter(place.values(), np.int64, len(place)), len(table_c) - 1)]
-        place = {w: i for i, w in enumerate(place)}
-        base, total, known, sizes = [], [], [], []
-        for part in _pieces(texts["text"]):
-            at, starts = _numbered([tokens(t) for t in part], place, len(place))
-            c, names = table_c[at], table_name[at]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, names, starts in _stored(batches):
             ids, truth, leaf = _targets(names, f)
             gain = np.empty(len(ids))
             code = context(ids, starts, len(f.words), names)
             for k in range(0, len(ids), BATCH):
                 now = slice(k, k + BATCH)
                 gain[now] = token_gain(truth[now], leaf[now], code[now], f, weights)
-            base.append(np.add.reduceat(np.log10(c + 0.5) - z, starts))
-            total.append(base[-1] + np.add.reduceat(gain, starts))
-            known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
-            sizes.append(np.diff(np.append(starts, len(ids))))
-        whole = [np.concatenate(x) if x else np.zeros(0) for x in (sizes, known, base, total)]
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64").to_numpy(), "held_out": ~texts["train"].to_numpy(bool),
-                             "n_tokens": whole[0], "n_known": whole[1], "base_score": whole[2], "score": whole[3]}, columns=columns)
-
-    found = (docs.groupBy("block").cogroup(table.select("block", "word", "c").filter("c > 0").groupBy("block"))
-             .applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64").to_numpy(), "held_out": ~rows["train"].to_numpy(bool),
+                                "n_tokens": rows["n_tokens"].to_numpy(), "n_known": rows["n_known"].to_numpy(),
+                                "base_score": rows["base_score"].to_numpy(), "score": rows["base_score"].to_numpy() + np.add.reduceat(gain, starts)})
+
+    found = docs.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(f.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -473,5 +557,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """Contract columns of the scoring query."""
     docs = with_block(docs.select("doc_id", "text"))
     table = count_table(docs)
-    f = frame(table, docs)
+    top = frequent(table)
+    docs = numbered(docs, table, top.words, top.total, top.distinct)
+    f = frame(table, docs, top)
     return score(docs, table, f, train(docs, f))
