@@ -33,13 +33,13 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -63,14 +63,16 @@ SHARE = 1 << 22  # training tokens per task, at least on average: copies that sa
 RATE = 0.3
 SURE = 0.15  # a choice whose probability lacks less than this is not learned from
 BLOCK = 4096  # documents whose distinct tokens are looked up together
+HELD = 24 << 20  # bytes of texts whose tokens a task counts together
 LONG = 1 << 16  # characters from which a document is dealt over the parts of its block
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text in UTF-8, A-Z lowered (bytes know no other letters, and split at \\x20 and \\x09-\\x0D only), and the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END.encode())
-    return words
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts one after the other, A-Z lowered, without the end tokens, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))  # splits at \x20 and \x09-\x0D
+    words, text = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.not_equal(words, "")  # outer white space leaves empty strings
+    return words.filter(real), np.bincount(text.filter(real).to_numpy(), minlength=len(texts))
 
 
 def with_block(docs: DataFrame) -> DataFrame:
@@ -80,36 +82,33 @@ def with_block(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", (bucket(F.col("doc_id"), 5) != 1).alias("train"), block.cast("long").alias("block"))
 
 
-def _block_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, word, n): the tokens of each block, with their number in training texts."""
-    def rows() -> pd.DataFrame:
-        parts = []
-        for block, c in counts.items():
-            new = [w for w in others.get(block, ()) if w not in c]
-            n = np.concatenate((np.fromiter(c.values(), np.int64, len(c)), np.zeros(len(new), np.int64)))
-            parts.append(pd.DataFrame({"block": block, "word": [*c, *new], "n": n}))
-        return pd.concat(parts)
-
-    counts: dict[int, Counter] = {}
-    others: dict[int, set] = {}  # tokens of texts that aren't learned from
-    held = 0
+    def rows() -> Iterator[pa.RecordBatch]:
+        docs = pa.Table.from_batches(held)
+        texts, train, blocks = docs["text"].combine_chunks(), docs["train"].to_numpy(), docs["block"].to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+            words, sizes = split(texts.take(pa.array(own)))
+            coded = words.dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy()[np.repeat(train[own], sizes)], minlength=len(coded.dictionary))
+            n = np.append(n, train[own].sum()).astype(np.int64)
+            word = pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), blocks[own[0]])), word, pa.array(n)], names=["block", "word", "n"])
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for text, train, block in zip(batch["text"], batch["train"], batch["block"]):
-            c = counts.setdefault(block, Counter())
-            o = others.setdefault(block, set())
-            before = len(c) + len(o)
-            (c if train else o).update(tokens(text))
-            held += len(c) + len(o) - before
-            if held > 500_000:
-                yield rows()
-                counts, others, held = {}, {}, 0
-    if counts:
-        yield rows()
+        held.append(batch)
+        if sum(b.nbytes for b in held) > HELD:
+            yield from rows()
+            held = []
+    if sum(map(len, held)):
+        yield from rows()
 
 
 def count_table(docs: DataFrame) -> DataFrame:
     """block, word, n, c (the word's count over all training texts), place (1 on one row of each word)."""
-    rows = docs.mapInPandas(_block_counts, "block long, word binary, n long").withColumn("word", F.col("word").cast("string"))
+    rows = docs.select("text", "train", "block").mapInArrow(_block_counts, "block long, word string, n long")
     w = Window.partitionBy("word").orderBy("block")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     with small_batches(docs.sparkSession):
@@ -175,14 +174,6 @@ def choices(classes: np.ndarray, leaf: np.ndarray, code: np.ndarray, f: Frame) -
             yield at, feature_rows(np.take(code, at, axis=0) ^ mark[:, None], f.rows), np.take(shares, place, axis=0), leaf[at] // places % FAN
 
 
-def _numbered(texts: list[list[bytes]], number: dict[bytes, int], missing: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of tokens, text after text, and where each text starts."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    flat = chain.from_iterable(texts)
-    ids = np.fromiter(map(number.get, flat, repeat(missing)), np.int64, int(sizes.sum()))
-    return ids, np.cumsum(sizes) - sizes
-
-
 def frequent(table: DataFrame) -> Frequent:
     """The ``TOP`` most frequent tokens."""
     totals = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("int(place = 1 AND c > 0)")), F.lit(0))).first()
@@ -195,39 +186,40 @@ def numbered(docs: DataFrame, table: DataFrame, words: list[str], total: int, di
 
     ``names`` holds two bytes a token (``RARE``: the next four bytes of ``rest``, less ``NAMES``).
     """
-    number = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(words)}
     z = np.log10(total + 0.5 * (distinct + 1))
     columns = ["doc_id", "train", "n_tokens", "n_known", "base_score", "names", "rest"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
 
-    def run(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         # one lookup per token: its place in the block's table, from which follow count and name
-        place = {w: i for i, w in enumerate(counts["word"])}
-        c = np.append(counts["c"].to_numpy(np.int64)[np.fromiter(place.values(), np.int64, len(place))], 0)
-        name = np.append(np.fromiter(map(zlib.crc32, place), np.int64, len(place)) + NAMES, NAMES - 1)
-        for i, w in enumerate(place):
-            place[w] = i
-        for w in number.keys() & place.keys():
-            name[place[w]] = number[w]
+        word = pa.concat_arrays([pa.array([], pa.string()), *(x.cast(pa.string()) for x in counts["word"].chunks)])
+        missing, c = len(word), np.append(counts["c"].to_numpy(), 0)  # the last place is that of tokens without a count
+        end = pc.index(word, END).as_py() % (missing + 1)  # -1: missing
+        top = pc.fill_null(pc.index_in(word, pa.array(words, pa.string())), -1).to_numpy()
+        crc = np.fromiter(map(zlib.crc32, word.cast(pa.binary()).to_pylist()), np.int64, len(word))
+        name = np.append(np.where(top < 0, crc + NAMES, top), NAMES - 1)
         one, known = np.log10(c + 0.5) - z, (c > 0).astype(np.int64)
         short, rare = np.where(name < NAMES, name, RARE).astype(np.uint16), name >= NAMES
         rest = np.where(rare, name - NAMES, 0).astype(np.uint32)
-        parts = []
-        for part in _pieces(texts["text"]):
-            at, starts = _numbered([tokens(t) for t in part], place, len(place))
-            ends = np.append(starts[1:], len(at))
+        parts = [pa.array([], x) for x in types[2:]]
+        for part in texts["text"].chunks:
+            found, sizes = split(part)
+            at = pc.fill_null(pc.index_in(found, word), missing).to_numpy()
+            at = np.insert(at, np.cumsum(sizes), end)
+            ends = np.cumsum(sizes + 1)
+            starts = ends - sizes - 1
             others = rare[at]
             before = np.append(0, np.cumsum(others))
             names, more = short[at], rest[at[others]]
-            parts.append((ends - starts, np.add.reduceat(known[at], starts), np.add.reduceat(one[at], starts),
-                          [names[a:b].tobytes() for a, b in zip(starts, ends)],
-                          [more[a:b].tobytes() for a, b in zip(before[starts], before[ends])]))
-        whole = [np.concatenate([p[k] for p in parts]) if parts else [] for k in range(3)] + [[x for p in parts for x in p[k]] for k in (3, 4)]
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64").to_numpy(), "train": texts["train"].to_numpy(bool),
-                             **dict(zip(columns[2:], whole))}, columns=columns)
-
-    counts = table.filter("c > 0").select("block", F.col("word").cast("binary").alias("word"), "c")
+            new = [sizes + 1, np.add.reduceat(known[at], starts), np.add.reduceat(one[at], starts),
+                   [names[a:b].tobytes() for a, b in zip(starts, ends)],
+                   [more[a:b].tobytes() for a, b in zip(before[starts], before[ends])]]
+            parts = [pa.concat_arrays([x, pa.array(y, t)]) for x, y, t in zip(parts, new, types[2:])]
+        return pa.Table.from_arrays([texts["doc_id"], texts["train"], *parts], names=columns)
+
+    counts = table.filter("c > 0").select("block", "word", "c")
     rows = (docs.groupBy("block").cogroup(counts.groupBy("block"))
-            .applyInPandas(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, names binary, rest binary"))
+            .applyInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, names binary, rest binary"))
     return written(rows, "names")
 
 
@@ -245,19 +237,6 @@ def _stored(batches: Iterator[pd.DataFrame], most: int = 1 << 18) -> Iterator[tu
             first, done = last, int(ends[last - 1])
 
 
-def _pieces(texts, most: int = 2_000_000):
-    """Texts in runs of bounded length."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t or "")
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def summed(rows: DataFrame, widths: list[int]) -> list[np.ndarray]:
     """Sum of the tasks' arrays: rows of binaries, added up in a few tasks before the driver."""
     names = [f"x{i}" for i in range(len(widths))]
@@ -381,9 +360,9 @@ def feature_rows(code: np.ndarray, rows: int) -> np.ndarray:
 
 def logits(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
     """Sums of each token's rows of the weights; without ``bias`` the last row of the weights is it."""
-    z = np.take(weights, rows[:, 0], axis=0)
+    z = weights.take(rows[:, 0], 0)
     for i in range(1, rows.shape[1]):
-        z += np.take(weights, rows[:, i], axis=0)
+        z += weights.take(rows[:, i], 0)
     z += weights[-1] if bias is None else bias
     return z
 
@@ -481,25 +460,26 @@ def _step(w: np.ndarray, used: np.ndarray, square: np.ndarray, rows: np.ndarray,
     if not len(off):
         return
     n = len(off)
-    g = np.take(e, off, axis=0)
-    g /= total[off, None]
+    g = e.take(off, 0)
+    g *= (1 / total[off])[:, None]
     g[np.arange(n), truth[off]] -= 1
-    flat = np.take(rows, off, axis=0).T.reshape(-1).astype(np.int16)
+    flat = rows.take(off, 0).astype(np.int16).T.reshape(-1)
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     times = np.diff(np.append(at, len(order)))
     by, sums = run_sums(g, np.tile(np.arange(n), rows.shape[1])[order], at, times)
     hit = flat[at[by]].astype(np.int64)
-    square[hit] += np.einsum("ij,ij->i", sums, sums)
-    sums *= (RATE / np.sqrt(square[hit]))[:, None]
-    new = np.take(w, hit, axis=0)
+    size = square[hit] + np.einsum("ij,ij->i", sums, sums)
+    square[hit] = size
+    sums *= (RATE / np.sqrt(size))[:, None]
+    new = w.take(hit, 0)
     new -= sums
     whole = np.dtype((np.void, w.shape[1] * w.itemsize))  # each row as one item, which is stored much faster
     w.view(whole)[hit, 0] = new.view(whole)[:, 0]
     used[hit] += times[by].astype(np.float32)
     if bias is None:
-        sums = g.sum(0)
+        sums = np.ones(n, np.float32) @ g
         square[-1] += (sums * sums).sum()
         w[-1] -= RATE / np.sqrt(square[-1]) * sums
         used[-1] += n
@@ -514,13 +494,13 @@ def run_sums(g: np.ndarray, take: np.ndarray, at: np.ndarray, times: np.ndarray)
     by = np.argsort(-size, kind="stable")
     at, times = at[by], times[by]
     live = len(at) - np.cumsum(np.bincount(size, minlength=34))  # at k: runs of more than k rows
-    out = np.take(g, take[at], axis=0)
+    out, ones = g.take(take[at], 0), np.ones(max(times.max() - 32, 0), np.float32)
     for k in range(1, 32):
         if not live[k]:
             break
-        out[:live[k]] += np.take(g, take[at[:live[k]] + k], axis=0)
+        out[:live[k]] += g.take(take[at[:live[k]] + k], 0)
     for i in range(live[32]):
-        out[i] += np.take(g, take[at[i] + 32:at[i] + times[i]], axis=0).sum(0)
+        out[i] += ones[:times[i] - 32] @ g.take(take[at[i] + 32:at[i] + times[i]], 0)
     return by, out
 
 

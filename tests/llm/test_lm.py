@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from outcomelens.llm import lm
@@ -65,8 +66,10 @@ def test_softmax_of_far_logits(level):
 def test_words_are_those_of_the_pattern():
     text = "A\x1cb\x85c\xa0D É İ\x00\tx\x0bY\x0cz\r\n" + "".join(map(chr, range(1, 0x500)))
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    assert [w.decode() for w in lm.tokens(text)] == re.findall(r"[^\x20\x09-\x0D]+", text.translate(lower)) + ["\n"]
-    assert lm.tokens(None) == lm.tokens("") == [b"\n"]
+    texts = [None, text, "", " \t", " b  C "]
+    words, sizes = lm.split(pa.array(texts))
+    want = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) for t in texts]
+    assert words.to_pylist() == sum(want, []) and list(sizes) == [len(w) for w in want]
 
 
 def test_training_and_scores_read_stored_names(make, monkeypatch):
@@ -82,7 +85,7 @@ def test_training_and_scores_read_stored_names(make, monkeypatch):
     number = {w: i for i, w in enumerate(top.words)}
     seen = {r.word for r in table.filter("c > 0").select("word").collect()}
     name = lm.Names(number)
-    texts = {i: [w.decode() for w in lm.tokens(t)] for i, t in rows}
+    texts = {i: (t or "").lower().split() + [lm.END] for i, t in rows}
     got = list(lm._stored([stored.toPandas()], most=300))
     assert len(got) > 3 and sum(len(r) for r, _, _ in got) == len(rows)
     for part, names, starts in got:
@@ -91,9 +94,9 @@ def test_training_and_scores_read_stored_names(make, monkeypatch):
             words = texts[None if i != i or i is None else int(i)]
             assert list(names[a:b]) == [name[w] if w in seen else lm.NAMES - 1 for w in words]
 
-    def split(text):
+    def split(texts):
         raise AssertionError("split again")
-    monkeypatch.setattr(lm, "tokens", split)
+    monkeypatch.setattr(lm, "split", split)
     f = lm.frame(table, stored, top)
     found = lm.score(stored, table, f, lm.train(stored, f))
     assert found.count() == len(rows)
