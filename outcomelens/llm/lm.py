@@ -75,6 +75,16 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), np.bincount(text.filter(real).to_numpy(), minlength=len(texts))
 
 
+def _parts(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
+    """Texts in runs of bounded length."""
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    first = 0
+    while first < len(texts):
+        last = max(int(np.searchsorted(ends, ends[first] + most, "right")) - 1, first + 1)
+        yield texts.slice(first, last - first)
+        first = last
+
+
 def with_block(docs: DataFrame) -> DataFrame:
     """doc_id, text, train, block: neighbouring ids share a block, long texts are spread over its parts."""
     part = F.when(F.length("text") > LONG, 1 + F.pmod(F.xxhash64("doc_id", "text"), F.lit(63))).otherwise(0)
@@ -89,8 +99,9 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts, train, blocks = docs["text"].combine_chunks(), docs["train"].to_numpy(), docs["block"].to_numpy()
         order = np.argsort(blocks, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
-            words, sizes = split(texts.take(pa.array(own)))
-            coded = words.dictionary_encode()
+            found = [split(part) for part in _parts(texts.take(pa.array(own)))]
+            coded = pa.chunked_array([words for words, _ in found]).dictionary_encode().combine_chunks()
+            sizes = np.concatenate([x for _, x in found])
             n = np.bincount(coded.indices.to_numpy()[np.repeat(train[own], sizes)], minlength=len(coded.dictionary))
             n = np.append(n, train[own].sum()).astype(np.int64)
             word = pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)])
@@ -102,6 +113,7 @@ def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if sum(b.nbytes for b in held) > HELD:
             yield from rows()
             held = []
+            pa.default_memory_pool().release_unused()
     if sum(map(len, held)):
         yield from rows()
 
@@ -201,8 +213,8 @@ def numbered(docs: DataFrame, table: DataFrame, words: list[str], total: int, di
         one, known = np.log10(c + 0.5) - z, (c > 0).astype(np.int64)
         short, rare = np.where(name < NAMES, name, RARE).astype(np.uint16), name >= NAMES
         rest = np.where(rare, name - NAMES, 0).astype(np.uint32)
-        parts = [pa.array([], x) for x in types[2:]]
-        for part in texts["text"].chunks:
+        parts = [[pa.array([], x)] for x in types[2:]]
+        for part in (p for chunk in texts["text"].chunks for p in _parts(chunk)):
             found, sizes = split(part)
             at = pc.fill_null(pc.index_in(found, word), missing).to_numpy()
             at = np.insert(at, np.cumsum(sizes), end)
@@ -214,8 +226,10 @@ def numbered(docs: DataFrame, table: DataFrame, words: list[str], total: int, di
             new = [sizes + 1, np.add.reduceat(known[at], starts), np.add.reduceat(one[at], starts),
                    [names[a:b].tobytes() for a, b in zip(starts, ends)],
                    [more[a:b].tobytes() for a, b in zip(before[starts], before[ends])]]
-            parts = [pa.concat_arrays([x, pa.array(y, t)]) for x, y, t in zip(parts, new, types[2:])]
-        return pa.Table.from_arrays([texts["doc_id"], texts["train"], *parts], names=columns)
+            for done, x, kind in zip(parts, new, types[2:]):
+                done.append(pa.array(x, kind))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays([texts["doc_id"], texts["train"], *map(pa.chunked_array, parts)], names=columns).combine_chunks()
 
     counts = table.filter("c > 0").select("block", "word", "c")
     rows = (docs.groupBy("block").cogroup(counts.groupBy("block"))
