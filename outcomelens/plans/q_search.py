@@ -320,7 +320,7 @@ def q_top_configs(spark, sf):
 
 
 # ------------------------------------------------------------------ baselines with fields of their own
-_OPEN = replace(SP, posthoc_own=(), posthoc_other=(), levels=(SP.top_level,))
+_OPEN = replace(SP, posthoc_own=(), posthoc_other=())
 OPEN_FIELDS = [f for f in FIELDS_A if f not in ("own_amt", "other_amt")]
 
 
@@ -341,7 +341,7 @@ _INSIDE, _OUTSIDE = _parts_sql()
 _LIMIT = f"{math.log(0.95 / (1.0 - 0.95))!r}::DOUBLE"
 
 
-@register("optimize_own_fields", f"""WITH {FACT}, {sql_scaler_cte('A')}, {_grid_ctes(levels=[SP.top_level])},
+@register("optimize_own_fields", f"""WITH {FACT}, {sql_scaler_cte('A')}, {_grid_ctes()},
 g AS (SELECT grid.*, {_INSIDE} AS score FROM grid, st),
 b AS (SELECT {KEY_SQL}, {', '.join(OPEN_FIELDS)}, own_amt, other_amt, {_OUTSIDE} AS part, row_number() OVER () AS n,
   CASE WHEN {sql_cost()} > 4 THEN NULL ELSE 1.0::DOUBLE / (1.0::DOUBLE + exp(-({sql_logit('A')}))) END AS p FROM fact, st),

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from outcomelens.operators import configs as C
@@ -128,3 +129,22 @@ def test_picks_of_every_count_equal_picks_of_one(spark):
         for k, found in many.items():
             assert [o for _, o in sorted(found)] == _pick(spark, builds, k)
         assert set(many) == {1, 2, 5, 12, 40}
+
+
+def test_own_fields_are_searched_over_every_level(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from outcomelens.plans import q_search
+    from outcomelens.plans.catalog import ORACLE
+
+    class Seen(Exception):
+        pass
+
+    def optimize(base, sites, scorer, key):
+        raise Seen(C.candidate_grid(sites, scorer.spec.search, scorer.variant))
+
+    monkeypatch.setattr(q_search.Q, "optimize_configs", optimize)
+    with pytest.raises(Seen) as seen:
+        q_search.q_optimize_own_fields(spark, SF_SMALL)
+    levels = FIXTURE_SPEC.search.levels
+    assert sorted(r.level for r in seen.value.args[0].select("level").distinct().collect()) == sorted(levels)
+    assert all(f"({v!r}::DOUBLE, {i})" in ORACLE["optimize_own_fields"] for i, v in enumerate(levels))
