@@ -4,17 +4,18 @@ A ``Scorer`` bundles the feature contract, the scaler and a model.  A logistic
 model is evaluated as a plain Column expression (JVM-side, codegen); a
 multilayer network is evaluated per Arrow batch in ``mapInPandas`` with its
 (small) weight matrices shipped in the closure.  Explanations are gradients of
-the probability with respect to standardised inputs, ranked inside each row
-with array functions, so no shuffle is needed.
+the probability with respect to standardised inputs, ranked inside each row,
+so no shuffle is needed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,25 +261,46 @@ def explain_gradient(configs: DataFrame, scorer: Scorer, keep: Sequence[str]) ->
 
     magnitude = |g| / sum |g| * 100 (E8, 0-safe), direction by sign, rank by
     magnitude desc then feature order (E9).  Logistic models use the closed form;
-    for a network the gradient array (from Arrow batches) is ranked inside the row
-    by sorting (-|g|, index, feature, g) structs with ``sort_array`` - no shuffle.
+    a network's gradients are ranked in the Arrow batches that give them - no shuffle.
     """
     if isinstance(scorer.model, LogisticModel):
         return _explain_linear(configs, scorer, keep)
+    return _explain_ranked(configs, scorer, keep)
+
+
+def _explain_ranked(configs: DataFrame, scorer: Scorer, keep: Sequence[str]) -> DataFrame:
+    """A network's gradients per Arrow batch, ranked there by numpy; one row per feature is generated from
+    two plain arrays, the features' places and gradients by falling magnitude."""
     names = list(scorer.contract.names)
-    g = gradients(configs, scorer, keep)
-    gi = [F.col("grad")[i] for i in range(len(names))]
-    total = F.lit(0.0)
-    for x in gi:
-        total = total + F.abs(x)
-    cells = F.sort_array(F.array(*[
-        F.struct((-F.abs(x)).alias("k"), F.lit(i).alias("i"), F.lit(n).alias("feature"), x.alias("g"))
-        for i, (n, x) in enumerate(zip(names, gi))]))
-    g = g.select(*keep, cells.alias("_cells"), total.alias("_tot"))
-    ex = g.select(*keep, "_tot", F.posexplode("_cells").alias("_r", "_c"))
-    mag = F.when(F.col("_tot") > 0, F.abs(F.col("_c.g")) / F.col("_tot") * 100.0).otherwise(F.abs(F.col("_c.g")))
-    direction = (F.when(F.col("_c.g") > 0, F.lit("positive"))
-                  .when(F.col("_c.g") < 0, F.lit("negative")).otherwise(F.lit("neutral")))
-    return ex.select(*keep, F.col("_c.feature").alias("feature"), (F.col("_r") + 1).alias("rank"),
-                     mag.alias("magnitude"), direction.alias("direction"),
-                     F.col("_c.g").alias("raw_gradient"))
+    model = scorer.model   # plain values only: Columns are not serialisable
+    terms = scorer.standardized_terms(dict(configs.dtypes))
+    pre = configs.select(*keep, *[e.alias(f"_z{i}") for i, (_, e) in enumerate(terms)])
+    kept = len(keep)
+    schema = T.StructType(pre.schema.fields[:kept] + [T.StructField("_at", T.ArrayType(T.IntegerType())), T.StructField("_g", T.ArrayType(T.DoubleType())),
+                                                      T.StructField("_tot", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(names)
+        for batch in batches:
+            n = batch.num_rows
+            z = np.empty((n, width))
+            for i in range(width):
+                z[:, i] = batch.column(kept + i).to_numpy(zero_copy_only=False)
+            g = model.gradient(z)
+            size = np.abs(g)
+            total = np.zeros(n)
+            for i in range(width):   # in the features' order, so sums don't depend on the batch
+                total += size[:, i]
+            at = np.argsort(-size, axis=1, kind="stable")
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(width))
+            ranked = np.take_along_axis(g, at, 1)
+            cells = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (at.astype(np.int32), ranked)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *cells, pa.array(total)], names=[*batch.schema.names[:kept], "_at", "_g", "_tot"])
+
+    ex = pre.mapInArrow(run, schema).select(*keep, "_at", "_tot", F.posexplode("_g").alias("_r", "_x"))
+    g = F.col("_x")
+    mag = F.when(F.col("_tot") > 0, F.abs(g) / F.col("_tot") * 100.0).otherwise(F.abs(g))
+    direction = F.when(g > 0, F.lit("positive")).when(g < 0, F.lit("negative")).otherwise(F.lit("neutral"))
+    feature = F.get(F.lit(names), F.get("_at", F.col("_r")))
+    return ex.select(*keep, feature.alias("feature"), (F.col("_r") + 1).alias("rank"), mag.alias("magnitude"),
+                     direction.alias("direction"), g.alias("raw_gradient"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import encode as E
-from ..functions.scalars import decision, round_display, sigmoid
+from ..functions.scalars import decision, round_display, round_fast, sigmoid
 from ..operators import learn as L
 from ..operators import reports as R
 from ..operators import scoring as SC
@@ -389,4 +389,4 @@ def q_explain_network(spark, sf):
     """H8 + E8 + E9 for a network: back-propagated gradients of every record, ranked."""
     f = _stored(spark, sf)
     ex = SC.explain_gradient(f, _network(fixture_scorer(spark, sf, "B", f)), KEY)
-    return ex.withColumn("magnitude", F.round("magnitude", 5)).withColumn("raw_gradient", F.round("raw_gradient", 8))
+    return ex.withColumn("magnitude", round_fast("magnitude", 5)).withColumn("raw_gradient", round_fast("raw_gradient", 8))

@@ -1,8 +1,10 @@
 """Scoring paths: network explanation ranking (sort path) and logistic closed form vs numpy."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from outcomelens.functions.encode import Scaler, expand_features, fit_contract
+from outcomelens.functions.scalars import round_fast
 from outcomelens.operators.scoring import LogisticModel, MlpModel, Scorer, explain_gradient, gradients, score_batch
 from outcomelens.sources.fixtures import fact_records
 from outcomelens.spec import FIXTURE_SPEC
@@ -61,3 +63,23 @@ def test_network_scores_match_forward(spark):
     s = {tuple(r[k] for k in KEY): r.probability for r in score_batch(f, sc, KEY, check_cost=False).collect()}
     g = {tuple(r[k] for k in KEY): r.probability for r in gradients(f, sc, KEY).collect()}
     assert s.keys() == g.keys() and all(abs(s[k] - g[k]) < 1e-12 for k in s)
+
+
+def test_a_network_ranks_in_batches(spark):
+    """Ties keep the features' order, gradients of zero too; no row sorts structs."""
+    f, sc = _scorer(spark, lambda d: MlpModel(((np.tile([0.5, -0.5, 0.0], (2, d))[:, :d], np.zeros(2)), (np.array([[0.0, 0.0], [1.0, 0.0]]), np.zeros(2))), "relu"))
+    ex = explain_gradient(f, sc, KEY)
+    plan = ex._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sort_array" not in plan
+    ex, grads = _collect(ex, gradients(f, sc, KEY))
+    _check_ranks(ex, grads, list(sc.contract.names))
+    assert any(not np.any(g) for g in grads.values()) and any(np.any(g) for g in grads.values())
+
+
+def test_fast_rounding_is_rounding(spark):
+    values = [0.0, -0.0, 1e-12, -1e-12, 0.000005, -0.000015, 2.5e-8, 1.000005, 99.999995, -12.345675, 1e300, float("nan"), float("inf"), None]
+    values += [x / 7e4 for x in range(-500, 500)] + [(x + 0.5) / 1e5 for x in range(-300, 300)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (5, 8):
+        rows = df.select(F.round("x", digits).alias("slow"), round_fast("x", digits).alias("fast")).collect()
+        assert [repr(r.slow) for r in rows] == [repr(r.fast) for r in rows]
