@@ -65,3 +65,49 @@ def test_a_fingerprint_deals_rows_by_their_keys(spark, monkeypatch):
     q_io.q_fingerprint(spark, SF_SMALL)
     moved = [line for p in dealt for line in p.splitlines() if "RepartitionByExpression" in line]
     assert moved and all("l_orderkey" in line.split("[")[1] for line in moved)
+
+
+def test_requests_have_no_copy_beside_those_sent(spark, monkeypatch):
+    def start(source, *_):
+        raise Seen(source)
+
+    monkeypatch.setattr(q_sinks, "written", lambda df, name: _stop(df))
+    monkeypatch.setattr(q_sinks, "start_request_stream", start)
+    with pytest.raises(Seen) as seen:
+        q_sinks.q_request_stream(spark, SF_SMALL)
+    assert seen.value.args[0].isStreaming
+
+
+def test_an_epoch_is_scored_once_and_not_persisted(spark, monkeypatch):
+    import os
+    import uuid
+
+    from pyspark.sql import functions as F
+    from outcomelens.session import ensure_checkpoint_dir
+    from outcomelens.streaming.score_stream import epoch_sink
+    base = f"{ensure_checkpoint_dir(spark)}/epochs-{uuid.uuid4().hex}"
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "i int, error string")
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    batch = rows.mapInPandas(count, rows.schema)
+    monkeypatch.setattr(type(batch), "persist", lambda self, *_: _stop(self))
+    epoch_sink(f"{base}/out", f"{base}/bad")(batch, 0)
+    assert sorted(r.i for r in spark.read.parquet(f"{base}/out").collect()) == [1, 3]
+    assert [r.i for r in spark.read.parquet(f"{base}/bad").where(F.col("error") == "x").collect()] == [2]
+    assert seen.value == 3 and os.listdir(f"{base}/out".removeprefix("file:")) == ["epoch=0"]
+
+
+def test_settings_come_back(spark):
+    from outcomelens.session import DROP_SHUFFLES, settings
+    from outcomelens.streaming.score_stream import STATE
+    before = {k: spark.conf.get(k, None) for k in DROP_SHUFFLES | STATE}
+    with pytest.raises(Seen):
+        with settings(spark, DROP_SHUFFLES | STATE):
+            assert all(spark.conf.get(k) == v for k, v in (DROP_SHUFFLES | STATE).items())
+            raise Seen()
+    assert {k: spark.conf.get(k, None) for k in before} == before
